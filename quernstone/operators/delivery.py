@@ -6,8 +6,9 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, Row
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import query_hash
 
@@ -58,9 +59,9 @@ def spill_result(df: DataFrame, folder: str, query: str) -> Spilled:
     return spilled
 
 
-def read_spilled(df_schema, spark, path: str) -> DataFrame:
+def read_spilled(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of a spilled result, with the schema they were written with."""
-    return spark.read.schema(df_schema).json(f"{path}/rows")
+    return spark.read.schema(schema).json(f"{path}/rows")
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,6 @@ def bounded_result(
     """
     spilled = spill_result(df, folder, query)
     is_sample = spilled.row_count > inline_rows
-    stored = read_spilled(df.schema, df.sparkSession, spilled.path)
+    stored = read_spilled(df.sparkSession, spilled.path, df.schema)
     rows = stored.limit(sample_rows if is_sample else inline_rows).collect()
     return Delivered(spilled.row_count, spilled.columns, rows, is_sample, spilled.path if is_sample else None)

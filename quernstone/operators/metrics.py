@@ -94,15 +94,10 @@ def metric_contributors(
 
 def metric_totals_daily(df: DataFrame, metric: str, date_column: str) -> DataFrame:
     """``compare_metric_totals`` of every day with the day before it."""
-    return _named(
-        daily_metric_facts(df, metric, date_column).select("current_day", "previous_day", *total_columns())
-    )
-
-
-def daily_metric_facts(df: DataFrame, metric: str, date_column: str) -> DataFrame:
-    return _daily_pairs(df, metric, date_column, []).withColumnsRenamed(
+    pairs = _daily_pairs(df, metric, date_column, []).withColumnsRenamed(
         {"m": "current_total", "m_before": "previous_total"}
     )
+    return _named(pairs.select("current_day", "previous_day", *total_columns()))
 
 
 def metric_contributors_daily(
@@ -124,11 +119,13 @@ def metric_contributors_daily(
 
 def _daily_pairs(df: DataFrame, metric: str, date_column: str, keys: list[str]) -> DataFrame:
     require_numeric(df, metric)
-    daily = df.groupBy(business_day(df, date_column).alias("day"), *keys).agg(
-        F.coalesce(F.sum(f"`{metric}`").cast("double"), F.lit(0.0)).alias("m")
-    )
+    daily = df.groupBy(business_day(df, date_column).alias("day"), *keys).agg(daily_metric_sum(metric).alias("m"))
     return day_pairs(daily.where("day is not null"), ["m"], keys)
 
 
+def daily_metric_sum(metric: str) -> Column:
+    return F.coalesce(F.sum(f"`{metric}`").cast("double"), F.lit(0.0))
+
+
 def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("severity", sev.severity_name(F.col("severity_code"))).drop("severity_code")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions.calendar import business_day, days_before, in_days, on_day
+from .row_counts import lagged_sum, look_back
 
 LOOKBACK_DAYS = 7
 
@@ -30,26 +31,46 @@ def null_aggregates(columns: list[str], today: Column, history: Column) -> list[
     return aggregates
 
 
-def null_stats(columns: list[str], threshold_pct: float, critical: Collection[str]) -> Column:
-    """``array<struct>`` with one element per column over the ``null_aggregates``."""
-
-    def percent(nulls: str, rows: str) -> Column:
-        return F.when(F.col(rows) > 0, F.col(nulls) / F.nullif(F.col(rows), F.lit(0)) * 100)
-
-    stats = []
-    for i, name in enumerate(columns):
-        now = F.coalesce(percent(f"nulls_now_{i}", "rows_now"), F.lit(0.0))
-        before = F.round(percent(f"nulls_before_{i}", "rows_before"), 2)
-        stats.append(
+def null_counts(columns: list[str], critical: Collection[str]) -> Column:
+    """The per-column ``null_aggregates`` as one ``array<struct>``, so that a wide table stays a small expression."""
+    return F.array(
+        *[
             F.struct(
                 F.lit(i + 1).alias("position"),
                 F.lit(name).alias("column_name"),
-                F.round(now, 2).alias("null_percentage"),
-                before.alias("historical_average"),
-                sev.by_deviation(now, before, threshold_pct, name in critical).alias("severity_code"),
+                F.lit(name in critical).alias("is_critical"),
+                F.col(f"nulls_now_{i}").alias("nulls_now"),
+                F.col(f"nulls_before_{i}").alias("nulls_before"),
             )
-        )
-    return F.array(*stats)
+            for i, name in enumerate(columns)
+        ]
+    )
+
+
+def null_rates(counts: Column) -> Column:
+    """Null percentages of an element of ``null_counts``: none in an empty day, unknown without history."""
+
+    def percent(nulls: Column, rows: str) -> Column:
+        return F.try_divide(nulls, F.col(rows)) * 100
+
+    return F.struct(
+        counts.position.alias("position"),
+        counts.column_name.alias("column_name"),
+        counts.is_critical.alias("is_critical"),
+        F.coalesce(percent(counts.nulls_now, "rows_now"), F.lit(0.0)).alias("now"),
+        F.round(percent(counts.nulls_before, "rows_before"), 2).alias("before"),
+    )
+
+
+def null_grade(rates: Column, threshold_pct: float) -> Column:
+    """What is reported of a column, from an element of ``null_rates``."""
+    return F.struct(
+        rates.position.alias("position"),
+        rates.column_name.alias("column_name"),
+        F.round(rates.now, 2).alias("null_percentage"),
+        rates.before.alias("historical_average"),
+        sev.by_deviation(rates.now, rates.before, threshold_pct, rates.is_critical).alias("severity_code"),
+    )
 
 
 def detect_null_anomalies(
@@ -71,7 +92,7 @@ def detect_null_anomalies(
     counts = df.where(in_days(df, date_column, first, day)).agg(
         *null_aggregates(columns, on_day(df, date_column, day), in_days(df, date_column, first, yesterday))
     )
-    return _rows(counts.select(F.inline(null_stats(columns, threshold_pct, critical_columns))))
+    return _graded(counts, [], columns, threshold_pct, critical_columns)
 
 
 def detect_null_anomalies_daily(
@@ -83,36 +104,34 @@ def detect_null_anomalies_daily(
 ) -> DataFrame:
     """``detect_null_anomalies`` for every day that has rows, in one pass over the table."""
     columns = checked_columns(df, date_column)
-    facts = daily_null_facts(df, date_column, columns, lookback_days)
-    return _rows(facts.select("current_day", F.inline(null_stats(columns, threshold_pct, critical_columns))))
+    daily = df.groupBy(business_day(df, date_column).alias("day")).agg(*daily_null_counts(columns))
+    sent = look_back(daily.where("day is not null"), lookback_days)
+    facts = sent.groupBy("current_day").agg(*daily_null_aggregates(columns)).where("rows_now > 0")
+    return _graded(facts, ["current_day"], columns, threshold_pct, critical_columns)
 
 
-def daily_null_facts(df: DataFrame, date_column: str, columns: list[str], lookback_days: int) -> DataFrame:
-    """The ``null_aggregates`` of every day: each day's counts are added to the days that look back on it."""
-    measures = ["n", *[f"nulls_{i}" for i in range(len(columns))]]
-    daily = df.groupBy(business_day(df, date_column).alias("day")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)],
-    )
-    sent = daily.where("day is not null").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(lookback_days))).alias("lag")
-    )
-    total = {}
-    for m in measures:
-        total[m, "now"] = F.coalesce(F.sum(F.when(F.col("lag") == 0, F.col(m))), F.lit(0))
-        total[m, "before"] = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col(m))), F.lit(0))
-    return (
-        sent.groupBy(F.date_add("day", F.col("lag")).alias("current_day"))
-        .agg(
-            *[
-                total[m, side].alias(f"rows_{side}" if m == "n" else m.replace("nulls_", f"nulls_{side}_"))
-                for m in measures
-                for side in ("now", "before")
-            ]
-        )
-        .where("rows_now > 0")
-    )
+def daily_null_counts(columns: list[str]) -> list[Column]:
+    """Rows ``n`` and nulls per column of one day."""
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)]
+    return [F.count(F.lit(1)).alias("n"), *nulls]
 
 
-def _rows(stats: DataFrame) -> DataFrame:
-    return stats.withColumn("severity", sev.severity_name(F.col("severity_code"))).drop("severity_code")
+def daily_null_aggregates(columns: list[str]) -> list[Column]:
+    """The ``null_aggregates`` of a day over the ``daily_null_counts`` sent to it."""
+    now, before = F.col("lag") == 0, F.col("lag") > 0
+    aggregates = [lagged_sum("n", now).alias("rows_now"), lagged_sum("n", before).alias("rows_before")]
+    for i in range(len(columns)):
+        aggregates += [
+            lagged_sum(f"nulls_{i}", now).alias(f"nulls_now_{i}"),
+            lagged_sum(f"nulls_{i}", before).alias(f"nulls_before_{i}"),
+        ]
+    return aggregates
+
+
+def _graded(
+    facts: DataFrame, keys: list[str], columns: list[str], threshold_pct: float, critical: Collection[str]
+) -> DataFrame:
+    each = facts.select(*keys, "rows_now", "rows_before", F.explode(null_counts(columns, critical)).alias("c"))
+    rated = each.select(*keys, null_rates(F.col("c")).alias("r"))
+    graded = rated.select(*keys, null_grade(F.col("r"), threshold_pct).alias("g")).select(*keys, "g.*")
+    return graded.withColumn("severity", sev.severity_name(F.col("severity_code"))).drop("severity_code")

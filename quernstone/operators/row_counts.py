@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as sev
@@ -66,23 +66,39 @@ def compare_row_counts_daily(
 
 
 def day_pairs(daily: DataFrame, measures: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Each measure of a day beside that of the day before (0 where missing).
+    """Each measure of a day beside that of the day before (0 where missing), as ``m`` and ``m_before``.
 
-    ``daily`` holds one row per ``day`` (and ``keys``). Every row is sent to
-    its own day and to the next, then added up: no window over the calendar.
-    A missing day shows up as zeros, but nothing follows the last day.
+    ``daily`` holds one row per ``day`` (and ``keys``).
     """
     keys = keys or []
-    sides = F.array(F.struct(F.lit(0).alias("lag")), F.struct(F.lit(1).alias("lag")))
-    sent = daily.select("*", F.inline(sides)).select(
-        F.date_add("day", F.col("lag")).alias("current_day"), "lag", *keys, *measures
-    )
+    sent = look_back(daily, 1, keys)
     pairs = sent.groupBy("current_day", *keys).agg(
-        *[F.coalesce(F.sum(F.when(F.col("lag") == 0, F.col(m))), F.lit(0)).alias(m) for m in measures],
-        *[F.coalesce(F.sum(F.when(F.col("lag") == 1, F.col(m))), F.lit(0)).alias(f"{m}_before") for m in measures],
+        *[lagged_sum(m, F.col("lag") == 0).alias(m) for m in measures],
+        *[lagged_sum(m, F.col("lag") == 1).alias(f"{m}_before") for m in measures],
     )
-    last_day = daily.agg(F.max("day")).scalar()
-    return pairs.where(F.col("current_day") <= last_day).withColumn("previous_day", F.date_sub("current_day", 1))
+    return pairs.withColumn("previous_day", F.date_sub("current_day", 1))
+
+
+def look_back(daily: DataFrame, days: int, keys: list[str] | None = None) -> DataFrame:
+    """Send the row of each ``day`` to that day and to the ``days`` after it, with its ``lag``.
+
+    Grouped by ``current_day``, this is every day together with its history, and
+    a missing day shows up through the days before it. Nothing is sent past the
+    last day. Each row becomes ``days + 1`` small rows: no window over the rows.
+    """
+    if keys:
+        last_day = daily.agg(F.max("day")).scalar()
+    else:
+        # One row per day of the calendar: small however large the table is.
+        last_day = F.max("day").over(Window.partitionBy(F.lit(0)))
+    bounded = daily.withColumn("__last", last_day)
+    sent = bounded.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(days))))
+    sent = sent.withColumn("current_day", F.date_add("day", F.col("lag")))
+    return sent.where(F.col("current_day") <= F.col("__last")).drop("__last")
+
+
+def lagged_sum(measure: str, where: Column) -> Column:
+    return F.coalesce(F.sum(F.when(where, F.col(measure))), F.lit(0))
 
 
 def _named(df: DataFrame) -> DataFrame:

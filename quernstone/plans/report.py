@@ -9,7 +9,8 @@ one row per reported day, whatever the size of the table:
   and metric sums together,
 * one scan of the day grouped by business key for duplicates,
 * one scan of two days grouped for the metric's contributors,
-* one scan of two or three columns of all days for freshness and critical nulls.
+* one scan of the freshness and critical columns of all days, and one that
+  stops early for a sample of the rows with critical nulls.
 """
 
 from __future__ import annotations
@@ -75,28 +76,27 @@ def dq_report(
     number) becomes a warning finding and leaves the others standing.
     """
     day, before = days_before(day, 0), days_before(day, 1)
-    checks = _Checks()
-    shared: list[Column] = []  # aggregates of the scan over the days looked back on
+    first = days_before(day, rules.lookback_days)
+    checks = _Checks(df)
+    recent: list[Column] = []  # aggregates of the scan over the days looked back on
+    overall: list[Column] = []  # aggregates of the scan over all days
     rows: list[DataFrame] = []  # further one-row sources of facts
-    window = None
 
     with checks("row_count_check_error"):
+        checks.need(rules.date_column)
         today, yesterday = on_day(df, rules.date_column, day), on_day(df, rules.date_column, before)
-        first = days_before(day, rules.lookback_days)
-        window = df.where(in_days(df, rules.date_column, min(first, before), day))
-        _resolves(df, row_counts.count_aggregates(today, yesterday))
-        shared += row_counts.count_aggregates(today, yesterday)
+        recent += row_counts.count_aggregates(today, yesterday)
         checks.add(_row_count_finding(rules))
 
     with checks("null_check_error"):
-        history = in_days(df, rules.date_column, first if window is not None else day, before)
-        columns = nulls.checked_columns(df, rules.date_column)
-        if not columns:
-            raise ValueError("there is no column besides the date column to check for nulls")
-        shared += nulls.null_aggregates(columns, on_day(df, rules.date_column, day), history)
+        checks.need(rules.date_column)
+        columns = _checked_columns(df, rules)
+        history = in_days(df, rules.date_column, days_before(day, rules.lookback_days), before)
+        recent += nulls.null_aggregates(columns, on_day(df, rules.date_column, day), history)
         checks.add(_null_finding(rules, columns))
 
     with checks("duplicate_check_error"):
+        checks.need(rules.date_column, *rules.duplicate_keys)
         groups = duplicates.duplicate_groups(df, rules.duplicate_keys, rules.date_column, day)
         rows.append(groups.agg(*duplicates.duplicate_aggregates()))
         sample = groups.orderBy(F.desc("duplicate_count"), *[f"`{k}`" for k in rules.duplicate_keys])
@@ -104,112 +104,145 @@ def dq_report(
         checks.add(_duplicate_finding())
 
     with checks("freshness_check_error"):
-        newest = df.agg(F.max(F.col(f"`{rules.freshness_column}`")).alias("newest"))
-        age = freshness.delay_hours(F.col("newest"), as_of).alias("delay_hours")
-        rows.append(newest.select(F.col("newest").cast("string").alias("max_timestamp"), age))
-        checks.add(_freshness_finding(rules))
+        checks.need(rules.freshness_column)
+        overall.append(F.max(F.col(f"`{rules.freshness_column}`")).alias("newest"))
+        checks.add(_freshness_finding(rules, as_of))
 
     if rules.metric_column and rules.group_by_column:
         with checks("metric_check_error"):
+            checks.need(rules.date_column, rules.metric_column, rules.group_by_column)
             metrics.require_numeric(df, rules.metric_column)
+            today, yesterday = on_day(df, rules.date_column, day), on_day(df, rules.date_column, before)
+            recent += metrics.metric_aggregates(rules.metric_column, yesterday, today)
             top = metrics.metric_contributors(
                 df, rules.metric_column, rules.group_by_column, rules.date_column, before, day, EVIDENCE_SAMPLES
             )
-            yesterday, today = (on_day(df, rules.date_column, x) for x in (before, day))
-            shared += metrics.metric_aggregates(rules.metric_column, yesterday, today)
             rows.append(_as_json(top, "contributors"))
             checks.add(_metric_finding(rules))
 
     if rules.critical_columns:
         with checks("failed_records_error"):
+            checks.need(*rules.critical_columns)
             broken = failed.any_null(rules.critical_columns)
-            rows.append(df.agg(F.count_if(broken).alias("critical_nulls")))
+            overall.append(F.count_if(broken).alias("critical_nulls"))
             rows.append(_as_json(failed.failed_records(df, broken, FAILED_SAMPLES), "critical_sample"))
             checks.add(_critical_finding(rules))
 
-    if shared:
-        rows.append(window.agg(*shared))
+    if recent:
+        rows.append(df.where(in_days(df, rules.date_column, first, day)).agg(*recent))
+    if overall:
+        rows.append(df.agg(*overall))
     day_columns = [F.lit(day).alias("current_day"), F.lit(before).alias("previous_day")]
     stacked = [r.select(*day_columns, "*") for r in rows] or [df.sparkSession.range(1).select(*day_columns)]
-    return _report(stacked, checks.findings, table)
+    return _report(stacked, checks, table)
 
 
 def dq_report_daily(df: DataFrame, rules: TableRules, table: str = "table") -> DataFrame:
-    """``dq_report`` of every day that has rows, from one set of grouped passes.
+    """``dq_report`` of every day that has rows or follows one that has, from three grouped passes.
 
-    Row counts, null rates, duplicates, the metric and critical nulls are taken
-    per day. Freshness is a property of the whole table and is left to ``dq_report``.
+    Row counts, null rates, metric sums and critical nulls are summed per day
+    in one pass, and each day's sums are sent to the days that look back on
+    it. Freshness is a property of the whole table and is left to ``dq_report``.
     """
-    checks = _Checks()
+    checks = _Checks(df)
+    if rules.date_column not in df.columns:
+        raise ValueError(f"no such column: {rules.date_column}")
+    measures: list[Column] = []  # sums of one day
+    recent: list[Column] = []  # what they add up to, seen from each day
     rows: list[DataFrame] = []
-
-    with checks("row_count_check_error"):
-        counts = df.groupBy(business_day(df, rules.date_column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-        pairs = row_counts.day_pairs(counts.where("day is not null"), ["n"])
-        rows.append(
-            pairs.select("current_day", F.col("n").alias("current_count"), F.col("n_before").alias("previous_count"))
-        )
-        checks.add(_row_count_finding(rules))
+    now, before = F.col("lag") == 0, F.col("lag") == 1
 
     with checks("null_check_error"):
-        columns = nulls.checked_columns(df, rules.date_column)
-        if not columns:
-            raise ValueError("there is no column besides the date column to check for nulls")
-        rows.append(nulls.daily_null_facts(df, rules.date_column, columns, rules.lookback_days))
+        columns = _checked_columns(df, rules)
+        measures += nulls.daily_null_counts(columns)
+        recent += nulls.daily_null_aggregates(columns)
+    measures = measures or [F.count(F.lit(1)).alias("n")]
+    recent += [
+        row_counts.lagged_sum("n", now).alias("current_count"),
+        row_counts.lagged_sum("n", before).alias("previous_count"),
+    ]
+    checks.add(_row_count_finding(rules))
+    if len(measures) > 1:
         checks.add(_null_finding(rules, columns))
 
     with checks("duplicate_check_error"):
+        checks.need(*rules.duplicate_keys)
         rows.append(duplicates.daily_duplicate_facts(df, rules.duplicate_keys, rules.date_column))
         checks.add(_duplicate_finding())
 
     if rules.metric_column and rules.group_by_column:
         with checks("metric_check_error"):
-            rows.append(
-                metrics.daily_metric_facts(df, rules.metric_column, rules.date_column).drop("previous_day")
-            )
+            checks.need(rules.metric_column, rules.group_by_column)
+            metrics.require_numeric(df, rules.metric_column)
             top = metrics.metric_contributors_daily(
                 df, rules.metric_column, rules.group_by_column, rules.date_column, EVIDENCE_SAMPLES
             )
             ordered = F.sort_array(F.collect_list(F.struct(*top.columns[1:])))  # by rank, at most a handful
             rows.append(top.groupBy("current_day").agg(F.to_json(ordered).alias("contributors")))
+            measures.append(metrics.daily_metric_sum(rules.metric_column).alias("m"))
+            recent += [
+                row_counts.lagged_sum("m", before).alias("previous_total"),
+                row_counts.lagged_sum("m", now).alias("current_total"),
+            ]
             checks.add(_metric_finding(rules))
 
     if rules.critical_columns:
         with checks("failed_records_error"):
-            broken = F.count_if(failed.any_null(rules.critical_columns)).alias("critical_nulls")
-            daily = df.groupBy(business_day(df, rules.date_column).alias("current_day")).agg(broken)
-            rows.append(daily.where("current_day is not null"))
+            checks.need(*rules.critical_columns)
+            measures.append(F.count_if(failed.any_null(rules.critical_columns)).alias("broken"))
+            recent.append(row_counts.lagged_sum("broken", now).alias("critical_nulls"))
             checks.add(_critical_finding(rules))
 
-    if not rows:
-        raise ValueError(f"no check can be set up on {table}")
-    stacked = [r.withColumn("previous_day", F.date_sub("current_day", 1)) for r in rows]
-    return _report(stacked, checks.findings, table)
+    daily = df.groupBy(business_day(df, rules.date_column).alias("day")).agg(*measures)
+    sent = row_counts.look_back(daily.where("day is not null"), rules.lookback_days)
+    facts = sent.groupBy("current_day").agg(*recent).where("current_count + previous_count > 0")
+    stacked = [r.withColumn("previous_day", F.date_sub("current_day", 1)) for r in (facts, *rows)]
+    return _report(stacked, checks, table)
 
 
 def dq_findings(report: DataFrame) -> DataFrame:
     """One row per finding of a report, in the order of the checks."""
-    found = report.select("business_date", F.posexplode("findings").alias("position", "finding"))
+    found = _numbered(report, "findings", "finding")
     return found.select(
         "business_date",
-        (F.col("position") + 1).alias("position"),
+        "position",
         *[f"finding.{name}" for name in ("issue_type", "severity", "description", "evidence")],
     )
 
 
 def dq_recommendations(report: DataFrame) -> DataFrame:
     """One row per piece of advice of a report, in order."""
-    given = report.select("business_date", F.posexplode("recommendations").alias("position", "recommendation"))
-    return given.withColumn("position", F.col("position") + 1)
+    return _numbered(report, "recommendations", "recommendation")
+
+
+def _numbered(report: DataFrame, array: str, element: str) -> DataFrame:
+    # The outer form: from the plain one Spark infers a filter on the array's size, pushes it
+    # through every step of the report, and so works the whole report out twice.
+    each = report.select("business_date", F.posexplode_outer(array).alias("at", element)).where("at is not null")
+    return each.select("business_date", (F.col("at") + 1).alias("position"), element)
+
+
+class _Check:
+    """A finding worded over the facts in two steps: shared values first, then code, description and evidence."""
+
+    def __init__(self, issue_type: str, values: dict[str, Column], code: Column, description: Column, evidence: Column):
+        self.issue_type, self.values = issue_type, values
+        self.code, self.description, self.evidence = code, description, evidence
 
 
 class _Checks:
-    """Findings as expressions over the facts; a check that fails to set up leaves a warning instead."""
+    """The checks of a report; one that fails to set up leaves a warning instead."""
 
-    def __init__(self) -> None:
-        self.findings: list[Column] = []
+    def __init__(self, df: DataFrame) -> None:
+        self.found: list[_Check] = []
+        self._columns = set(df.columns)
         self._error = ""
 
+    def need(self, *columns: str) -> None:
+        missing = [c for c in columns if c not in self._columns]
+        if missing:
+            raise ValueError(f"no such column: {', '.join(missing)}")
+
     def __call__(self, error_type: str) -> _Checks:
         self._error = error_type
         return self
@@ -218,31 +251,44 @@ class _Checks:
         pass
 
     def __exit__(self, kind, problem, trace) -> bool:
-        # PySpark raises KeyError for a field a schema lacks; only faults of the setting are findings.
-        if kind is None or not issubclass(kind, (AnalysisException, KeyError, TypeError, ValueError)):
+        if kind is None or not issubclass(kind, (AnalysisException, TypeError, ValueError)):
             return False
-        text = str(problem.args[0] if kind is KeyError else problem).split("\n")[0]
-        self.add(_finding(self._error, F.lit(sev.WARNING), F.lit(text), F.lit("{}")))
+        text = str(problem).split("\n")[0]
+        self.add(_Check(self._error, {}, F.lit(sev.WARNING), F.lit(text), F.lit("{}")))
         return True
 
-    def add(self, finding: Column) -> None:
-        self.findings.append(finding)
-
-
-def _resolves(df: DataFrame, aggregates: list[Column]) -> None:
-    """Have Spark look the columns up now, so that a missing one shows in this check."""
-    df.agg(*aggregates).schema  # noqa: B018
+    def add(self, check: _Check) -> None:
+        self.found.append(check)
+
+    def findings(self, facts: DataFrame) -> DataFrame:
+        """Add ``findings``. Each step is a projection of its own, so that no value is worked out twice."""
+        staged = facts.withColumns({name: c for check in self.found for name, c in check.values.items()})
+        codes = {
+            f"__code_{i}": F.coalesce(check.code, F.lit(sev.OK)).cast("int") for i, check in enumerate(self.found)
+        }
+        staged = staged.withColumns(codes) if codes else staged
+        structs = [
+            F.when(
+                F.col(f"__code_{i}") > sev.OK,
+                F.struct(
+                    F.lit(check.issue_type).alias("issue_type"),
+                    sev.severity_name(F.col(f"__code_{i}")).alias("severity"),
+                    F.col(f"__code_{i}").alias("severity_code"),
+                    check.description.alias("description"),
+                    check.evidence.alias("evidence"),
+                ),
+            )
+            for i, check in enumerate(self.found)
+        ]
+        found = F.array_compact(F.array(*structs)) if structs else F.array()
+        return staged.withColumn("findings", found.cast(f"array<{FINDING}>"))
 
 
-def _finding(issue_type: str, code: Column, description: Column, evidence: Column) -> Column:
-    code = F.coalesce(code, F.lit(sev.OK)).cast("int")
-    return F.struct(
-        F.lit(issue_type).alias("issue_type"),
-        sev.severity_name(code).alias("severity"),
-        code.alias("severity_code"),
-        description.alias("description"),
-        evidence.alias("evidence"),
-    ).cast(FINDING)
+def _checked_columns(df: DataFrame, rules: TableRules) -> list[str]:
+    columns = nulls.checked_columns(df, rules.date_column)
+    if not columns:
+        raise ValueError("there is no column besides the date column to check for nulls")
+    return columns
 
 
 def _text(*parts: str | Column) -> Column:
@@ -257,22 +303,25 @@ def _as_json(few_rows: DataFrame, name: str) -> DataFrame:
     return few_rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias(name))
 
 
-def _row_count_finding(rules: TableRules) -> Column:
-    current, previous, difference, change, code = row_counts.count_columns(
-        rules.row_count_drop_warning_pct, rules.row_count_drop_critical_pct
-    )
-    return _finding(
+def _row_count_finding(rules: TableRules) -> _Check:
+    columns = row_counts.count_columns(rules.row_count_drop_warning_pct, rules.row_count_drop_critical_pct)
+    counts = F.col("__counts")
+    return _Check(
         "row_count_drop",
-        F.when(F.col("current_count").isNotNull(), code),
-        _text("Row count changed ", change, "% vs ", F.col("previous_day"), " (", previous, " -> ", current, ")."),
-        F.to_json(F.struct(current, previous, difference, change)),
-    )
+        {"__counts": F.when(F.col("current_count").isNotNull(), F.struct(*columns))},
+        counts.severity_code,
+        _text(
+            "Row count changed ", counts.percentage_change, "% vs ", F.col("previous_day"), " (",
+            counts.previous_count, " -> ", counts.current_count, ").",
+        ),
+        F.to_json(counts),
+    )
 
 
-def _null_finding(rules: TableRules, columns: list[str]) -> Column:
-    stats = nulls.null_stats(columns, rules.null_anomaly_threshold_pct, rules.critical_columns)
-    flagged = F.filter(stats, lambda s: s.severity_code > sev.OK)
-    worst = F.coalesce(F.array_max(F.transform(flagged, lambda s: s.severity_code)), F.lit(sev.OK))
+def _null_finding(rules: TableRules, columns: list[str]) -> _Check:
+    rates = F.transform(nulls.null_counts(columns, rules.critical_columns), nulls.null_rates)
+    grades = F.transform(rates, lambda r: nulls.null_grade(r, rules.null_anomaly_threshold_pct))
+    flagged = F.col("__flagged")
     listed = F.transform(
         flagged,
         lambda s: F.struct(
@@ -282,55 +331,67 @@ def _null_finding(rules: TableRules, columns: list[str]) -> Column:
             sev.severity_name(s.severity_code).alias("status"),
         ),
     )
-    return _finding(
+    return _Check(
         "null_anomaly",
-        F.when(F.col("rows_now").isNotNull(), worst),
+        {
+            "__flagged": F.when(
+                F.col("rows_now").isNotNull(), F.filter(grades, lambda s: s.severity_code > sev.OK)
+            )
+        },
+        F.array_max(F.transform(flagged, lambda s: s.severity_code)),
         _text(F.size(flagged), " column(s) show abnormal null rates on ", F.col("current_day"), "."),
         F.to_json(F.struct(listed.alias("flagged_columns"))),
     )
 
 
-def _duplicate_finding() -> Column:
-    groups = F.coalesce(F.col("duplicate_groups"), F.lit(0))
-    return _finding(
+def _duplicate_finding() -> _Check:
+    groups = F.col("duplicate_groups")
+    return _Check(
         "duplicate_records",
-        sev.by_group_count(groups),
+        {},
+        F.when(groups.isNotNull(), sev.by_group_count(groups)),
         _text(
             groups, " duplicate key group(s) (", F.col("duplicate_records"), " records) found on ",
             F.col("current_day"), ".",
         ),
-        F.to_json(F.struct(_fact("duplicate_sample").alias("sample_duplicate_records"))),
+        F.to_json(F.struct(F.col("duplicate_sample").alias("sample_duplicate_records"))),
     )
 
 
-def _freshness_finding(rules: TableRules) -> Column:
-    hours, limit = F.col("delay_hours"), float(rules.freshness_threshold_hours)
-    return _finding(
+def _freshness_finding(rules: TableRules, as_of: dt.datetime | str | None) -> _Check:
+    hours, limit = F.col("__hours"), float(rules.freshness_threshold_hours)
+    evidence = F.struct(
+        F.col("newest").cast("string").alias("max_timestamp"),
+        hours.alias("delay_hours"),
+        F.lit(limit).alias("threshold_hours"),
+    )
+    return _Check(
         "freshness_issue",
+        {"__hours": freshness.delay_hours(F.col("newest"), as_of)},
         sev.by_delay(hours, limit),
         _text(f"Latest {rules.freshness_column} is ", hours, f"h old (threshold {limit}h)."),
-        F.to_json(F.struct("max_timestamp", hours.alias("delay_hours"), F.lit(limit).alias("threshold_hours"))),
+        F.to_json(evidence),
     )
 
 
-def _metric_finding(rules: TableRules) -> Column:
-    previous, current, difference, change, code = metrics.total_columns()
-    return _finding(
+def _metric_finding(rules: TableRules) -> _Check:
+    totals = F.col("__totals")
+    return _Check(
         "metric_trend_deviation",
-        F.when(F.col("current_total").isNotNull(), code),
-        _text(f"{rules.metric_column} moved ", change, "% vs ", F.col("previous_day"), "."),
-        F.to_json(
-            F.struct(previous, current, difference, change, F.col("contributors").alias("largest_contributors"))
-        ),
+        {"__totals": F.when(F.col("current_total").isNotNull(), F.struct(*metrics.total_columns()))},
+        totals.severity_code,
+        _text(f"{rules.metric_column} moved ", totals.percentage_change, "% vs ", F.col("previous_day"), "."),
+        F.to_json(F.struct(totals.alias("totals"), F.col("contributors").alias("largest_contributors"))),
     )
 
 
-def _critical_finding(rules: TableRules) -> Column:
+def _critical_finding(rules: TableRules) -> _Check:
     found = F.coalesce(F.col("critical_nulls"), F.lit(0))
     names = ", ".join(rules.critical_columns)
-    return _finding(
+    return _Check(
         "critical_column_nulls",
-        F.when(found > 0, sev.CRITICAL).otherwise(sev.OK),
+        {},
+        F.when(found > 0, sev.CRITICAL),
         _text(
             F.least(found, F.lit(FAILED_SAMPLES)),
             f" sampled record(s) have NULLs in a critical column ({names}).",
@@ -339,21 +400,17 @@ def _critical_finding(rules: TableRules) -> Column:
             F.struct(
                 F.lit(" OR ".join(f"{c} IS NULL" for c in rules.critical_columns)).alias("condition"),
                 found.alias("failed_count"),
-                _fact("critical_sample").alias("sample_records"),
+                F.col("critical_sample").alias("sample_records"),
             )
         ),
     )
 
 
-def _fact(name: str) -> Column:
-    return F.col(name)
-
-
 # Facts a report may lack: the daily one takes no row samples.
 OPTIONAL_FACTS = ("duplicate_sample", "critical_sample")
 
 
-def _report(stacked: list[DataFrame], findings: list[Column], table: str) -> DataFrame:
+def _report(stacked: list[DataFrame], checks: _Checks, table: str) -> DataFrame:
     """Fold the stacked facts of each day into one row and word the report over it."""
     union: Callable[[DataFrame, DataFrame], DataFrame] = lambda a, b: a.unionByName(b, allowMissingColumns=True)
     facts = reduce(union, stacked)
@@ -363,16 +420,12 @@ def _report(stacked: list[DataFrame], findings: list[Column], table: str) -> Dat
     names = [c for c in facts.columns if c not in ("current_day", "previous_day")]
     # Every fact comes from one source row per day, so its maximum is its value.
     folded = facts.groupBy("current_day", "previous_day").agg(*[F.max(c).alias(c) for c in names])
-    if not findings:
-        found = folded.withColumn("findings", F.array().cast(f"array<{FINDING}>"))
-    else:
-        found = folded.withColumn("__all", F.array(*findings))
-        found = found.withColumn("findings", F.filter("__all", lambda f: f.severity_code > sev.OK))
-
+    found = checks.findings(folded)
     issues = F.transform("findings", lambda f: f.issue_type)
     code = F.coalesce(F.array_max(F.transform("findings", lambda f: f.severity_code)), F.lit(sev.OK))
     found = found.withColumn("issue_types", F.array_sort(F.array_distinct(issues)))
     found = found.withColumn("overall_severity", sev.severity_name(code))
+    found = found.withColumn("__advice", _advice(F.col("issue_types")))
     where = _text(f" for {table} on ", F.col("current_day"))
     summary = F.when(
         F.size("findings") == 0, F.concat(F.lit("No data quality issues detected"), where, F.lit("."))
@@ -385,20 +438,22 @@ def _report(stacked: list[DataFrame], findings: list[Column], table: str) -> Dat
             F.lit("."),
         )
     )
-    advice = F.filter(
-        F.array(
-            *[
-                F.when(F.arrays_overlap("issue_types", F.array(*[F.lit(i) for i in types])), F.lit(text))
-                for types, text in ADVICE
-            ]
-        ),
-        lambda text: text.isNotNull(),
-    )
     return found.select(
         F.lit(table).alias("table"),
         F.col("current_day").alias("business_date"),
         summary.alias("summary"),
         "overall_severity",
         "findings",
-        F.when(F.size(advice) == 0, F.array(F.lit(NO_ADVICE))).otherwise(advice).alias("recommendations"),
+        F.when(F.size("__advice") == 0, F.array(F.lit(NO_ADVICE))).otherwise(F.col("__advice")).alias(
+            "recommendations"
+        ),
     )
+
+
+def _advice(issue_types: Column) -> Column:
+    """The pieces of advice whose issues were found, in their fixed order."""
+    given = [
+        F.when(F.arrays_overlap(issue_types, F.array(*[F.lit(i) for i in types])), F.lit(text))
+        for types, text in ADVICE
+    ]
+    return F.array_compact(F.array(*given))

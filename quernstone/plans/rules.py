@@ -21,6 +21,10 @@ class TableRules:
     group_by_column: str = ""
     lookback_days: int = 7
 
+    def __post_init__(self) -> None:
+        if self.lookback_days < 1:
+            raise ValueError("at least one day must be looked back on")
+
     @property
     def duplicate_keys(self) -> tuple[str, ...]:
         """Without business keys all rows of a day share one key, the day."""
