@@ -213,5 +213,7 @@ def english_terms(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """
     keys = [key] if isinstance(key, str) else list(key)
     stems = df.select(*keys, index_words(word_tokens(F.col(text))).alias("__stems"))
-    words = stems.select(*keys, F.posexplode("__stems").alias("__at", "term"))
+    # The outer form: from the plain one Spark infers a filter on the array's size below it,
+    # and would run the batch function once more for that.
+    words = stems.select(*keys, F.posexplode_outer("__stems").alias("__at", "term"))
     return words.where("term is not null").select(*keys, "term", (F.col("__at") + 1).alias("pos"))

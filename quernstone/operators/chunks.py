@@ -19,9 +19,12 @@ def chunk_documents(
         document_title(F.col(text_column), path).alias("title"),
         chunk_text(text_column).alias("chunks"),
     )
+    # The outer form: from the plain one Spark infers a filter on the array's size below it,
+    # and would run the batch function once more for that.
+    pieces = pieces.withColumn("total", F.size("chunks"))
     exploded = pieces.select(
-        *keep, "source_path", "title", F.size("chunks").alias("total"), F.posexplode("chunks").alias("at", "content")
-    )
+        *keep, "source_path", "title", "total", F.posexplode_outer("chunks").alias("at", "content")
+    ).where("content is not null")
     return exploded.select(
         *keep,
         "content",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import english_terms, index_words, word_tokens
@@ -14,8 +14,10 @@ from .semantic import rank_hits
 
 # Fixed value: weight of a word of ordinary text in PostgreSQL's cover density rank.
 WORD_WEIGHT = 0.1
-# (term, query) pairs that may be broadcast against the postings.
+# (term, query) pairs that may be broadcast against the postings; more are joined by shuffle.
 BROADCAST_PAIRS = 100_000
+# A stored postings table has one folder per this many texts, at most ``BUCKETS_MOST``.
+BUCKET_TEXTS, BUCKETS_MOST = 50_000, 4096
 
 
 def postings(df: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
@@ -24,6 +26,33 @@ def postings(df: DataFrame, id_column: str = "id", text_column: str = "content")
     return english_terms(named, "id", "__text")
 
 
+def write_postings(words: DataFrame, path: str, n_texts: int) -> None:
+    """Store postings in folders by hash of the term, sorted by term, so that a search opens few row groups.
+
+    The rebalancing shuffle lets Spark split a folder that one frequent term
+    fills over several tasks, by size, without looking at the data beforehand.
+    """
+    buckets = max(1, min(n_texts // BUCKET_TEXTS, BUCKETS_MOST))
+    placed = words.withColumn("n_buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("term"), buckets))
+    clustered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id", "pos")
+    clustered.write.partitionBy("n_buckets", "bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: Iterable[str]) -> DataFrame:
+    """The stored postings of some terms; only their folders and row groups are read."""
+    stored = spark.read.parquet(path)
+    buckets = stored.select("n_buckets").first()
+    if buckets is None:
+        return stored.select("id", "term", "pos")
+    terms = list(terms)
+    folders = [_bucket(F.lit(t), buckets["n_buckets"]) for t in terms]
+    return stored.where(F.col("bucket").isin(folders) & F.col("term").isin(terms)).select("id", "term", "pos")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def query_terms(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, list[str]]:
     """Distinct terms of the caller's query texts, by the rules of the postings."""
     asked = spark.createDataFrame(list(queries.items()), "query string, text string")
@@ -52,6 +81,8 @@ def cover_density(postings: DataFrame, queries: Mapping[str, Sequence[str]]) ->
     the scan, then shuffled once by query and text; a term that half of all
     texts contain therefore spreads like any other.
     """
+    if not queries:
+        raise ValueError("at least one query is needed")
     asked = [
         (term, query, number, len(set(terms)))
         for query, terms in queries.items()
@@ -61,8 +92,8 @@ def cover_density(postings: DataFrame, queries: Mapping[str, Sequence[str]]) ->
     pairs = spark.createDataFrame(asked, "term string, query string, number int, n_terms int")
     if len(asked) <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-    wanted = postings.where(F.col("term").isin(sorted({a[0] for a in asked})))
-    hits = wanted.join(pairs, "term").select("query", "id", "number", "n_terms", "pos")
+        postings = postings.where(F.col("term").isin(sorted({a[0] for a in asked})))
+    hits = postings.join(pairs, "term").select("query", "id", "number", "n_terms", "pos")
 
     in_text = Window.partitionBy("query", "id").orderBy("pos")
     so_far = in_text.rowsBetween(Window.unboundedPreceding, 0)

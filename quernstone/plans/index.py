@@ -4,7 +4,7 @@ An index is a folder: a status log, and one folder per build with three tables
 
 * ``chunks``: id, content, metadata, source_path, chunk_index, created_at, updated_at
 * ``vectors``: id, embedding
-* ``postings``: id, term, pos, sorted by term so that a search reads few row groups
+* ``postings``: id, term, pos, in folders by term and sorted by it, so that a search reads little
 
 A build writes a folder of its own and becomes visible through its ``ready``
 entry, so searches never meet a half-built index.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.chunks import chunk_documents
 from ..operators.embed import TfidfEmbedder, embed_documents
 from ..operators.fuse import rrf_fuse
-from ..operators.keyword import keyword_topk, postings, query_terms
+from ..operators.keyword import keyword_topk, postings, query_terms, read_postings, write_postings
 from ..operators.semantic import semantic_topk
 from ..sources.build_log import append_status, index_status
 
@@ -31,6 +31,8 @@ Model = Callable[[list[str]], Sequence[Sequence[float]]]
 FETCH_FACTOR, FETCH_MOST = 3, 50
 
 
+# Hits that may be broadcast to the scan that looks their content up.
+BROADCAST_HITS = 10_000
 NO_HITS = "rank int, id long, content string, score double, search_type string"
 
 
@@ -64,10 +66,9 @@ def build_index(documents: DataFrame, root: str, model: Model | None = None) ->
         else:
             vectors = embed_documents(texts, model)
         vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
-        # The id in the range key lets a frequent term fill several partitions.
-        words = postings(chunks).repartitionByRange("term", "id").sortWithinPartitions("term", "id", "pos")
-        words.write.parquet(f"{folder}/postings")
-        append_status(spark, root, "ready", document_count=chunks.count(), version=version)
+        n_chunks = chunks.count()
+        write_postings(postings(texts), f"{folder}/postings", n_chunks)
+        append_status(spark, root, "ready", document_count=n_chunks, version=version)
     except Exception as problem:
         append_status(spark, root, "failed", last_error=str(problem))
         raise
@@ -106,14 +107,16 @@ def search(
     if status["version"] is None:
         return spark.createDataFrame([], NO_HITS)
     folder = f"{root}/builds/{status['version']}"
-    vectors, words = (spark.read.parquet(f"{folder}/{name}") for name in ("vectors", "postings"))
+    vectors = spark.read.parquet(f"{folder}/vectors")
     if mode == "semantic":
         found = semantic_topk(vectors, {"q": embed_query(spark, folder, query, model)}, k)
-    elif mode == "keyword":
-        found = keyword_topk(words, query_terms(spark, {"q": query}), k)
     else:
         terms = query_terms(spark, {"q": query})["q"]
-        found = hybrid_search(vectors, words, embed_query(spark, folder, query, model), terms, k, fetch_most)
+        words = read_postings(spark, f"{folder}/postings", terms)
+        if mode == "keyword":
+            found = keyword_topk(words, {"q": terms}, k)
+        else:
+            found = hybrid_search(vectors, words, embed_query(spark, folder, query, model), terms, k, fetch_most)
     return with_content(found.drop("query"), spark.read.parquet(f"{folder}/chunks"), mode)
 
 
@@ -141,8 +144,10 @@ def with_content(hits: DataFrame, chunks: DataFrame, search_type: str) -> DataFr
     """
     found = hits.collect()
     table = hits.sparkSession.createDataFrame(found, hits.schema)
+    if len(found) <= BROADCAST_HITS:
+        table = F.broadcast(table)
     wanted = chunks.where(F.col("id").isin([row["id"] for row in found])).select("id", "content", "metadata")
-    filled = wanted.join(F.broadcast(table), "id").withColumn("search_type", F.lit(search_type))
+    filled = wanted.join(table, "id").withColumn("search_type", F.lit(search_type))
     others = [c for c in hits.columns if c not in ("id", "rank", "score")]
     return filled.select("rank", "id", "content", "metadata", "score", *others, "search_type").orderBy("rank")
 

@@ -28,7 +28,7 @@ from ..operators.semantic import rank_hits
 from ..plans.index import build_index, hybrid_search, search
 from ..sources.build_log import index_status
 from ..sources.scratch import scratch_path
-from .tables import read
+from .tables import read, read_spread
 
 # Texts of three callers; the made-up documents hold these words.
 QUERY_WORDS = {"two": "thing erin", "one": "tions", "three": "ther and the ones of thea"}
@@ -40,7 +40,8 @@ def articles(spark, sf_dir):
     path = F.concat(F.lit("kb/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     heading = F.concat(F.lit("# About "), F.col("source"), F.lit(" no. "), F.col("doc_id").cast("string"), F.lit("\n\n"))
     text = F.when(F.col("lang") == "en", F.concat(heading, "text")).otherwise(F.col("text"))
-    return read(spark, sf_dir, "documents").select(path.alias("source_path"), text.alias("text"))
+    documents = read_spread(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    return documents.select(path.alias("source_path"), text.alias("text"))
 
 
 def _chunks(spark, sf_dir):
@@ -62,7 +63,7 @@ def _titles(spark, sf_dir):
 
 
 def _postings(spark, sf_dir):
-    return keyword.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return keyword.postings(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def _query_terms(spark):
@@ -115,7 +116,7 @@ def _neighbour_similarity(spark, sf_dir):
 
 
 def _embed(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("text", "content")
     return TfidfEmbedder.fit(docs, dimensions=256).transform(docs).select("doc_id", "embedding")
 
 
