@@ -298,6 +298,15 @@ def _text(*parts: str | Column) -> Column:
     )
 
 
+def _json(values: dict[str, Column], name: str, raw: str) -> Column:
+    """A JSON object of some values and of a fact that is JSON text already."""
+    fields = [F.to_json(F.struct(value.alias(key))) for key, value in values.items()]
+    inner = [F.concat(F.substring(f, F.lit(2), F.length(f) - 2), F.lit(", ")) for f in fields]
+    # A null value leaves an empty object behind, which adds nothing.
+    inner = [F.when(f != "{}", part).otherwise("") for f, part in zip(fields, inner)]
+    return F.concat(F.lit("{"), *inner, F.lit(f'"{name}":'), F.coalesce(F.col(raw), F.lit("null")), F.lit("}"))
+
+
 def _as_json(few_rows: DataFrame, name: str) -> DataFrame:
     """The rows of a frame already limited to a handful, as one JSON array."""
     return few_rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias(name))
@@ -354,7 +363,7 @@ def _duplicate_finding() -> _Check:
             groups, " duplicate key group(s) (", F.col("duplicate_records"), " records) found on ",
             F.col("current_day"), ".",
         ),
-        F.to_json(F.struct(F.col("duplicate_sample").alias("sample_duplicate_records"))),
+        _json({}, "sample_duplicate_records", "duplicate_sample"),
     )
 
 
@@ -381,7 +390,11 @@ def _metric_finding(rules: TableRules) -> _Check:
         {"__totals": F.when(F.col("current_total").isNotNull(), F.struct(*metrics.total_columns()))},
         totals.severity_code,
         _text(f"{rules.metric_column} moved ", totals.percentage_change, "% vs ", F.col("previous_day"), "."),
-        F.to_json(F.struct(totals.alias("totals"), F.col("contributors").alias("largest_contributors"))),
+        _json(
+            {name: totals[name] for name in ("previous_total", "current_total", "difference", "percentage_change")},
+            "largest_contributors",
+            "contributors",
+        ),
     )
 
 
@@ -396,12 +409,13 @@ def _critical_finding(rules: TableRules) -> _Check:
             F.least(found, F.lit(FAILED_SAMPLES)),
             f" sampled record(s) have NULLs in a critical column ({names}).",
         ),
-        F.to_json(
-            F.struct(
-                F.lit(" OR ".join(f"{c} IS NULL" for c in rules.critical_columns)).alias("condition"),
-                found.alias("failed_count"),
-                F.col("critical_sample").alias("sample_records"),
-            )
+        _json(
+            {
+                "condition": F.lit(" OR ".join(f"{c} IS NULL" for c in rules.critical_columns)),
+                "failed_count": found,
+            },
+            "sample_records",
+            "critical_sample",
         ),
     )
 
