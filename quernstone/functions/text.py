@@ -206,14 +206,14 @@ def index_words(words: Column) -> Column:
     return F.arrow_udf(stem_batch, "array<string>")(words)
 
 
-def english_terms(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
-    """One row per indexed word: the key columns, ``term`` and its 1-based ``pos``.
+def english_index(text: Column) -> Column:
+    """``array<string>`` of the words of an English text by position: stems, and null for stop words."""
+    return index_words(word_tokens(text))
 
-    Stop words are left out but keep their positions. Narrow: no shuffle.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    stems = df.select(*keys, index_words(word_tokens(F.col(text))).alias("__stems"))
+
+def explode_index(df: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """One row per indexed word: the key columns, ``term`` and its 1-based ``pos``. Narrow: no shuffle."""
     # The outer form: from the plain one Spark infers a filter on the array's size below it,
-    # and would run the batch function once more for that.
-    words = stems.select(*keys, F.posexplode_outer("__stems").alias("__at", "term"))
+    # and would run the batch function that makes the array once more for that.
+    words = df.select(*keys, F.posexplode_outer(index).alias("__at", "term"))
     return words.where("term is not null").select(*keys, "term", (F.col("__at") + 1).alias("pos"))

@@ -12,8 +12,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import index_words, word_tokens
-
 DIMENSIONS = 1024
 
 
@@ -35,21 +33,25 @@ def embed_documents(
 
 
 class TfidfEmbedder:
-    """Hashed, inverse-document-frequency weighted term counts of unit length."""
+    """Hashed, inverse-document-frequency weighted term counts of unit length.
+
+    Works on a column of index words (``functions.text.english_index``), so that
+    a stored one is not worked out again.
+    """
 
     def __init__(self, model: PipelineModel):
         self.model = model
 
     @classmethod
-    def fit(cls, df: DataFrame, text_column: str = "content", dimensions: int = DIMENSIONS) -> TfidfEmbedder:
+    def fit(cls, df: DataFrame, words_column: str = "words", dimensions: int = DIMENSIONS) -> TfidfEmbedder:
         counter = HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=dimensions)
-        weights = IDF(inputCol="__counts", outputCol="__weighted").fit(counter.transform(_terms(df, text_column)))
+        weights = IDF(inputCol="__counts", outputCol="__weighted").fit(counter.transform(_terms(df, words_column)))
         return cls(PipelineModel([counter, weights, Normalizer(inputCol="__weighted", outputCol="__unit")]))
 
     def transform(
-        self, df: DataFrame, text_column: str = "content", vector_column: str = "embedding"
+        self, df: DataFrame, words_column: str = "words", vector_column: str = "embedding"
     ) -> DataFrame:
-        unit = self.model.transform(_terms(df, text_column))
+        unit = self.model.transform(_terms(df, words_column))
         return unit.withColumn(vector_column, vector_to_array("__unit", "float32")).drop(
             "__terms", "__counts", "__weighted", "__unit"
         )
@@ -62,5 +64,6 @@ class TfidfEmbedder:
         return cls(PipelineModel.load(path))
 
 
-def _terms(df: DataFrame, text_column: str) -> DataFrame:
-    return df.withColumn("__terms", F.array_compact(index_words(word_tokens(F.col(text_column)))))
+def _terms(df: DataFrame, words_column: str) -> DataFrame:
+    # A text without words counts as empty.
+    return df.withColumn("__terms", F.coalesce(F.array_compact(words_column), F.array().cast("array<string>")))

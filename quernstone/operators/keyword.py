@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import english_terms, index_words, word_tokens
+from ..functions.text import english_index, explode_index
 from ..functions.vector import SCORE_DIGITS
 from .semantic import rank_hits
 
@@ -21,9 +21,9 @@ BUCKET_TEXTS, BUCKETS_MOST = 50_000, 4096
 
 
 def postings(df: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
-    """id, term, pos of every indexed word."""
-    named = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("__text"))
-    return english_terms(named, "id", "__text")
+    """id, term, pos of every indexed word of a text column. Stop words keep their positions."""
+    words = english_index(F.col(text_column))
+    return explode_index(df.select(F.col(id_column).alias("id"), words.alias("words")), ["id"], "words")
 
 
 def write_postings(words: DataFrame, path: str, n_texts: int) -> None:
@@ -56,7 +56,7 @@ def _bucket(term: Column, buckets: int) -> Column:
 def query_terms(spark: SparkSession, queries: Mapping[str, str]) -> dict[str, list[str]]:
     """Distinct terms of the caller's query texts, by the rules of the postings."""
     asked = spark.createDataFrame(list(queries.items()), "query string, text string")
-    terms = F.array_distinct(F.array_compact(index_words(word_tokens(F.col("text")))))
+    terms = F.array_distinct(F.array_compact(english_index(F.col("text"))))
     return {row["query"]: row["terms"] for row in asked.select("query", terms.alias("terms")).collect()}
 
 

@@ -2,7 +2,7 @@
 
 An index is a folder: a status log, and one folder per build with three tables
 
-* ``chunks``: id, content, metadata, source_path, chunk_index, created_at, updated_at
+* ``chunks``: id, content, metadata, source_path, chunk_index, words, created_at, updated_at
 * ``vectors``: id, embedding
 * ``postings``: id, term, pos, in folders by term and sorted by it, so that a search reads little
 
@@ -18,10 +18,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import english_index, explode_index
 from ..operators.chunks import chunk_documents
 from ..operators.embed import TfidfEmbedder, embed_documents
 from ..operators.fuse import rrf_fuse
-from ..operators.keyword import keyword_topk, postings, query_terms, read_postings, write_postings
+from ..operators.keyword import keyword_topk, query_terms, read_postings, write_postings
 from ..operators.semantic import semantic_topk
 from ..sources.build_log import append_status, index_status
 
@@ -43,6 +44,8 @@ class IndexNotReady(RuntimeError):
 def build_index(documents: DataFrame, root: str, model: Model | None = None) -> DataFrame:
     """Index documents (source_path, text) under ``root`` and return the new status row.
 
+    Texts are cut and split into index words once; vectors and postings are made
+    from the stored chunks, so nothing is computed twice and ids stay what they are.
     Without a model, chunks get hashed TF-IDF vectors whose weights are stored
     with the index. An empty source is ready with 0 documents and leaves the
     tables of the last build in place.
@@ -56,18 +59,16 @@ def build_index(documents: DataFrame, root: str, model: Model | None = None) ->
         version = uuid.uuid4().hex
         folder = f"{root}/builds/{version}"
         write_chunks(chunk_documents(documents), f"{folder}/chunks")
-        # Everything below reads the written chunks, whose ids no recomputation can change.
         chunks = spark.read.parquet(f"{folder}/chunks")
-        texts = chunks.select("id", "content")
+        n_chunks = chunks.count()
         if model is None:
-            embedder = TfidfEmbedder.fit(texts)
+            embedder = TfidfEmbedder.fit(chunks)
             embedder.save(f"{folder}/embedder")
-            vectors = embedder.transform(texts)
+            vectors = embedder.transform(chunks.select("id", "words"))
         else:
-            vectors = embed_documents(texts, model)
+            vectors = embed_documents(chunks.select("id", "content"), model)
         vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
-        n_chunks = chunks.count()
-        write_postings(postings(texts), f"{folder}/postings", n_chunks)
+        write_postings(explode_index(chunks, ["id"], "words"), f"{folder}/postings", n_chunks)
         append_status(spark, root, "ready", document_count=n_chunks, version=version)
     except Exception as problem:
         append_status(spark, root, "failed", last_error=str(problem))
@@ -76,10 +77,11 @@ def build_index(documents: DataFrame, root: str, model: Model | None = None) ->
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks with an id and the time of writing. Ids are unique but not consecutive."""
+    """Store chunks with an id, their index words and the time of writing. Ids are unique but not consecutive."""
     chunks.select(
         (F.monotonically_increasing_id() + 1).alias("id"),
         *chunks.columns,
+        english_index(F.col("content")).alias("words"),
         F.current_timestamp().alias("created_at"),
         F.current_timestamp().alias("updated_at"),
     ).write.parquet(path)
@@ -155,6 +157,7 @@ def with_content(hits: DataFrame, chunks: DataFrame, search_type: str) -> DataFr
 def embed_query(spark: SparkSession, folder: str, query: str, model: Model | None) -> list[float]:
     asked = spark.createDataFrame([(query,)], "content string")
     if model is None:
+        asked = asked.withColumn("words", english_index(F.col("content")))
         embedded = TfidfEmbedder.load(f"{folder}/embedder").transform(asked)
     else:
         embedded = embed_documents(asked, model)

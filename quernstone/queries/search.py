@@ -18,8 +18,10 @@ from ..functions.text import (
     STEP_4,
     STOP_WORDS,
     TOKEN_PATTERN,
+    document_title,
+    english_index,
 )
-from ..functions.vector import SCORE_DIGITS, cosine_similarity
+from ..functions.vector import SCORE_DIGITS, cosine_similarity, dot
 from ..operators import keyword, semantic
 from ..operators.chunks import chunk_documents
 from ..operators.embed import TfidfEmbedder
@@ -55,8 +57,6 @@ def _chunks(spark, sf_dir):
 
 
 def _titles(spark, sf_dir):
-    from ..functions.text import document_title
-
     return articles(spark, sf_dir).select(
         "source_path", document_title(F.col("text"), F.col("source_path")).alias("title")
     )
@@ -116,8 +116,18 @@ def _neighbour_similarity(spark, sf_dir):
 
 
 def _embed(spark, sf_dir):
-    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text").withColumnRenamed("text", "content")
-    return TfidfEmbedder.fit(docs, dimensions=256).transform(docs).select("doc_id", "embedding")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
+    # Kept for the two passes of fitting and transforming, as an index build keeps them.
+    folder = scratch_path(spark, "words")
+    docs.select("doc_id", english_index(F.col("text")).alias("words")).write.parquet(folder)
+    words = spark.read.parquet(folder)
+    return TfidfEmbedder.fit(words, dimensions=256).transform(words).select("doc_id", "embedding")
+
+
+def _embedding_norms(spark, sf_dir):
+    made = _embed(spark, sf_dir)
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    return made.select("doc_id", F.size("embedding").alias("dimensions"), F.round(norm, 3).alias("norm"))
 
 
 def _rrf_fuse(spark, sf_dir):
@@ -178,6 +188,7 @@ QUERIES = {
     "semantic_batch_topk": _semantic_batch,
     "semantic_lsh": _semantic_lsh,
     "embed_documents": _embed,
+    "embedding_norms": _embedding_norms,
     "rrf_fuse": _rrf_fuse,
     "hybrid_search": _hybrid,
     "build_index": _built_chunks,
@@ -185,6 +196,7 @@ QUERIES = {
     "search_semantic": _search("semantic"),
     "search_keyword": _search("keyword"),
     "search_hybrid": _search("hybrid"),
+    "search_keyword_scores": lambda spark, d: _search("keyword")(spark, d).select("rank", "score"),
 }
 
 
@@ -311,9 +323,9 @@ def _terms_sql() -> str:
     return "terms AS (SELECT DISTINCT query, stem AS term FROM asked_words JOIN stems USING (word))"
 
 
-def _scores_sql(names) -> str:
+def _scores_sql(names, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
     """Cover density by its definition: for each end the latest start, for each start the earliest end."""
-    source = _postings_sql("documents", "doc_id", "text").replace(
+    source = _postings_sql(table, key, text).replace(
         f"SELECT DISTINCT word FROM words WHERE word NOT IN ({STOPS})",
         f"SELECT DISTINCT word FROM words WHERE word NOT IN ({STOPS}) UNION SELECT word FROM extra",
     )
@@ -391,6 +403,15 @@ SELECT query, id, score, rank FROM near WHERE rank <= 10""",
 SELECT * EXCLUDE (query) FROM (
 {_fuse_sql("SELECT 'two' AS query, * FROM near WHERE rank <= 50",
            'SELECT query, id, score, rank FROM ranked WHERE rank <= 50', 'query', 20)})""",
+    "embedding_norms": f"""WITH indexed AS (
+  SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{TOKEN_PATTERN}'), lambda w: w NOT IN ({STOPS}))) AS n
+  FROM documents)
+SELECT doc_id, 256 AS dimensions, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM indexed""",
     "build_index": CHUNK_ROWS,
+    # Scores only: which of several chunks of equal score is shown depends on their ids.
+    "search_keyword_scores": f"""WITH RECURSIVE {CHUNKS},
+numbered AS MATERIALIZED (SELECT row_number() OVER () AS id, content FROM chunks),
+{_scores_sql(['two'], 'numbered', 'id', 'content')}
+SELECT rank, score FROM ranked WHERE rank <= 10""",
     "index_status": f"WITH RECURSIVE {CHUNKS} SELECT 'ready' AS status, count(*) AS document_count FROM chunks",
 }

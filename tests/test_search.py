@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quernstone.functions.text import english_index
 from quernstone.functions.vector import cosine_similarity
 from quernstone.operators import keyword, semantic
 from quernstone.operators.embed import TfidfEmbedder, embed_documents
@@ -180,8 +181,9 @@ def test_embeddings(spark):
     made = {r["id"]: r["embedding"] for r in embed_documents(df, lambda texts: [[len(t), 1.0] for t in texts]).collect()}
     assert all(math.isclose(np.linalg.norm(v), 1.0, abs_tol=1e-6) for v in made.values())
     assert math.isclose(made[1][0], 8 / math.hypot(8, 1), abs_tol=1e-6)
-    embedder = TfidfEmbedder.fit(df.where("content is not null"), dimensions=64)
-    tfidf = {r["id"]: r["embedding"] for r in embedder.transform(df.where("content is not null")).collect()}
+    indexed = df.withColumn("words", english_index(F.col("content")))
+    embedder = TfidfEmbedder.fit(indexed, dimensions=64)
+    tfidf = {r["id"]: r["embedding"] for r in embedder.transform(indexed).collect()}
     assert len(tfidf[1]) == 64 and math.isclose(np.linalg.norm(tfidf[1]), 1.0, abs_tol=1e-6)
-    assert np.linalg.norm(tfidf[3]) == 0.0
+    assert np.linalg.norm(tfidf[3]) == np.linalg.norm(tfidf[4]) == 0.0
     assert np.dot(tfidf[1], tfidf[2]) > 0
