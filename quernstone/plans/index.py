@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import english_index, explode_index
 from ..operators.chunks import chunk_documents
+from ..operators.clusters import cluster_topk, write_clusters
 from ..operators.embed import TfidfEmbedder, embed_documents
 from ..operators.fuse import rrf_fuse
 from ..operators.keyword import keyword_topk, query_terms, read_postings, write_postings
@@ -41,14 +42,17 @@ class IndexNotReady(RuntimeError):
     pass
 
 
-def build_index(documents: DataFrame, root: str, model: Model | None = None) -> DataFrame:
+def build_index(
+    documents: DataFrame, root: str, model: Model | None = None, cluster_vectors: bool = False
+) -> DataFrame:
     """Index documents (source_path, text) under ``root`` and return the new status row.
 
     Texts are cut and split into index words once; vectors and postings are made
     from the stored chunks, so nothing is computed twice and ids stay what they are.
     Without a model, chunks get hashed TF-IDF vectors whose weights are stored
-    with the index. An empty source is ready with 0 documents and leaves the
-    tables of the last build in place.
+    with the index. ``cluster_vectors`` adds a copy of the vectors laid out for
+    approximate search. An empty source is ready with 0 documents and leaves
+    the tables of the last build in place.
     """
     spark = documents.sparkSession
     append_status(spark, root, "building")
@@ -68,6 +72,8 @@ def build_index(documents: DataFrame, root: str, model: Model | None = None) ->
         else:
             vectors = embed_documents(chunks.select("id", "content"), model)
         vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
+        if cluster_vectors:
+            write_clusters(spark.read.parquet(f"{folder}/vectors"), f"{folder}/clusters")
         write_postings(explode_index(chunks, ["id"], "words"), f"{folder}/postings", n_chunks)
         append_status(spark, root, "ready", document_count=n_chunks, version=version)
     except Exception as problem:
@@ -95,11 +101,13 @@ def search(
     mode: str = "hybrid",
     model: Model | None = None,
     fetch_most: int = FETCH_MOST,
+    probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` chunks that answer a query best, by rank.
 
     ``mode`` is semantic, keyword or hybrid; any other word means hybrid. An
-    index built with a model is searched with the same model. Columns: rank,
+    index built with a model is searched with the same model. With ``probes``,
+    an index with clustered vectors is searched approximately. Columns: rank,
     id, content, metadata, score, search_type, and for hybrid the rank and
     score in both lists.
     """
@@ -109,16 +117,24 @@ def search(
     if status["version"] is None:
         return spark.createDataFrame([], NO_HITS)
     folder = f"{root}/builds/{status['version']}"
-    vectors = spark.read.parquet(f"{folder}/vectors")
+
+    def by_meaning(n: int) -> DataFrame:
+        asked = {"q": embed_query(spark, folder, query, model)}
+        if probes is not None:
+            return cluster_topk(spark, f"{folder}/clusters", asked, n, probes)
+        return semantic_topk(spark.read.parquet(f"{folder}/vectors"), asked, n)
+
+    def by_words(n: int) -> DataFrame:
+        terms = query_terms(spark, {"q": query})
+        return keyword_topk(read_postings(spark, f"{folder}/postings", terms["q"]), terms, n)
+
     if mode == "semantic":
-        found = semantic_topk(vectors, {"q": embed_query(spark, folder, query, model)}, k)
+        found = by_meaning(k)
+    elif mode == "keyword":
+        found = by_words(k)
     else:
-        terms = query_terms(spark, {"q": query})["q"]
-        words = read_postings(spark, f"{folder}/postings", terms)
-        if mode == "keyword":
-            found = keyword_topk(words, {"q": terms}, k)
-        else:
-            found = hybrid_search(vectors, words, embed_query(spark, folder, query, model), terms, k, fetch_most)
+        fetch = min(FETCH_FACTOR * k, fetch_most)
+        found = rrf_fuse(by_meaning(fetch), by_words(fetch), k)
     return with_content(found.drop("query"), spark.read.parquet(f"{folder}/chunks"), mode)
 
 

@@ -24,6 +24,7 @@ from ..functions.text import (
 from ..functions.vector import SCORE_DIGITS, cosine_similarity, dot
 from ..operators import keyword, semantic
 from ..operators.chunks import chunk_documents
+from ..operators.clusters import CLUSTERS_MOST, cluster_topk, write_clusters
 from ..operators.embed import TfidfEmbedder
 from ..operators.fuse import rrf_fuse
 from ..operators.semantic import rank_hits
@@ -108,6 +109,14 @@ def _semantic_lsh(spark, sf_dir):
     return semantic.semantic_lsh_topk(model, hashed, _mean_vector(vectors), 10, "vec_id")
 
 
+def _semantic_clusters(spark, sf_dir):
+    """Every cluster is probed, so the answer is that of the exact search."""
+    vectors = read(spark, sf_dir, "embeddings")
+    folder = scratch_path(spark, "clusters")
+    write_clusters(vectors.withColumnRenamed("vec_id", "id"), folder)
+    return cluster_topk(spark, folder, {"mean": _mean_vector(vectors)}, 25, CLUSTERS_MOST).drop("query")
+
+
 def _neighbour_similarity(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -187,6 +196,7 @@ QUERIES = {
     "semantic_topk": _semantic_topk,
     "semantic_batch_topk": _semantic_batch,
     "semantic_lsh": _semantic_lsh,
+    "semantic_clusters": _semantic_clusters,
     "embed_documents": _embed,
     "embedding_norms": _embedding_norms,
     "rrf_fuse": _rrf_fuse,
@@ -391,6 +401,7 @@ SELECT id FROM hits GROUP BY id HAVING count(DISTINCT term) = (SELECT n FROM wan
     "vector_similarity": f"""SELECT a.vec_id, {COSINE.format('a.embedding', 'b.embedding::DOUBLE[]')} AS score
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "semantic_topk": f"WITH {SEMANTIC_RANKED} SELECT id, score, rank FROM near WHERE rank <= 25",
+    "semantic_clusters": f"WITH {SEMANTIC_RANKED} SELECT id, score, rank FROM near WHERE rank <= 25",
     "semantic_batch_topk": f"""WITH {MEAN_VECTORS},
 near AS (
   SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank

@@ -93,9 +93,11 @@ def test_failed_and_empty_builds(spark, folder):
     with pytest.raises(IndexNotReady, match="failed"):
         search(spark, path, "anything")
 
-    build_index(documents, path)
+    build_index(documents, path, cluster_vectors=True)
     first = index_status(spark, path).first()
     assert (first["status"], first["last_error"]) == ("ready", None)
+    near = search(spark, path, "warehouse query", 2, "semantic", probes=100)
+    assert near.collect() == search(spark, path, "warehouse query", 2, "semantic").collect()
 
     build_index(documents.where(F.lit(False)), path)
     empty = index_status(spark, path).first()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import english_index
 from quernstone.functions.vector import cosine_similarity
-from quernstone.operators import keyword, semantic
+from quernstone.operators import clusters, keyword, semantic
 from quernstone.operators.embed import TfidfEmbedder, embed_documents
 from quernstone.operators.fuse import rrf_fuse
 
@@ -145,6 +145,24 @@ def test_lsh_recall(spark):
     assert found >= 45
 
 
+def test_clusters(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    towards = rng.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in towards[i % 12] + rng.normal(size=8) * 0.2]) for i in range(900)]
+    rows += [(900, [0.0] * 8)]
+    df = spark.createDataFrame([*rows, (901, None)], "id long, embedding array<float>")
+    path = str(tmp_path / "clusters")
+    clusters.write_clusters(df, path, 12)
+    stored = spark.read.parquet(f"{path}/vectors")
+    assert stored.count() == 901
+    queries = {"a": rows[5][1], "b": rows[6][1]}
+    everything = clusters.cluster_topk(spark, path, queries, 10, 12).orderBy("query", "rank").collect()
+    assert everything == semantic.semantic_topk(df, queries, 10).orderBy("query", "rank").collect()
+    few = clusters.cluster_topk(spark, path, {"a": rows[5][1]}, 10, 2)
+    assert len({r["id"] for r in few.collect()} & {r["id"] for r in everything if r["query"] == "a"}) >= 9
+    assert "PartitionFilters: [cluster" in few._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cosine_column(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()]
