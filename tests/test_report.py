@@ -71,6 +71,8 @@ def test_everything_wrong(spark):
         "1 sampled record(s) have NULLs in a critical column (email_id, campaign_id, recipient_id, event_type)."
     )
     assert json.loads(found["critical_column_nulls"]["evidence"])["failed_count"] == 1
+    bare = dq_report(df, rules, DAY, "email_events", as_of="2024-03-09 12:00:00", with_samples=False).first()
+    assert [f["description"] for f in bare["findings"]] == [f["description"] for f in row["findings"]]
     assert row["overall_severity"] == "critical"
     assert row["summary"].startswith("6 finding(s) for email_events on 2024-03-08 (overall severity: critical).")
     assert row["recommendations"] == [text for types, text in ADVICE if set(types) & set(found)]
