@@ -59,7 +59,8 @@ def chunk_text(text: Column | str, size: int = CHUNK_CHARS, overlap: int = OVERL
 
 def document_title(text: Column, source_path: Column) -> Column:
     """First level-one markdown heading, else the last segment of the path."""
-    heading = F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)
+    # With (?d), only a line feed ends a line.
+    heading = F.regexp_extract(text, r"(?md)^#\s+(.+)$", 1)
     return F.coalesce(F.nullif(heading, F.lit("")), F.element_at(F.split(source_path, "/"), -1))
 
 

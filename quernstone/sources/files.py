@@ -17,4 +17,6 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 def read_text_documents(spark: SparkSession, path: str, suffix: str = ".md") -> DataFrame:
     """source_path and text of every UTF-8 file below a path, one row per file."""
     texts = spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
-    return texts.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
+    # The path is given as a URI, in which only % marks an escape.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return texts.select(path.alias("source_path"), F.col("value").alias("text"))

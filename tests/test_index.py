@@ -10,6 +10,7 @@ TEXTS = {
     "guide.md": "# User guide\n\nConnect the warehouse before running queries. Queries are read only.",
     "deep/api.md": "# API\n\n" + "The search function returns ranked chunks. " * 60,
     "faq.md": "How do I reset a password? Ask the administrator. Hybrid search combines both lists.",
+    "deep/50% a+b é.md": "no heading here, nor any word of the others",
     "notes.txt": "not markdown",
 }
 
@@ -35,9 +36,9 @@ def root(spark, folder):
 
 def test_list_files(spark, folder):
     rows = list_files(spark, folder, ".md").collect()
-    assert sorted(r["key"].split("/")[-1] for r in rows) == ["api.md", "faq.md", "guide.md"]
+    assert sorted(r["key"].split("/")[-1] for r in rows) == ["50% a+b é.md", "api.md", "faq.md", "guide.md"]
     assert {r["key"].split("/")[-1]: r["size"] for r in rows}["guide.md"] == len(TEXTS["guide.md"])
-    assert list_files(spark, folder).count() == 4
+    assert list_files(spark, folder).count() == 5
 
 
 def test_read_text_documents(spark, folder):

@@ -80,6 +80,19 @@ def test_stored_postings(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan
 
 
+def test_a_hot_term_is_written_by_several_tasks(spark, tmp_path):
+    term = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id")))
+    words = spark.range(0, 300_000, 1, 8).select("id", term.alias("term"), F.lit(1).alias("pos"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        keyword.write_postings(words, str(tmp_path / "p"), 400_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    hot = keyword.read_postings(spark, str(tmp_path / "p"), ["hot"])
+    assert hot.count() == 100_000
+    assert len(hot.select(F.input_file_name()).distinct().collect()) > 1
+
+
 def vectors(spark, n, width, seed=1):
     rng = random.Random(seed)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(width)]) for i in range(n)]
