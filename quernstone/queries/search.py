@@ -20,6 +20,7 @@ from ..functions.text import (
     TOKEN_PATTERN,
     document_title,
     english_index,
+    word_tokens,
 )
 from ..functions.vector import SCORE_DIGITS, cosine_similarity, dot
 from ..operators import keyword, semantic
@@ -63,6 +64,20 @@ def _titles(spark, sf_dir):
     )
 
 
+def _tokens(spark, sf_dir):
+    """Words of every document as the tokenizer sees them: how many, how many different, and the longest."""
+    words = read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id", word_tokens(F.col("text")).alias("words")
+    )
+    lengths = F.transform("words", lambda w: F.length(w))
+    return words.select(
+        "doc_id",
+        F.size("words").alias("n_words"),
+        F.size(F.array_distinct("words")).alias("n_different"),
+        F.array_max(lengths).alias("longest"),
+    )
+
+
 def _postings(spark, sf_dir):
     return keyword.postings(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -188,6 +203,7 @@ def _search(mode):
 QUERIES = {
     "document_titles": _titles,
     "chunk_documents": _chunks,
+    "tokens": _tokens,
     "postings": _postings,
     "keyword_match": lambda spark, d: keyword.keyword_match(_postings(spark, d), _query_terms(spark)["three"]),
     "keyword_topk": _keyword_topk,
@@ -393,6 +409,10 @@ by_orders AS (
 ORACLES = {
     "document_titles": f"WITH {ARTICLES} SELECT source_path, {TITLE} AS title FROM articles",
     "chunk_documents": CHUNK_ROWS,
+    "tokens": f"""WITH listed AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN_PATTERN}') AS words FROM documents)
+SELECT doc_id, len(words)::INTEGER AS n_words, len(list_distinct(words))::INTEGER AS n_different,
+       list_max(list_transform(words, lambda w: length(w)))::INTEGER AS longest FROM listed""",
     "postings": f"WITH {_postings_sql('documents', 'doc_id', 'text')} SELECT id, term, pos FROM postings",
     "keyword_match": f"""WITH {_scores_sql(['three'])}
 SELECT id FROM hits GROUP BY id HAVING count(DISTINCT term) = (SELECT n FROM wanted)""",
