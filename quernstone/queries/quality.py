@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import severity as sev
 from ..operators import duplicates, failed, freshness, metrics, nulls, row_counts
 from ..plans.report import dq_findings, dq_recommendations, dq_report, dq_report_daily
-from ..plans.rules import TableRules
+from ..plans.rules import TableRules, rules_for
 from .tables import AS_OF, DAY, DAY_BEFORE, HOLED_EVENTS, holed_events, read
 
 KEYS = ("user_id", "event_type")
@@ -30,6 +30,23 @@ def _report_daily(spark, sf_dir):
     return dq_report_daily(holed_events(spark, sf_dir), RULES, "events")
 
 
+def campaigns(spark, sf_dir):
+    """Daily results per campaign, taking users in twenty groups as the audience of one campaign each."""
+    events = read(spark, sf_dir, "events")
+    campaign = F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string"))
+    return events.groupBy(campaign.alias("campaign_id"), F.to_date("ts").alias("business_date")).agg(
+        F.count(F.lit(1)).alias("sends"),
+        F.count_if(F.col("event_type") == "view").alias("opens"),
+        F.count_if(F.col("event_type") == "click").alias("clicks"),
+        F.max("ts").alias("updated_at"),
+    )
+
+
+def _campaign_report(spark, sf_dir):
+    table = "main.email.campaign_performance"
+    return dq_report(campaigns(spark, sf_dir), rules_for(table), DAY, table, as_of=AS_OF)
+
+
 def _severity_of_daily_change(spark, sf_dir):
     daily = metrics.metric_totals_daily(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate")
     change = sev.pct_change(F.col("previous_total"), F.col("current_total"))
@@ -95,6 +112,7 @@ QUERIES = {
     "dq_findings": lambda spark, d: dq_findings(_report(spark, d)).drop("evidence"),
     "dq_summary": lambda spark, d: _report(spark, d).select("business_date", "summary", "overall_severity"),
     "dq_recommendations": lambda spark, d: dq_recommendations(_report(spark, d)),
+    "campaign_findings": lambda spark, d: dq_findings(_campaign_report(spark, d)).drop("evidence"),
     "dq_findings_daily": lambda spark, d: dq_findings(_report_daily(spark, d)).drop("evidence"),
     "dq_summary_daily": lambda spark, d: _report_daily(spark, d).select(
         "business_date", "summary", "overall_severity"
@@ -266,7 +284,33 @@ TWO_DAYS = f"WHERE ts::DATE IN (DATE '{DAY_BEFORE}', DATE '{DAY}')"
 SUM_BEFORE = f"coalesce(sum(value) FILTER (WHERE ts::DATE = DATE '{DAY_BEFORE}'), 0)"
 SUM_NOW = f"coalesce(sum(value) FILTER (WHERE ts::DATE = DATE '{DAY}'), 0)"
 
+CAMPAIGN_FINDINGS = f"""WITH perf AS (
+  SELECT 'c' || (user_id % 20) AS campaign_id, ts::DATE AS business_date, count(*) AS sends,
+         count(*) FILTER (WHERE event_type = 'view') AS opens, max(ts) AS updated_at
+  FROM events GROUP BY ALL),
+counts AS (
+  SELECT count(*) FILTER (WHERE business_date = DATE '{DAY}') AS current,
+         count(*) FILTER (WHERE business_date = DATE '{DAY_BEFORE}') AS previous FROM perf),
+opens AS (
+  SELECT coalesce(sum(opens) FILTER (WHERE business_date = DATE '{DAY}'), 0)::DOUBLE AS current,
+         coalesce(sum(opens) FILTER (WHERE business_date = DATE '{DAY_BEFORE}'), 0)::DOUBLE AS previous FROM perf),
+age AS (SELECT round((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(max(updated_at)))) / 3600.0, 2) AS hours FROM perf),
+findings AS (
+  SELECT 1 AS no, 'row_count_drop' AS issue_type, {_drop_severity(COUNT_CHANGE, 15.0, 40.0)} AS severity,
+         'Row count changed ' || {NUMBER.format(f"round({COUNT_CHANGE}, 2)")} || '% vs {DAY_BEFORE} ('
+           || previous || ' -> ' || current || ').' AS description FROM counts
+  UNION ALL
+  SELECT 4, 'freshness_issue',
+         CASE WHEN hours > 18 THEN 'critical' WHEN hours > 12 THEN 'warning' ELSE 'ok' END,
+         'Latest updated_at is ' || CAST(hours AS VARCHAR) || 'h old (threshold 12.0h).' FROM age
+  UNION ALL
+  SELECT 5, 'metric_trend_deviation', {_pct_severity(CHANGE, 10.0, 30.0)},
+         'opens moved ' || {NUMBER.format(f"round({CHANGE}, 2)")} || '% vs {DAY_BEFORE}.' FROM opens)
+SELECT DATE '{DAY}' AS business_date, row_number() OVER (ORDER BY no)::INTEGER AS position, issue_type, severity,
+       description FROM findings WHERE severity <> 'ok'"""
+
 ORACLES = {
+    "campaign_findings": CAMPAIGN_FINDINGS,
     "severity_pct": f"""WITH {_sums_daily('orders', 'o_orderdate', 'o_totalprice')},
 moved AS (SELECT day, {MOVE_COLUMNS.format('p', 'c')} FROM moves),
 changed AS (SELECT day, CASE WHEN p <> 0 THEN (c - p) / nullif(p, 0) * 100 END AS change FROM moved)
