@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1000
 OVERLAP_CHARS = 100
-# Only the last fifth of a chunk is searched for a place to break.
-BREAK_FROM = CHUNK_CHARS * 4 // 5
 
 
 def split_text(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:

@@ -16,7 +16,6 @@ one row per reported day, whatever the size of the table:
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -431,8 +430,7 @@ OPTIONAL_FACTS = ("duplicate_sample", "critical_sample")
 
 def _report(stacked: list[DataFrame], checks: _Checks, table: str) -> DataFrame:
     """Fold the stacked facts of each day into one row and word the report over it."""
-    union: Callable[[DataFrame, DataFrame], DataFrame] = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    facts = reduce(union, stacked)
+    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
     for name in OPTIONAL_FACTS:
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(None).cast("string"))
