@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .imatch import edited_texts, lexicon
+from .languages import held_out, identify, train
+from .licenses import BASE_PHRASES, LOWER, MIN_WORDS, NOTICES, PLAIN_WORDS, RARE_WORDS, UPPER, scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -14,6 +17,27 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fingerprints(spark, sf_dir):
+    documents = _read(spark, sf_dir, "documents")
+    return edited_texts(documents, lexicon(documents)).withColumnRenamed("id", "doc_id")
+
+
+def _languages(spark, sf_dir):
+    documents = _read(spark, sf_dir, "documents")
+    # Rows without id have no checksum and are not learned from.
+    model = train(documents.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")))
+    found = identify(documents, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def _licenses(spark, sf_dir):
+    found = scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def _pack(spark, sf_dir):
     packed = pack_documents(_read(spark, sf_dir, "documents"))
     return packed.withColumnRenamed("id", "doc_id")
@@ -40,12 +64,35 @@ def _quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_imatch_fingerprints": _fingerprints,
     "op5_best_fit_packing": _pack,
+    "op6_language_id": _languages,
     "op7_mix_sources": _mix,
+    "op8_license_scan": _licenses,
     "op9_line_dedup": _lines,
     "op10_quality_rules": _quality,
 }
 
+
+
+def _listed(rows) -> str:
+    """Rows of numbers and texts as SQL VALUES."""
+    text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows)
+
+
+_NOTICE_ROWS = [
+    (k, label, min(RARE_WORDS, len({*notice.split()} - PLAIN_WORDS))) for k, (label, notice, _) in enumerate(NOTICES)
+]
+_POSTING_ROWS = [
+    (word, k, place)
+    for k, (_, notice, _) in enumerate(NOTICES)
+    for place, word in enumerate(notice.split())
+    if word not in PLAIN_WORDS
+]
+_PHRASE_ROWS = [(k, f" {phrase} ") for k, (_, _, phrases) in enumerate(NOTICES) for phrase in phrases]
+_BASE_ROWS = [(phrase, label, len(phrase.split())) for phrase, label in BASE_PHRASES.items()]
+
 ORACLES = {
     "op7_mix_sources": r"""
 WITH sized AS (
@@ -86,6 +133,47 @@ SELECT doc_id, size, source_size, target,
                               AND 2 * before + size <= 2 * (target - times * source_size) THEN 1 ELSE 0 END))::BIGINT
          AS taken
 FROM whole""",
+    "op8_license_scan": rf"""
+WITH notices(notice, label, most) AS (VALUES {_listed(_NOTICE_ROWS)}),
+postings(word, notice, place) AS (VALUES {_listed(_POSTING_ROWS)}),
+phrases(notice, phrase) AS (VALUES {_listed(_PHRASE_ROWS)}),
+base_phrases(phrase, label, size) AS (VALUES {_listed(_BASE_ROWS)}),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+flat AS (SELECT doc_id, ' ' || coalesce(array_to_string(words, ' '), '') || ' ' AS flat FROM docs),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos, words FROM docs),
+base AS (
+  SELECT doc_id, pos, label FROM placed, base_phrases
+  WHERE word = split_part(phrase, ' ', 1) AND array_to_string(words[pos + 1:pos + size], ' ') = phrase),
+based AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
+  FROM base GROUP BY doc_id),
+ranks AS (
+  SELECT word, row_number() OVER (ORDER BY n, word) AS place
+  FROM (SELECT l.word, count(DISTINCT p.doc_id) AS n
+        FROM (SELECT DISTINCT word FROM postings) l LEFT JOIN placed p ON l.word = p.word GROUP BY l.word)),
+rare AS (
+  SELECT doc_id, word FROM (SELECT DISTINCT p.doc_id, p.word, r.place FROM placed p JOIN ranks r ON p.word = r.word)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY place) <= {RARE_WORDS}),
+met AS (
+  SELECT p.doc_id, t.notice, p.pos - t.place AS at, count(DISTINCT p.word) AS n
+  FROM placed p JOIN rare r ON p.doc_id = r.doc_id AND p.word = r.word JOIN postings t ON p.word = t.word
+  GROUP BY p.doc_id, t.notice, p.pos - t.place),
+matched AS (
+  SELECT m.doc_id, n.label, least(1.0, m.n / n.most)::DOUBLE AS share
+  FROM met m JOIN notices n ON m.notice = n.notice JOIN flat f ON m.doc_id = f.doc_id
+  WHERE m.n >= least({MIN_WORDS}, n.most)
+    AND NOT EXISTS (SELECT 1 FROM phrases p WHERE p.notice = m.notice AND NOT contains(f.flat, p.phrase))),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM matched GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base,
+       b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(
+         list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(f.share, 0.0::DOUBLE) END AS score
+FROM docs d LEFT JOIN based b ON d.doc_id = b.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id""",
     "op9_line_dedup": r"""
 WITH parts AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
