@@ -9,7 +9,9 @@ from .languages import held_out, identify, train
 from .licenses import BASE_PHRASES, LOWER, MIN_WORDS, NOTICES, PLAIN_WORDS, RARE_WORDS, UPPER, scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .ngram_join import similar_documents
 from .packing import pack_documents
+from .passages import repeated_passages
 from .quality import MAX_REMOVED_PERCENT, MIN_PERCENT, MIN_TEXTS, quality_rules
 
 
@@ -22,6 +24,15 @@ def _fingerprints(spark, sf_dir):
     return edited_texts(documents, lexicon(documents)).withColumnRenamed("id", "doc_id")
 
 
+def _passages(spark, sf_dir):
+    found = repeated_passages(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "kept_id", "line", F.col("start").alias("first_word"), (F.col("end") - F.col("start")).alias("n_words"))
+
+
+def _similar(spark, sf_dir):
+    return similar_documents(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _languages(spark, sf_dir):
     documents = _read(spark, sf_dir, "documents")
     # Rows without id have no checksum and are not learned from.
@@ -66,6 +77,8 @@ def _quality(spark, sf_dir):
 QUERIES = {
     "op1_imatch_fingerprints": _fingerprints,
     "op5_best_fit_packing": _pack,
+    "op2_passage_dedup": _passages,
+    "op4_ngram_jaccard_join": _similar,
     "op6_language_id": _languages,
     "op7_mix_sources": _mix,
     "op8_license_scan": _licenses,
@@ -94,6 +107,29 @@ _PHRASE_ROWS = [(k, f" {phrase} ") for k, (_, _, phrases) in enumerate(NOTICES)
 _BASE_ROWS = [(phrase, label, len(phrase.split())) for phrase, label in BASE_PHRASES.items()]
 
 ORACLES = {
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+parts AS (
+  SELECT doc_id, CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                      ELSE [array_to_string(words[i:i + 2], ' ') for i in range(1, len(words) - 1)] END AS parts
+  FROM docs WHERE len(words) > 0),
+shingles AS (SELECT DISTINCT doc_id, unnest(parts) AS shingle FROM parts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * common.n >= 90 * (x.n + y.n - common.n)),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a)
+SELECT r.doc_id, coalesce(max(s.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id""",
     "op7_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
