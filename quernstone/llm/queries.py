@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .html_extract import extract_text, train_on
 from .imatch import edited_texts, lexicon
 from .languages import held_out, identify, train
 from .licenses import BASE_PHRASES, LOWER, MIN_WORDS, NOTICES, PLAIN_WORDS, RARE_WORDS, UPPER, scan_licenses
@@ -29,6 +30,14 @@ def _passages(spark, sf_dir):
     return found.select("doc_id", "kept_id", "line", F.col("start").alias("first_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
 
+def _main_text(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # The page's address is taken along with its id.
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    texts = extract_text(keyed, train_on(pages), "page")
+    return texts.select("id.page_id", "id.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def _similar(spark, sf_dir):
     return similar_documents(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -78,6 +87,7 @@ QUERIES = {
     "op1_imatch_fingerprints": _fingerprints,
     "op5_best_fit_packing": _pack,
     "op2_passage_dedup": _passages,
+    "op3_html_extract": _main_text,
     "op4_ngram_jaccard_join": _similar,
     "op6_language_id": _languages,
     "op7_mix_sources": _mix,
