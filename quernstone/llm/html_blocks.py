@@ -42,8 +42,8 @@ class Block:
     text: str
     tags: tuple[str, ...]
     names: frozenset[str]
+    nearest: frozenset[str]  # names of the innermost element that has any
     linked: int = 0
-    place: int = 0
 
 
 @dataclass
@@ -86,8 +86,9 @@ def leaf_blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 names = frozenset().union(*(o.names for o in stack))
+                nearest = next((o.names for o in reversed(stack) if o.names), frozenset())
                 linked = len(" ".join(unescape("".join(links)).split()))
-                blocks.append(Block(text, tuple(o.tag for o in stack), names, linked, len(blocks)))
+                blocks.append(Block(text, tuple(o.tag for o in stack), names, nearest, linked))
             parts.clear()
         links.clear()
 

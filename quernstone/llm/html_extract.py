@@ -62,7 +62,10 @@ CUES = re.compile(
 )
 _WORD = re.compile(r"\w+")
 _CONTENT_WORDS = frozenset(w for n in CONTENT_NAMES for w in n.split("-")) - {"page", "body"}
-_PART_WORDS = frozenset(w for names in PART_NAMES.values() for n in names for w in n.split("-"))
+_PART_WORDS = frozenset(w for names in PART_NAMES.values() for n in names for w in n.split("-")) - frozenset(
+    "area author bar body bottom box cloud info links list main message page post posts recent site skip slot text top "
+    "contact".split()
+)
 
 
 def _step(value: float, steps: tuple[float, ...]) -> int:
@@ -93,6 +96,8 @@ def page_features(blocks: list[Block]) -> list[list[str]]:
             found.add(f"cue:{min(size, 4)}")
         if b.names & _PART_WORDS:
             found.add("part-name")
+        kind = "part" if b.nearest & _PART_WORDS else "content" if b.nearest & _CONTENT_WORDS else "other"
+        found.add(f"nearest:{kind if b.nearest else 'none'}")
         found.add("bias")
         out.append(sorted(found))
     return out
