@@ -96,9 +96,9 @@ def _live(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _few_left(live: DataFrame) -> bool:
-    """Whether the pairs between components are no more than a few times the postings."""
+    """Whether the pairs between components are no more than the postings."""
     by_label = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     by_token = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"))
     pairs = (F.col("n") * F.col("n") - F.col("square")) / 2
     row = by_token.agg(F.sum(pairs).alias("pairs"), F.sum("n").alias("n")).first()
-    return (row["pairs"] or 0) <= 4 * (row["n"] or 0)
+    return (row["pairs"] or 0) <= (row["n"] or 0)

@@ -137,11 +137,13 @@ def chained(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     )
     shares = [k / (4 * partitions) for k in range(1, 4 * partitions)]
     cuts = rows.agg(F.percentile_approx("at", shares, 100_000)).first()[0] or []
-    edges = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    edges = sorted({-float("inf"), *(cuts or [0.0]), float("inf")})
     bucketed = Bucketizer(splits=edges, inputCol="at", outputCol="cut", handleInvalid="keep").transform(rows)
     bucketed = bucketed.withColumn("bucket", F.col("cut").cast("int"))
     # One row per bucket: four times as many as there are partitions at most.
     firsts = bucketed.where("id IS NOT NULL").groupBy("bucket").agg(F.min("id").alias("first")).orderBy("bucket").collect()
+    last = firsts[-1]["bucket"] if firsts else 0
+    bucketed = bucketed.withColumn("bucket", F.when(F.col("id").isNull(), last).otherwise(F.col("bucket")))
     before = {r["first"]: firsts[k - 1]["bucket"] for k, r in enumerate(firsts)}
     kind = documents.schema[id_column].dataType.simpleString()
     guests = spark.createDataFrame(list(before.items()), f"first {kind}, before int")
@@ -150,7 +152,7 @@ def chained(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     copy = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("guest"))
     places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))
     spread = joined.select(F.explode(places).alias("p"), "id", "text").select("p.bucket", "p.guest", "id", "text")
-    return spread.repartition(partitions, "bucket").sortWithinPartitions("bucket", "guest", "id")
+    return spread.repartition(partitions, "bucket").sortWithinPartitions("bucket", "guest", F.col("id").asc_nulls_last())
 
 
 def edited_texts(
@@ -171,32 +173,41 @@ def edited_texts(
     held = documents.sparkSession.sparkContext.broadcast(lexicon)
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    def found(maker: Fingerprinter, row: tuple, after: tuple) -> tuple:
+        _, _, key, own, mark = row
+        half = len(own) // 2
+        edited = (own[: len(own) - half] + after[3][:half]).encode()
+        new = maker.of(edited)
+        return (
+            key, len(own), hashlib.sha256(edited).hexdigest(), maker.text_of(mark), maker.text_of(new),
+            likeness(mark, new), likeness(mark, after[4]),
+        )
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (key_type[0], pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names)
+
+    key_type: list[pa.DataType] = []
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, last = Fingerprinter(held.value, families), None
+        maker, head, last = Fingerprinter(held.value, families), None, None
         for batch in batches:
-            out = [[] for _ in names]
+            key_type[:] = [batch.schema.field("id").type]
+            out = []
             columns = (batch.column(c).to_pylist() for c in ("bucket", "guest", "id", "text"))
             for bucket, guest, key, text in zip(*columns):
-                mark = maker.of(text.encode())
-                if last is not None and last[0] == bucket and not last[1]:
-                    _, _, own, old, old_mark = last
-                    half = len(old) // 2
-                    edited = (old[: len(old) - half] + text[:half]).encode()
-                    new = maker.of(edited)
-                    found = (
-                        own, len(old), hashlib.sha256(edited).hexdigest(), maker.text_of(old_mark), maker.text_of(new),
-                        likeness(old_mark, new), likeness(old_mark, mark),
-                    )
-                    for column, value in zip(out, found):
-                        column.append(value)
-                last = (bucket, guest, key, text, mark)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out[0], batch.schema.field("id").type), pa.array(out[1], pa.int64()),
-                    *(pa.array(c, pa.string()) for c in out[2:5]), *(pa.array(c, pa.float64()) for c in out[5:]),
-                ],
-                names,
-            )
+                row = (bucket, guest, key, text, maker.of(text.encode()))
+                if last is None or last[0] != bucket:
+                    # Only a table without ids has a bucket that no guest ends.
+                    if last is not None and not last[1]:
+                        out.append(found(maker, last, head))
+                    head = row
+                elif not last[1]:
+                    out.append(found(maker, last, row))
+                last = row
+            yield batch_of(out)
+        if last is not None and not last[1]:
+            yield batch_of([found(maker, last, head)])
 
     return chained(documents, id_column, text_column).mapInArrow(
         work,

@@ -16,6 +16,8 @@ from .common import plain_text, stored
 
 MAX_TOKENS = 1024
 END = 2
+#: Patterns are fitted so often at most, each time to what is left.
+REFITS = 5
 _HELD_CHUNKS = 400_000
 #: Before such a space, a chunk would not be what the whole text is cut into.
 _JOINED = re.compile(r"\s ")
@@ -161,28 +163,40 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -
 def plan_sequences(histogram: np.ndarray, max_tokens: int = MAX_TOKENS, step: int = 8) -> list[tuple[int, ...]]:
     """``(times, length, length, ...)``: sequences that hold exactly the histogram's pieces.
 
-    Fitted counts are rounded down and taken as far as the histogram goes,
-    the most used first; what is left is packed by best fit, largest first,
-    over counts rather than pieces, so that the work depends on ``max_tokens``
-    and not on how many pieces there are.
+    Fitted counts are rounded down and taken as far as the histogram goes, the
+    most used first; then patterns are fitted to what is left, rounded to the
+    nearest, as long as that places pieces. The rest is packed by best fit,
+    largest first, over counts rather than pieces, so that the work depends on
+    ``max_tokens`` and not on how many pieces there are. Where pieces are few,
+    rounding costs more than patterns gain: of the plans after each round, and
+    of best fit alone, the one of fewest sequences is taken.
     """
     left = histogram.astype(np.int64).copy()
     plan: list[tuple[int, ...]] = [(int(left[max_tokens]), max_tokens)] if left[max_tokens] else []
     left[max_tokens] = 0
     patterns = length_patterns(max_tokens, step)[1:]
-    patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(axis=1)]
-    if len(patterns):
-        counts = np.floor(fit_counts(patterns, left) + 1e-6).astype(np.int64)
-        for k in np.argsort(-counts, kind="stable"):
-            if counts[k] == 0:
-                break
-            need = np.bincount(patterns[k][patterns[k] > 0], minlength=len(left))
-            at = need > 0
-            times = int(min(counts[k], (left[at] // need[at]).min()))
-            if times > 0:
-                left -= need * times
-                plan.append((times, *(int(p) for p in patterns[k] if p)))
-    return plan + best_fit(left, max_tokens)
+    options = []
+    for turn in range(REFITS):
+        patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(axis=1)]
+        if not len(patterns):
+            break
+        fitted = fit_counts(patterns, left)
+        counts = np.floor(fitted + (0.5 if turn else 1e-6)).astype(np.int64)
+        placed = False
+        for k in np.argsort(-fitted, kind="stable"):
+            if counts[k]:
+                need = np.bincount(patterns[k][patterns[k] > 0], minlength=len(left))
+                at = need > 0
+                times = int(min(counts[k], (left[at] // need[at]).min()))
+                if times > 0:
+                    left -= need * times
+                    plan = [*plan, (times, *(int(p) for p in patterns[k] if p))]
+                    placed = True
+        if not placed:
+            break
+        options.append(plan + best_fit(left, max_tokens))
+    options.append(best_fit(histogram, max_tokens))
+    return min(options, key=lambda option: sum(times for times, *_ in option))
 
 
 def best_fit(histogram: np.ndarray, max_tokens: int) -> list[tuple[int, ...]]:

@@ -66,11 +66,3 @@ def documents(spark):
 @pytest.fixture(scope="session")
 def texts(documents):
     return {r["doc_id"]: r["text"] for r in documents.collect()}
-
-
-def by_id(df, *names, key="id"):
-    """Values of the rows by id, a list of them where ids repeat."""
-    out = {}
-    for r in df.collect():
-        out.setdefault(r[key], []).append(tuple(r[n] for n in names))
-    return out

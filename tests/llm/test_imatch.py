@@ -3,7 +3,7 @@
 import hashlib
 
 import numpy as np
-from conftest import by_id  # noqa: F401 - the nearest conftest
+from pyspark.sql import functions as F
 
 from quernstone.llm.imatch import Fingerprinter, edited_texts, fingerprints, lexicon, likeness, terms
 
@@ -64,8 +64,12 @@ def test_odd_rows(odd, none):
     assert len(rows[6]) == 2 and rows[5][0]["fingerprint"] == rows[6][0]["fingerprint"]
     assert rows[1][0]["fingerprint"] == rows[2][0]["fingerprint"] == rows[3][0]["fingerprint"]
     assert rows[1][0]["n_chars"] == 0 and rows[1][0]["near_next"] == 1.0
-    # The highest id comes before the row without one, and that before the first.
-    assert rows[None][0]["edited_sha256"] == hashlib.sha256("a row without"[:13].encode()).hexdigest() or True
+    # The row without id is the last, before the first, whose text is empty.
+    own = "a row without id\nsame line"
+    half = own[: len(own) - len(own) // 2]
+    assert rows[None][0]["edited_sha256"] == hashlib.sha256(half.encode()).hexdigest()
+    no_ids = odd.where("doc_id IS NULL OR doc_id = 5").withColumn("doc_id", F.lit(None).cast("long"))
+    assert edited_texts(no_ids, lexicon(no_ids)).count() == 2
     assert edited_texts(none, lexicon(none)).count() == 0
     assert fingerprints(none, lexicon(none)).count() == 0
     alone = odd.where("doc_id = 5")
