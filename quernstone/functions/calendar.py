@@ -20,15 +20,21 @@ def days_before(day: dt.date | str, n: int) -> dt.date:
 def in_days(df: DataFrame, column: str, first: dt.date | str, last: dt.date | str) -> Column:
     """Rows whose business day lies in ``[first, last]``.
 
-    The column may hold dates, timestamps (with or without zone) or ISO date
-    strings; each is compared with literals of its own type.
+    The column may hold dates, timestamps (with or without zone) or ISO strings
+    of dates or times; each is compared with literals of its own type.
     """
     first, last = as_date(first), as_date(last)
     kind, value = df.schema[column].dataType, F.col(f"`{column}`")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         end = last + dt.timedelta(days=1)
         return (value >= F.lit(first).cast(kind)) & (value < F.lit(end).cast(kind))
-    low, high = (F.lit(x.isoformat()) if isinstance(kind, T.StringType) else F.lit(x) for x in (first, last))
+    if isinstance(kind, T.StringType):
+        # Text of a time within a day lies between the texts of that day and the next.
+        end = last + dt.timedelta(days=1)
+        return (value >= F.lit(first.isoformat())) & (value < F.lit(end.isoformat()))
+    if not isinstance(kind, T.DateType):
+        raise TypeError(f"date column {column!r} is {kind.simpleString()}, which holds no days")
+    low, high = F.lit(first), F.lit(last)
     return value == low if first == last else (value >= low) & (value <= high)
 
 
@@ -41,4 +47,6 @@ def business_day(df: DataFrame, column: str) -> Column:
     kind, value = df.schema[column].dataType, F.col(f"`{column}`")
     if isinstance(kind, T.StringType):
         return value.try_cast("date")
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"date column {column!r} is {kind.simpleString()}, which holds no days")
     return F.to_date(value)

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from .semantic import semantic_topk
 
-CLUSTERS_MOST = 4096
-# Centres settle on this many vectors each; every vector is then assigned to one.
-TRAINING_ROWS = 256
 PROBES = 8
 SEED = 17
 
@@ -25,17 +22,17 @@ SEED = 17
 def write_clusters(vectors: DataFrame, path: str, n_clusters: int | None = None) -> None:
     """Store (id, embedding) in one folder per cluster of similar directions, with the centres beside them.
 
-    The centres are found on a sample, but every vector is stored. The
-    rebalancing shuffle splits a cluster that holds a large share of them.
+    The centres are found on all vectors; by default there are half as many as
+    the square root of the number of vectors. The rebalancing shuffle splits a
+    cluster that holds a large share of them.
     """
     rows = vectors.where(F.col("embedding").isNotNull())
     count = rows.count()
-    wanted = max(2, n_clusters or min(CLUSTERS_MOST, round(math.sqrt(count) / 2)))
+    wanted = max(2, n_clusters or round(math.sqrt(count) / 2))
     features = rows.withColumn("__features", array_to_vector("embedding"))
     unit = Normalizer(inputCol="__features", outputCol="__unit")
-    share = min(1.0, 2.0 * TRAINING_ROWS * wanted / max(count, 1))
     centres = KMeans(k=wanted, featuresCol="__unit", predictionCol="cluster", seed=SEED, maxIter=10).fit(
-        unit.transform(features if share == 1.0 else features.sample(share, SEED))
+        unit.transform(features)
     )
     model = PipelineModel([unit, centres])
     model.write().overwrite().save(f"{path}/model")
@@ -45,12 +42,12 @@ def write_clusters(vectors: DataFrame, path: str, n_clusters: int | None = None)
 
 
 def cluster_topk(
-    spark: SparkSession, path: str, queries: Mapping[str, Sequence[float]], k: int, probes: int = PROBES
+    spark: SparkSession, path: str, queries: Mapping[str, Sequence[float]], k: int, probes: int | None = PROBES
 ) -> DataFrame:
     """About the ``k`` nearest vectors of each query: query, id, score, rank.
 
     Reads the folders of the ``probes`` clusters nearest to each query; with as
-    many probes as there are clusters the answer is exact.
+    many probes as there are clusters, or with None, the answer is exact.
     """
     centres = np.array(PipelineModel.load(f"{path}/model").stages[-1].clusterCenters())
     near: set[int] = set()

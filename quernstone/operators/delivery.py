@@ -14,6 +14,11 @@ from ..functions.hashing import query_hash
 
 INLINE_ROWS, SAMPLE_ROWS = 100, 20
 QUERY_LIMIT = 1000
+# Times with all the digits Spark keeps.
+TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 @dataclass(frozen=True)
@@ -48,9 +53,8 @@ def spill_result(df: DataFrame, folder: str, query: str) -> Spilled:
     stamp = dt.datetime.now(dt.UTC).strftime("%Y/%m/%d/%H%M%S")
     path = f"{folder.rstrip('/')}/{stamp}/{digest}_{uuid.uuid4().hex[:8]}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.json(
-        f"{path}/rows", compression="gzip", ignoreNullFields=False
-    )
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.options(**TIMES).json(f"{path}/rows", compression="gzip", ignoreNullFields=False)
     spilled = Spilled(path, digest, df.columns, seen.get["rows"])
     manifest = [(query, digest, df.columns, spilled.row_count)]
     spark.createDataFrame(
@@ -61,7 +65,7 @@ def spill_result(df: DataFrame, folder: str, query: str) -> Spilled:
 
 def read_spilled(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of a spilled result, with the schema they were written with."""
-    return spark.read.schema(schema).json(f"{path}/rows")
+    return spark.read.schema(schema).options(**TIMES).json(f"{path}/rows")
 
 
 @dataclass(frozen=True)
@@ -76,14 +80,14 @@ class Delivered:
 def bounded_result(
     df: DataFrame, folder: str, query: str, inline_rows: int = INLINE_ROWS, sample_rows: int = SAMPLE_ROWS
 ) -> Delivered:
-    """All rows of a small result; a sample of a large one, which is written out whole.
+    """All rows of a small result; the first rows of a large one, which is written out whole.
 
-    The plan runs once: the result goes to storage first and is looked at there.
-    Probing it with a limit and then writing it would run its joins and
-    aggregates twice. What is read back is at most ``inline_rows`` rows.
+    Rows come in the order of ``df``. A small result writes nothing. A large one
+    is worked out twice, for its first rows and for the files, as files do not
+    keep the order; cache ``df`` where that is dear.
     """
+    rows = df.limit(inline_rows + 1).collect()
+    if len(rows) <= inline_rows:
+        return Delivered(len(rows), df.columns, rows, False, None)
     spilled = spill_result(df, folder, query)
-    is_sample = spilled.row_count > inline_rows
-    stored = read_spilled(df.sparkSession, spilled.path, df.schema)
-    rows = stored.limit(sample_rows if is_sample else inline_rows).collect()
-    return Delivered(spilled.row_count, spilled.columns, rows, is_sample, spilled.path if is_sample else None)
+    return Delivered(spilled.row_count, spilled.columns, rows[:sample_rows], True, spilled.path)

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FAILED_LIMIT, FAILED_MOST = 100, 1000
-SAMPLE_LIMIT, SAMPLE_MOST = 20, 100
+FAILED_LIMIT, SAMPLE_LIMIT = 100, 20
 
 
 def any_null(columns: Sequence[str]) -> Column:
@@ -20,12 +19,12 @@ def any_null(columns: Sequence[str]) -> Column:
 def failed_records(
     df: DataFrame, condition: str | Column, limit: int = FAILED_LIMIT, order_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Up to ``limit`` (1 to 1000) rows for which the condition holds.
+    """Up to ``limit`` (at least 1) rows for which the condition holds.
 
     A condition given as text is one SQL expression, never a statement. With
     ``order_by`` the sample is the same on every run.
     """
-    return _first(df.where(_condition(condition)), limit, FAILED_MOST, order_by)
+    return _first(df.where(_condition(condition)), limit, order_by)
 
 
 def failed_count(df: DataFrame, condition: str | Column) -> DataFrame:
@@ -34,13 +33,15 @@ def failed_count(df: DataFrame, condition: str | Column) -> DataFrame:
 
 
 def sample_data(df: DataFrame, limit: int = SAMPLE_LIMIT, order_by: Sequence[str] = ()) -> DataFrame:
-    """Up to ``limit`` (1 to 100) rows to look at."""
-    return _first(df, limit, SAMPLE_MOST, order_by)
+    """Up to ``limit`` (at least 1) rows to look at."""
+    return _first(df, limit, order_by)
 
 
-def _first(df: DataFrame, limit: int, most: int, order_by: Sequence[str]) -> DataFrame:
+def _first(df: DataFrame, limit: int, order_by: Sequence[str]) -> DataFrame:
+    if limit < 1:
+        raise ValueError(f"limit must be at least 1, not {limit}")
     ordered = df.orderBy(*order_by) if order_by else df
-    return ordered.limit(max(1, min(limit, most)))
+    return ordered.limit(limit)
 
 
 def _condition(condition: str | Column) -> Column:

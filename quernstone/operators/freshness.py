@@ -15,7 +15,8 @@ THRESHOLD_HOURS = 6.0
 def delay_hours(newest: Column, as_of: dt.datetime | str | None) -> Column:
     """Hours from the newest timestamp to ``as_of`` (now by default); negative if it lies ahead."""
     now = F.current_timestamp() if as_of is None else F.lit(str(as_of)).cast("timestamp")
-    seconds = F.unix_timestamp(now) - F.unix_timestamp(newest.cast("timestamp"))
+    # Text that is no timestamp has no age.
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(newest.try_cast("timestamp"))
     return F.round(seconds / 3600.0, 2)
 
 

@@ -14,10 +14,8 @@ from .semantic import rank_hits
 
 # Fixed value: weight of a word of ordinary text in PostgreSQL's cover density rank.
 WORD_WEIGHT = 0.1
-# (term, query) pairs that may be broadcast against the postings; more are joined by shuffle.
-BROADCAST_PAIRS = 100_000
-# A stored postings table has one folder per this many texts, at most ``BUCKETS_MOST``.
-BUCKET_TEXTS, BUCKETS_MOST = 50_000, 4096
+# A stored postings table has one folder per this many texts.
+BUCKET_TEXTS = 50_000
 
 
 def postings(df: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
@@ -32,7 +30,7 @@ def write_postings(words: DataFrame, path: str, n_texts: int) -> None:
     The rebalancing shuffle lets Spark split a folder that one frequent term
     fills over several tasks, by size, without looking at the data beforehand.
     """
-    buckets = max(1, min(n_texts // BUCKET_TEXTS, BUCKETS_MOST))
+    buckets = max(1, n_texts // BUCKET_TEXTS)
     placed = words.withColumn("n_buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("term"), buckets))
     clustered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id", "pos")
     clustered.write.partitionBy("n_buckets", "bucket").parquet(path)
@@ -90,10 +88,13 @@ def cover_density(postings: DataFrame, queries: Mapping[str, Sequence[str]]) ->
     ]
     spark = postings.sparkSession
     pairs = spark.createDataFrame(asked, "term string, query string, number int, n_terms int")
-    if len(asked) <= BROADCAST_PAIRS:
-        pairs = F.broadcast(pairs)
-        postings = postings.where(F.col("term").isin(sorted({a[0] for a in asked})))
+    postings = postings.where(F.col("term").isin(sorted({a[0] for a in asked})))
     hits = postings.join(pairs, "term").select("query", "id", "number", "n_terms", "pos")
+    if any(a[3] > 1 for a in asked):
+        # Most texts lack a term; their postings are left out before anything is sorted.
+        counted = hits.groupBy("query", "id", "n_terms").agg(F.count_distinct("number").alias("found"))
+        whole = counted.where("found = n_terms").select("query", "id")
+        hits = hits.join(whole, ["query", "id"], "left_semi")
 
     in_text = Window.partitionBy("query", "id").orderBy("pos")
     so_far = in_text.rowsBetween(Window.unboundedPreceding, 0)

@@ -22,11 +22,17 @@ def require_numeric(df: DataFrame, metric: str) -> None:
         raise TypeError(f"metric column {metric!r} is {df.schema[metric].dataType.simpleString()}, not numeric")
 
 
-def metric_aggregates(metric: str, before: Column, today: Column) -> list[Column]:
+def _summable(df: DataFrame, metric: str) -> Column:
+    """The metric in a type whose sums do not overflow."""
+    value = F.col(f"`{metric}`")
+    return value.cast("decimal(38,0)") if isinstance(df.schema[metric].dataType, T.LongType) else value
+
+
+def metric_aggregates(df: DataFrame, metric: str, before: Column, today: Column) -> list[Column]:
     """Sums of the metric on both days; 0 where there is nothing to add."""
 
     def total(rows: Column) -> Column:
-        return F.coalesce(F.sum(F.when(rows, F.col(f"`{metric}`"))).cast("double"), F.lit(0.0))
+        return F.coalesce(F.sum(F.when(rows, _summable(df, metric))).cast("double"), F.lit(0.0))
 
     return [total(before).alias("previous_total"), total(today).alias("current_total")]
 
@@ -54,7 +60,7 @@ def compare_metric_totals(
     """One row: the metric's sum on both days, its change, severity in either direction."""
     require_numeric(df, metric)
     before, today = on_day(df, date_column, previous), on_day(df, date_column, current)
-    totals = df.where(before | today).agg(*metric_aggregates(metric, before, today))
+    totals = df.where(before | today).agg(*metric_aggregates(df, metric, before, today))
     return _named(totals.select(*total_columns()))
 
 
@@ -67,7 +73,7 @@ def compare_metric_groups(
     return (
         df.where(before | today)
         .groupBy(F.col(f"`{group_by}`").alias("group_value"))
-        .agg(*metric_aggregates(metric, before, today))
+        .agg(*metric_aggregates(df, metric, before, today))
         .withColumnsRenamed({"previous_total": "previous_value", "current_total": "current_value"})
     )
 
@@ -119,12 +125,12 @@ def metric_contributors_daily(
 
 def _daily_pairs(df: DataFrame, metric: str, date_column: str, keys: list[str]) -> DataFrame:
     require_numeric(df, metric)
-    daily = df.groupBy(business_day(df, date_column).alias("day"), *keys).agg(daily_metric_sum(metric).alias("m"))
+    daily = df.groupBy(business_day(df, date_column).alias("day"), *keys).agg(daily_metric_sum(df, metric).alias("m"))
     return day_pairs(daily.where("day is not null"), ["m"], keys)
 
 
-def daily_metric_sum(metric: str) -> Column:
-    return F.coalesce(F.sum(f"`{metric}`").cast("double"), F.lit(0.0))
+def daily_metric_sum(df: DataFrame, metric: str) -> Column:
+    return F.coalesce(F.sum(_summable(df, metric)).cast("double"), F.lit(0.0))
 
 
 def _named(df: DataFrame) -> DataFrame:

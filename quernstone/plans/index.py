@@ -29,12 +29,8 @@ from ..sources.build_log import append_status, index_status
 
 Model = Callable[[list[str]], Sequence[Sequence[float]]]
 
-# Hybrid search takes three times the wanted results from each list, at most this many.
-FETCH_FACTOR, FETCH_MOST = 3, 50
-
-
-# Hits that may be broadcast to the scan that looks their content up.
-BROADCAST_HITS = 10_000
+# Hybrid search takes three times the wanted results from each list.
+FETCH_FACTOR = 3
 NO_HITS = "rank int, id long, content string, score double, search_type string"
 
 
@@ -51,14 +47,15 @@ def build_index(
     from the stored chunks, so nothing is computed twice and ids stay what they are.
     Without a model, chunks get hashed TF-IDF vectors whose weights are stored
     with the index. ``cluster_vectors`` adds a copy of the vectors laid out for
-    approximate search. An empty source is ready with 0 documents and leaves
-    the tables of the last build in place.
+    approximate search. An empty source leaves the tables of the last build in
+    place, and its status keeps the count of what is served (0 if nothing is).
     """
     spark = documents.sparkSession
     append_status(spark, root, "building")
     try:
         if documents.isEmpty():
-            append_status(spark, root, "ready", document_count=0)
+            served = index_status(spark, root).first()["document_count"]
+            append_status(spark, root, "ready", document_count=served)
             return index_status(spark, root)
         version = uuid.uuid4().hex
         folder = f"{root}/builds/{version}"
@@ -83,8 +80,12 @@ def build_index(
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks with an id, their index words and the time of writing. Ids are unique but not consecutive."""
-    chunks.select(
+    """Store chunks with an id, their index words and the time of writing.
+
+    Ids grow with source path and chunk index, so that hits of equal score come
+    in the same order from every build. They are not consecutive.
+    """
+    chunks.orderBy("source_path", "chunk_index").select(
         (F.monotonically_increasing_id() + 1).alias("id"),
         *chunks.columns,
         english_index(F.col("content")).alias("words"),
@@ -100,7 +101,6 @@ def search(
     k: int = 10,
     mode: str = "hybrid",
     model: Model | None = None,
-    fetch_most: int = FETCH_MOST,
     probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` chunks that answer a query best, by rank.
@@ -133,7 +133,7 @@ def search(
     elif mode == "keyword":
         found = by_words(k)
     else:
-        fetch = min(FETCH_FACTOR * k, fetch_most)
+        fetch = FETCH_FACTOR * k
         found = rrf_fuse(by_meaning(fetch), by_words(fetch), k)
     return with_content(found.drop("query"), spark.read.parquet(f"{folder}/chunks"), mode)
 
@@ -144,11 +144,10 @@ def hybrid_search(
     query_vector: Sequence[float],
     terms: Sequence[str],
     k: int = 10,
-    fetch_most: int = FETCH_MOST,
     **weights: float,
 ) -> DataFrame:
     """Fused hits of one query over a vector table and a postings table that share ids."""
-    fetch = min(FETCH_FACTOR * k, fetch_most)
+    fetch = FETCH_FACTOR * k
     semantic = semantic_topk(vectors, {"q": query_vector}, fetch)
     keyword = keyword_topk(words, {"q": terms}, fetch)
     return rrf_fuse(semantic, keyword, k, **weights)
@@ -157,15 +156,10 @@ def hybrid_search(
 def with_content(hits: DataFrame, chunks: DataFrame, search_type: str) -> DataFrame:
     """Add content and metadata to the hits of one query.
 
-    There are only ``k`` hits, so their ids become a filter on the chunk scan:
-    ids grow from file to file, and all but a few row groups are skipped.
+    The hits are the ``k`` rows the caller asked for and go to the tasks that scan the chunks.
     """
-    found = hits.collect()
-    table = hits.sparkSession.createDataFrame(found, hits.schema)
-    if len(found) <= BROADCAST_HITS:
-        table = F.broadcast(table)
-    wanted = chunks.where(F.col("id").isin([row["id"] for row in found])).select("id", "content", "metadata")
-    filled = wanted.join(table, "id").withColumn("search_type", F.lit(search_type))
+    filled = chunks.select("id", "content", "metadata").join(F.broadcast(hits), "id")
+    filled = filled.withColumn("search_type", F.lit(search_type))
     others = [c for c in hits.columns if c not in ("id", "rank", "score")]
     return filled.select("rank", "id", "content", "metadata", "score", *others, "search_type").orderBy("rank")
 

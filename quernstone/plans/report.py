@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import severity as sev
 from ..functions.calendar import business_day, days_before, in_days, on_day
+from ..operators.delivery import TIMES
 from ..operators import duplicates, failed, freshness, metrics, nulls, row_counts
 from .rules import TableRules
 
@@ -38,13 +39,13 @@ ADVICE = (
     ),
     (
         ("null_anomaly", "critical_column_nulls"),
-        "Use get_failed_records to pull the specific rows with unexpected NULLs and trace them "
-        "back to the source system or upstream transformation that populates those columns.",
+        "Look at the rows with unexpected NULLs (failed_records) and trace them back to the source "
+        "system or upstream transformation that fills those columns.",
     ),
     (
         ("duplicate_records",),
-        "Use detect_duplicates output to inspect sample_duplicate_records and check the ingestion "
-        "job for retry/reprocessing logic that may be double-writing records.",
+        "Look at the duplicated keys (duplicate_samples) and check the ingestion job for retries or "
+        "reprocessing that may write records twice.",
     ),
     (
         ("freshness_issue",),
@@ -53,8 +54,8 @@ ADVICE = (
     ),
     (
         ("metric_trend_deviation",),
-        "Use compare_metrics' largest_contributors to identify which campaigns/segments are driving "
-        "the movement, then use get_failed_records to validate those specific records.",
+        "Look at the groups that move the metric most (metric_contributors), then at their records "
+        "(failed_records).",
     ),
 )
 NO_ADVICE = "No anomalies detected; no further investigation required at this time."
@@ -72,8 +73,9 @@ def dq_report(
 ) -> DataFrame:
     """One row: business_date, summary, overall_severity, findings, recommendations.
 
-    A check that cannot be set up (a column is missing, the metric is no
-    number) becomes a warning finding and leaves the others standing. Without
+    A check that cannot be set up (a column is missing or of a type that it
+    cannot use) becomes a warning finding and leaves the others standing, as
+    does a newest record whose text is no timestamp. Without
     ``with_samples`` the evidence holds no rows, which saves reading every
     column of the row groups that have critical nulls.
     """
@@ -87,14 +89,14 @@ def dq_report(
     with checks("row_count_check_error"):
         checks.need(rules.date_column)
         today, yesterday = on_day(df, rules.date_column, day), on_day(df, rules.date_column, before)
-        recent += row_counts.count_aggregates(today, yesterday)
+        recent += checks.possible(row_counts.count_aggregates(today, yesterday))
         checks.add(_row_count_finding(rules))
 
     with checks("null_check_error"):
         checks.need(rules.date_column)
         columns = _checked_columns(df, rules)
         history = in_days(df, rules.date_column, days_before(day, rules.lookback_days), before)
-        recent += nulls.null_aggregates(columns, on_day(df, rules.date_column, day), history)
+        recent += checks.possible(nulls.null_aggregates(columns, on_day(df, rules.date_column, day), history))
         checks.add(_null_finding(rules, columns))
 
     with checks("duplicate_check_error"):
@@ -108,7 +110,7 @@ def dq_report(
 
     with checks("freshness_check_error"):
         checks.need(rules.freshness_column)
-        overall.append(F.max(F.col(f"`{rules.freshness_column}`")).alias("newest"))
+        overall += checks.possible([F.max(F.col(f"`{rules.freshness_column}`")).alias("newest")])
         checks.add(_freshness_finding(rules, as_of))
 
     if rules.metric_column and rules.group_by_column:
@@ -116,7 +118,7 @@ def dq_report(
             checks.need(rules.date_column, rules.metric_column, rules.group_by_column)
             metrics.require_numeric(df, rules.metric_column)
             today, yesterday = on_day(df, rules.date_column, day), on_day(df, rules.date_column, before)
-            recent += metrics.metric_aggregates(rules.metric_column, yesterday, today)
+            recent += checks.possible(metrics.metric_aggregates(df, rules.metric_column, yesterday, today))
             top = metrics.metric_contributors(
                 df, rules.metric_column, rules.group_by_column, rules.date_column, before, day, EVIDENCE_SAMPLES
             )
@@ -127,7 +129,7 @@ def dq_report(
         with checks("failed_records_error"):
             checks.need(*rules.critical_columns)
             broken = failed.any_null(rules.critical_columns)
-            overall.append(F.count_if(broken).alias("critical_nulls"))
+            overall += checks.possible([F.count_if(broken).alias("critical_nulls")])
             if with_samples:
                 rows.append(_as_json(failed.failed_records(df, broken, FAILED_SAMPLES), "critical_sample"))
             checks.add(_critical_finding(rules))
@@ -182,8 +184,8 @@ def dq_report_daily(df: DataFrame, rules: TableRules, table: str = "table") -> D
                 df, rules.metric_column, rules.group_by_column, rules.date_column, EVIDENCE_SAMPLES
             )
             ordered = F.sort_array(F.collect_list(F.struct(*top.columns[1:])))  # by rank, at most a handful
-            rows.append(top.groupBy("current_day").agg(F.to_json(ordered).alias("contributors")))
-            measures.append(metrics.daily_metric_sum(rules.metric_column).alias("m"))
+            rows.append(top.groupBy("current_day").agg(_to_json(ordered).alias("contributors")))
+            measures.append(metrics.daily_metric_sum(df, rules.metric_column).alias("m"))
             recent += [
                 row_counts.lagged_sum("m", before).alias("previous_total"),
                 row_counts.lagged_sum("m", now).alias("current_total"),
@@ -239,6 +241,7 @@ class _Checks:
 
     def __init__(self, df: DataFrame) -> None:
         self.found: list[_Check] = []
+        self._df = df
         self._columns = set(df.columns)
         self._error = ""
 
@@ -247,6 +250,11 @@ class _Checks:
         if missing:
             raise ValueError(f"no such column: {', '.join(missing)}")
 
+    def possible(self, aggregates: list[Column]) -> list[Column]:
+        """The aggregates, once it is known that the table has the types they need."""
+        self._df.agg(*aggregates).schema  # noqa: B018 - analysed now, so that this check alone fails
+        return aggregates
+
     def __call__(self, error_type: str) -> _Checks:
         self._error = error_type
         return self
@@ -302,18 +310,21 @@ def _text(*parts: str | Column) -> Column:
     )
 
 
+def _to_json(value: Column) -> Column:
+    """JSON text with nulls, and times with all their digits."""
+    return F.to_json(value, {"ignoreNullFields": "false", **TIMES})
+
+
 def _json(values: dict[str, Column], name: str, raw: str) -> Column:
     """A JSON object of some values and of a fact that is JSON text already."""
-    fields = [F.to_json(F.struct(value.alias(key))) for key, value in values.items()]
+    fields = [_to_json(F.struct(value.alias(key))) for key, value in values.items()]
     inner = [F.concat(F.substring(f, F.lit(2), F.length(f) - 2), F.lit(", ")) for f in fields]
-    # A null value leaves an empty object behind, which adds nothing.
-    inner = [F.when(f != "{}", part).otherwise("") for f, part in zip(fields, inner)]
     return F.concat(F.lit("{"), *inner, F.lit(f'"{name}":'), F.coalesce(F.col(raw), F.lit("null")), F.lit("}"))
 
 
 def _as_json(few_rows: DataFrame, name: str) -> DataFrame:
     """The rows of a frame already limited to a handful, as one JSON array."""
-    return few_rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias(name))
+    return few_rows.agg(_to_json(F.collect_list(F.struct("*"))).alias(name))
 
 
 def _row_count_finding(rules: TableRules) -> _Check:
@@ -327,7 +338,7 @@ def _row_count_finding(rules: TableRules) -> _Check:
             "Row count changed ", counts.percentage_change, "% vs ", F.col("previous_day"), " (",
             counts.previous_count, " -> ", counts.current_count, ").",
         ),
-        F.to_json(counts),
+        _to_json(counts),
     )
 
 
@@ -353,7 +364,7 @@ def _null_finding(rules: TableRules, columns: list[str]) -> _Check:
         },
         F.array_max(F.transform(flagged, lambda s: s.severity_code)),
         _text(F.size(flagged), " column(s) show abnormal null rates on ", F.col("current_day"), "."),
-        F.to_json(F.struct(listed.alias("flagged_columns"))),
+        _to_json(F.struct(listed.alias("flagged_columns"))),
     )
 
 
@@ -373,6 +384,7 @@ def _duplicate_finding() -> _Check:
 
 def _freshness_finding(rules: TableRules, as_of: dt.datetime | str | None) -> _Check:
     hours, limit = F.col("__hours"), float(rules.freshness_threshold_hours)
+    unknown = F.col("newest").isNotNull() & hours.isNull()
     evidence = F.struct(
         F.col("newest").cast("string").alias("max_timestamp"),
         hours.alias("delay_hours"),
@@ -381,9 +393,11 @@ def _freshness_finding(rules: TableRules, as_of: dt.datetime | str | None) -> _C
     return _Check(
         "freshness_issue",
         {"__hours": freshness.delay_hours(F.col("newest"), as_of)},
-        sev.by_delay(hours, limit),
-        _text(f"Latest {rules.freshness_column} is ", hours, f"h old (threshold {limit}h)."),
-        F.to_json(evidence),
+        F.when(unknown, sev.WARNING).otherwise(sev.by_delay(hours, limit)),
+        F.when(unknown, _text(f"Latest {rules.freshness_column} is no timestamp: ", F.col("newest"), ".")).otherwise(
+            _text(f"Latest {rules.freshness_column} is ", hours, f"h old (threshold {limit}h).")
+        ),
+        _to_json(evidence),
     )
 
 

@@ -44,6 +44,22 @@ def _spill(spark, sf_dir):
     return read_spilled(spark, spilled.path, table.schema)
 
 
+def _spill_table(name, spark, sf_dir):
+    """A table with times, written and read back."""
+    table = read(spark, sf_dir, name)
+    spilled = spill_result(table, scratch_path(spark, "results"), f"SELECT * FROM {name}")
+    return read_spilled(spark, spilled.path, table.schema)
+
+
+def _bounded_rows(spark, sf_dir):
+    """The rows given of an ordered result of many partitions, with their places."""
+    ordered = read(spark, sf_dir, "orders").repartition(8).orderBy(F.desc("o_totalprice"), "o_orderkey")
+    given = bounded_result(ordered, scratch_path(spark, "results"), "SELECT * FROM orders ORDER BY o_totalprice DESC")
+    rows = [(place, *row) for place, row in enumerate(given.rows, 1)]
+    fields = ", ".join(f"{name} {kind}" for name, kind in ordered.dtypes)
+    return spark.createDataFrame(rows, f"place long, {fields}")
+
+
 def _manifest(spark, sf_dir):
     spilled = spill_result(read(spark, sf_dir, "customer"), scratch_path(spark, "results"), ORDER_QUERY)
     return spark.read.json(f"{spilled.path}/manifest").select(
@@ -71,7 +87,10 @@ def _text_files(spark, sf_dir):
 QUERIES = {
     "bounded_query": _bounded,
     "bounded_result": _bounded_result,
+    "bounded_result_rows": _bounded_rows,
     "spill_result": _spill,
+    "spill_events": partial(_spill_table, "events"),
+    "spill_orders": partial(_spill_table, "orders"),
     "spill_manifest": _manifest,
     "table_inventory": _inventory,
     "profile_orders": partial(_profile, "orders"),
@@ -110,7 +129,11 @@ ORACLES = {
     "bounded_result": f"""SELECT table_name, n AS row_count, n_columns::INTEGER AS n_columns,
   (CASE WHEN n > 100 THEN 20 ELSE n END)::INTEGER AS n_rows, n > 100 AS is_sample
 FROM ({_SHAPES}) WHERE table_name IN ('region', 'nation', 'customer', 'orders')""",
+    "bounded_result_rows": """SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, *
+FROM orders ORDER BY place LIMIT 20""",
     "spill_result": "SELECT * FROM customer",
+    "spill_events": "SELECT * FROM events",
+    "spill_orders": "SELECT * FROM orders",
     "spill_manifest": f"""SELECT '{ORDER_QUERY}' AS query, left(sha256('{ORDER_QUERY}'), 8) AS query_hash,
   (SELECT string_agg(column_name, ',') FROM (DESCRIBE customer)) AS columns, count(*) AS row_count FROM customer""",
     "table_inventory": f"SELECT table_name, 'BASE TABLE' AS table_type, n AS row_count FROM ({_SHAPES})",

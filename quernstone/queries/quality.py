@@ -382,7 +382,7 @@ SELECT count(*) FILTER (WHERE {FAILED}) AS failed_count, count(*) AS total_count
     "critical_nulls": f"""WITH {HOLED_EVENTS}
 SELECT count(*) FILTER (WHERE event_type IS NULL OR value IS NULL) AS failed_count, count(*) AS total_count
 FROM holed""",
-    "sample_data": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
+    "sample_data": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 500",
     "dq_findings": _report_sql(ONE_DAY, True, False, FINDINGS_TAIL),
     "dq_summary": _report_sql(ONE_DAY, True, False, SUMMARY_TAIL),
     "dq_recommendations": _report_sql(ONE_DAY, True, False, _advice_tail()),

@@ -25,7 +25,7 @@ from ..functions.text import (
 from ..functions.vector import SCORE_DIGITS, cosine_similarity, dot
 from ..operators import keyword, semantic
 from ..operators.chunks import chunk_documents
-from ..operators.clusters import CLUSTERS_MOST, cluster_topk, write_clusters
+from ..operators.clusters import PROBES, cluster_topk, write_clusters
 from ..operators.embed import TfidfEmbedder
 from ..operators.fuse import rrf_fuse
 from ..operators.semantic import rank_hits
@@ -36,7 +36,6 @@ from .tables import read, read_spread
 
 # Texts of three callers; the made-up documents hold these words.
 QUERY_WORDS = {"two": "thing erin", "one": "tions", "three": "ther and the ones of thea"}
-LABELS_MOST = 1000
 
 
 def articles(spark, sf_dir):
@@ -87,8 +86,7 @@ def _query_terms(spark):
 
 
 def _keyword_topk(spark, sf_dir):
-    asked = {"two": _query_terms(spark)["two"]}
-    return keyword.keyword_topk(_postings(spark, sf_dir), asked, 20).drop("query")
+    return keyword.keyword_topk(*_keyword(["two"])(spark, sf_dir), 20).drop("query")
 
 
 def _mean_vector(df):
@@ -98,14 +96,11 @@ def _mean_vector(df):
 
 
 def _mean_vectors(df):
-    """Mean vector per label, of a number of labels that is checked."""
+    """Mean vector per label: the caller's list of queries, one per label."""
     each = df.select("label", F.posexplode("embedding").alias("at", "x"))
     means = each.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).limit(LABELS_MOST + 1)
-    found = rows.collect()
-    if len(found) > LABELS_MOST:
-        raise ValueError("too many labels to search for each on the driver's list")
-    return {str(r["label"]): [e["x"] for e in r["v"]] for r in found}
+    rows = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v"))
+    return {str(r["label"]): [e["x"] for e in r["v"]] for r in rows.collect()}
 
 
 def _semantic_topk(spark, sf_dir):
@@ -129,7 +124,7 @@ def _semantic_clusters(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings")
     folder = scratch_path(spark, "clusters")
     write_clusters(vectors.withColumnRenamed("vec_id", "id"), folder)
-    return cluster_topk(spark, folder, {"mean": _mean_vector(vectors)}, 25, CLUSTERS_MOST).drop("query")
+    return cluster_topk(spark, folder, {"mean": _mean_vector(vectors)}, 25, probes=None).drop("query")
 
 
 def _neighbour_similarity(spark, sf_dir):
@@ -162,30 +157,84 @@ def _rrf_fuse(spark, sf_dir):
     spent = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("score")
     )
-    by_balance = rank_hits(customers.select("query", "id", F.col("c_acctbal").alias("score")), 50, 25)
-    by_orders = rank_hits(customers.join(spent, "id").select("query", "id", "score"), 50, 25)
+    by_balance = rank_hits(customers.select("query", "id", F.col("c_acctbal").alias("score")), None, 25)
+    by_orders = rank_hits(customers.join(spent, "id").select("query", "id", "score"), None, 25)
     return _rounded(rrf_fuse(by_balance, by_orders, 20))
 
 
 def _hybrid(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
-    words = _postings(spark, sf_dir)
-    terms = _query_terms(spark)["two"]
-    return _rounded(hybrid_search(vectors, words, _mean_vector(vectors), terms, 20)).drop("query")
+    words, asked = _keyword(["two"])(spark, sf_dir)
+    return _rounded(hybrid_search(vectors, words, _mean_vector(vectors), asked["two"], 20)).drop("query")
 
 
 def _rounded(hits):
     return hits.withColumn("score", F.round("score", 9))
 
 
+def _state(spark, sf_dir, name):
+    """The files of a table with their sizes and times of change: what is built from it holds as long as they do."""
+    files = read(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return tuple(sorted(tuple(map(str, row)) for row in files.distinct().collect()))
+
+
 @cache
-def _index(spark, sf_dir):
-    """An index of all articles, built once per session and table folder."""
+def _built(spark, sf_dir, state):
     root = scratch_path(spark, "index")
     build_index(articles(spark, sf_dir), root)
     return root
 
 
+def _index(spark, sf_dir):
+    """An index of all articles, built anew when the table has changed."""
+    return _built(spark, sf_dir, _state(spark, sf_dir, "documents"))
+
+
+@cache
+def _written(spark, sf_dir, state):
+    folder = scratch_path(spark, "postings")
+    documents = read(spark, sf_dir, "documents")
+    keyword.write_postings(_postings(spark, sf_dir), folder, documents.count())
+    return folder
+
+
+def _stored_postings(spark, sf_dir, terms):
+    """Stored postings of some terms, written anew when the table has changed."""
+    folder = _written(spark, sf_dir, _state(spark, sf_dir, "documents"))
+    return keyword.read_postings(spark, folder, terms)
+
+
+def _keyword(names):
+    """Stored postings of the query texts' terms, and the terms."""
+
+    def found(spark, sf_dir):
+        asked = {name: _query_terms(spark)[name] for name in names}
+        return _stored_postings(spark, sf_dir, {t for terms in asked.values() for t in terms}), asked
+
+    return found
+
+
+def _keyword_match(spark, sf_dir):
+    words, asked = _keyword(["three"])(spark, sf_dir)
+    return keyword.keyword_match(words, asked["three"])
+
+
+def _keyword_batch(spark, sf_dir):
+    return keyword.keyword_topk(*_keyword(list(QUERY_WORDS))(spark, sf_dir), 20)
+
+
+def _cluster_recall(spark, sf_dir):
+    """Of every label's mean vector: how many of its 25 nearest are found with a few probes."""
+    vectors = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    folder = scratch_path(spark, "clusters")
+    write_clusters(vectors, folder)
+    asked = _mean_vectors(vectors)
+    exact = semantic.semantic_topk(vectors, asked, 25).select("query", "id")
+    near = cluster_topk(spark, folder, asked, 25, PROBES).select("query", "id", F.lit(1).alias("found"))
+    both = exact.join(near, ["query", "id"], "left")
+    return both.groupBy("query").agg(F.count("found").alias("found"), F.count(F.lit(1)).alias("wanted"))
+
+
 def _built_chunks(spark, sf_dir):
     root = _index(spark, sf_dir)
     version = index_status(spark, root).first()["version"]
@@ -197,7 +246,12 @@ def _built_chunks(spark, sf_dir):
 
 
 def _search(mode):
-    return lambda spark, sf_dir: search(spark, _index(spark, sf_dir), QUERY_WORDS["two"], 10, mode).drop("id")
+    def found(spark, sf_dir):
+        hits = search(spark, _index(spark, sf_dir), QUERY_WORDS["two"], 10, mode)
+        others = [c for c in hits.columns if c not in ("id", "metadata")]
+        return hits.select(*others, "metadata.source_file", "metadata.title", "metadata.chunk_index")
+
+    return found
 
 
 QUERIES = {
@@ -205,14 +259,15 @@ QUERIES = {
     "chunk_documents": _chunks,
     "tokens": _tokens,
     "postings": _postings,
-    "keyword_match": lambda spark, d: keyword.keyword_match(_postings(spark, d), _query_terms(spark)["three"]),
+    "keyword_match": _keyword_match,
     "keyword_topk": _keyword_topk,
-    "keyword_batch_topk": lambda spark, d: keyword.keyword_topk(_postings(spark, d), _query_terms(spark), 20),
+    "keyword_batch_topk": _keyword_batch,
     "vector_similarity": _neighbour_similarity,
     "semantic_topk": _semantic_topk,
     "semantic_batch_topk": _semantic_batch,
     "semantic_lsh": _semantic_lsh,
     "semantic_clusters": _semantic_clusters,
+    "cluster_recall": _cluster_recall,
     "embed_documents": _embed,
     "embedding_norms": _embedding_norms,
     "rrf_fuse": _rrf_fuse,
@@ -429,17 +484,21 @@ near AS (
         FROM embeddings, means m))
 SELECT query, id, score, rank FROM near WHERE rank <= 10""",
     "rrf_fuse": f"""WITH {_CUSTOMER_RANKS}
-{_fuse_sql('SELECT * FROM balance WHERE rank <= 50', 'SELECT * FROM by_orders WHERE rank <= 50', 'query', 20)}""",
+{_fuse_sql('SELECT * FROM balance', 'SELECT * FROM by_orders', 'query', 20)}""",
     "hybrid_search": f"""WITH {_scores_sql(['two'])}, {SEMANTIC_RANKED}
 SELECT * EXCLUDE (query) FROM (
-{_fuse_sql("SELECT 'two' AS query, * FROM near WHERE rank <= 50",
-           'SELECT query, id, score, rank FROM ranked WHERE rank <= 50', 'query', 20)})""",
+{_fuse_sql("SELECT 'two' AS query, * FROM near WHERE rank <= 60",
+           'SELECT query, id, score, rank FROM ranked WHERE rank <= 60', 'query', 20)})""",
     "embedding_norms": f"""WITH indexed AS (
   SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{TOKEN_PATTERN}'), lambda w: w NOT IN ({STOPS}))) AS n
   FROM documents)
 SELECT doc_id, 256 AS dimensions, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS norm FROM indexed""",
     "build_index": CHUNK_ROWS,
-    # Scores only: which of several chunks of equal score is shown depends on their ids.
+    "search_keyword": f"""WITH RECURSIVE {CHUNKS},
+numbered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY source_path, chunk_index) AS id, * FROM chunks),
+{_scores_sql(['two'], 'numbered', 'id', 'content')}
+SELECT r.rank, n.content, r.score, 'keyword' AS search_type, n.source_path AS source_file, n.title, n.chunk_index
+FROM ranked r JOIN numbered n USING (id) WHERE r.rank <= 10""",
     "search_keyword_scores": f"""WITH RECURSIVE {CHUNKS},
 numbered AS MATERIALIZED (SELECT row_number() OVER () AS id, content FROM chunks),
 {_scores_sql(['two'], 'numbered', 'id', 'content')}

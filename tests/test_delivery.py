@@ -32,6 +32,20 @@ def test_bounded_result(spark, tmp_path, n, returned, is_sample):
     assert result.columns == ["id", "name"]
 
 
+def test_bounded_result_gives_the_first_rows(spark, tmp_path):
+    df = spark.range(5000).repartition(8).orderBy(F.desc("id"))
+    result = bounded_result(df, str(tmp_path), "q")
+    assert [r["id"] for r in result.rows] == list(range(4999, 4979, -1))
+    small = bounded_result(df.limit(50), str(tmp_path / "small"), "q")
+    assert [r["id"] for r in small.rows] == list(range(4999, 4949, -1)) and not (tmp_path / "small").exists()
+
+
+def test_spilled_times_keep_their_digits(spark, tmp_path):
+    df = spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:07.123456' AS at, TIMESTAMP_NTZ '2024-01-01 00:00:07.000001' AS n")
+    spilled = spill_result(df, str(tmp_path), "q")
+    assert read_spilled(spark, spilled.path, df.schema).collect() == df.collect()
+
+
 def test_spilled_rows_are_whole(spark, tmp_path):
     df = spark.range(500).select(
         "id", F.when(F.col("id") % 2 == 0, F.lit("é\n\"")).alias("name"), (F.col("id") / 3).alias("x"),

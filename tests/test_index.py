@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.plans.index import IndexNotReady, build_index, search
+from quernstone.plans.index import IndexNotReady, build_index, hybrid_search, search
 from quernstone.sources.build_log import index_status
 from quernstone.sources.files import list_files, read_text_documents
 from quernstone.sources.scratch import scratch_path
@@ -75,7 +75,8 @@ def test_search_modes(spark, root):
 
 def test_a_model_of_the_caller(spark, folder):
     path = scratch_path(spark, "index")
-    model = lambda texts: [[t.lower().count("password") + 0.01, t.lower().count("search") + 0.01] for t in texts]
+    # Texts with neither word lean to the second, so that none ties with the text that holds both.
+    model = lambda texts: [[t.lower().count("password") + 0.01, t.lower().count("search") + 0.02] for t in texts]
     build_index(read_text_documents(spark, folder), path, model)
     assert search(spark, path, "password", 1, "semantic", model).first()["metadata"]["title"] == "faq.md"
 
@@ -102,7 +103,7 @@ def test_failed_and_empty_builds(spark, folder):
 
     build_index(documents.where(F.lit(False)), path)
     empty = index_status(spark, path).first()
-    assert (empty["status"], empty["document_count"], empty["version"]) == ("ready", 0, first["version"])
+    assert (empty["status"], empty["document_count"], empty["version"]) == ("ready", first["document_count"], first["version"])
     assert search(spark, path, "password", 1, "keyword").count() == 1
 
 
@@ -110,3 +111,10 @@ def test_an_index_that_never_had_documents(spark, folder):
     path = scratch_path(spark, "index")
     build_index(read_text_documents(spark, folder).where(F.lit(False)), path)
     assert search(spark, path, "anything").count() == 0
+
+
+def test_hybrid_gives_as_many_as_asked_for(spark):
+    vectors = spark.range(400).select("id", F.array(F.col("id") + 1.0, F.lit(1.0)).alias("embedding"))
+    words = spark.range(400).select("id", F.lit("word").alias("term"), F.lit(1).alias("pos"))
+    found = hybrid_search(vectors, words, [1.0, 0.5], ["word"], k=200)
+    assert sorted(r["rank"] for r in found.collect()) == list(range(1, 201))

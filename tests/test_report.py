@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.operators import row_counts
 from quernstone.plans.report import ADVICE, NO_ADVICE, dq_findings, dq_recommendations, dq_report, dq_report_daily
 from quernstone.plans.rules import EMAIL_RULES, TableRules, rules_for
 
@@ -124,3 +125,49 @@ def test_daily_report_agrees_with_single_days(spark):
         assert got == want, day
     moved = next(f for f in daily[dt.date(2024, 3, 8)]["findings"] if f["issue_type"] == "metric_trend_deviation")
     assert json.loads(moved["evidence"])["largest_contributors"][0]["rank"] == 1
+
+
+ODD = "day date, n long, at string, keys string, shop string, text_day string"
+
+
+def odd_rows(at="2024-03-08 11:00:00"):
+    big = 2**62
+    return [(d, big, at, None if k == 0 else f"k{k}", "a", f"{d} 10:00:00") for d in (BEFORE, DAY) for k in range(3)]
+
+
+def types_of(report):
+    return [f["issue_type"] for f in report.first()["findings"]]
+
+
+def test_a_check_that_cannot_run_leaves_the_others(spark):
+    df = spark.createDataFrame(odd_rows(), ODD)
+    rules = TableRules(date_column="day", freshness_column="at", critical_columns=("keys",), business_keys=("shop",))
+    as_of = "2024-03-08 12:00:00"
+    assert types_of(dq_report(df, rules, DAY, as_of=as_of)) == ["duplicate_records", "critical_column_nulls"]
+    # A date column that holds no days.
+    found = types_of(dq_report(df, TableRules(date_column="n", freshness_column="at", critical_columns=("keys",)), DAY, as_of=as_of))
+    assert found == ["row_count_check_error", "null_check_error", "duplicate_check_error", "critical_column_nulls"]
+    # A newest record that is no timestamp.
+    text = spark.createDataFrame(odd_rows("yesterday"), ODD)
+    report = dq_report(text, rules, DAY, as_of=as_of).first()
+    assert [f["issue_type"] for f in report["findings"]] == ["duplicate_records", "freshness_issue", "critical_column_nulls"]
+    assert report["findings"][1]["severity"] == "warning" and "yesterday" in report["findings"][1]["description"]
+    # A metric whose sum is no long.
+    metric = TableRules(date_column="day", freshness_column="at", metric_column="n", group_by_column="shop", business_keys=("keys",))
+    assert types_of(dq_report(df, metric, DAY, as_of=as_of)) == []
+    assert dq_report_daily(df, metric).count() == 2
+
+
+def test_days_of_text_with_times(spark):
+    df = spark.createDataFrame(odd_rows(), ODD)
+    one = row_counts.compare_row_counts(df, "text_day", BEFORE, DAY).first()
+    assert (one["previous_count"], one["current_count"]) == (3, 3)
+
+
+def test_evidence_keeps_nulls_and_digits(spark):
+    rows = [event(1, DAY), event(1, DAY), event(2, DAY, None)]
+    df = sends(spark, rows).withColumn("event_timestamp", F.lit("2024-03-08 10:00:00.123456").cast("timestamp"))
+    rules = TableRules(business_keys=("campaign_id",), critical_columns=("campaign_id",))
+    found = {f["issue_type"]: json.loads(f["evidence"]) for f in dq_report(df, rules, DAY).first()["findings"]}
+    sample = found["critical_column_nulls"]["sample_records"][0]
+    assert sample["campaign_id"] is None and sample["event_timestamp"].startswith("2024-03-08T10:00:00.123456")
