@@ -11,7 +11,7 @@ from .common import stored
 from .components import components
 
 #: After so many rounds of leaders, the pairs that are left are tried all.
-ROUNDS = 6
+ROUNDS = 4
 
 
 def linked(
@@ -28,38 +28,35 @@ def linked(
     ``least_percent`` of a hundred of the larger. ``verify`` takes pairs
     ``a, b`` and returns those that are links.
 
-    A pair within one component says nothing new. So each bucket first tries
-    its members against one leader, a different one each round, which joins
-    groups of copies in as many pairs as they have members; buckets of one
-    component are done. When few pairs between different components are left
-    (or after ``rounds``), all of these are tried, so no component is missed.
+    A pair of which links are known to join both says nothing new. So each
+    bucket first tries its members against one leader, a different one each
+    round, which joins groups of copies in as many pairs as they have members.
+    Labels follow the links: ids of one label are joined. When there are fewer
+    pairs of different labels than postings (or after ``rounds``), all of these
+    are tried, so no component is missed.
     """
-    tested = links = labels = None
-    live = postings
+    spark = postings.sparkSession
+    labelled = postings.select("token", "id", "size", "need").withColumn("label", F.col("id"))
+    kind = postings.schema["id"].dataType.simpleString()
+    links = spark.createDataFrame([], f"a {kind}, b {kind}")
+    labels = None
     for turn in range(rounds):
-        live = stored(_live(live, labels), "live")
-        order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
-        leader = F.min(
-            F.struct(order, F.col("id").alias("lead"), F.col("label").alias("lead_label"), F.col("size").alias("lead_size"))
-        )
-        leaders = live.groupBy("token").agg(leader.alias("leader"))
-        leaders = stored(leaders.select("token", "leader.lead", "leader.lead_label", "leader.lead_size"), "leaders")
-        pairs = live.join(leaders, "token").where(
+        buckets = stored(_buckets(labelled, turn), "buckets")
+        left = buckets.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        if (left["pairs"] or 0) <= (left["n"] or 0) and turn:
+            break
+        pairs = labelled.join(buckets, "token").where(
             (F.col("label") != F.col("lead_label")) & _alike("size", "lead_size", least_percent)
         )
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = stored(verify(pairs), "found")
-        new = not found.isEmpty()
-        if new:
-            links = found if links is None else links.unionByName(found)
-            labels = stored(components(links), "labels")
-        if not new or _few_left(_live(live, labels)):
+        found = stored(verify(stored(pairs, "pairs")), "found")
+        if found.isEmpty():
             break
-    live = stored(_live(live, labels), "live")
+        links = links.unionByName(found)
+        labels = stored(_followed(links, labels), "labels")
+        labelled = stored(_relabelled(postings, labels), "labelled")
+    buckets = stored(_buckets(labelled, 0).select("token"), "buckets")
+    live = stored(labelled.join(buckets, "token", "left_semi"), "live")
     one, two = (live.select(*(F.col(c).alias(f"{c}_{k}") for c in live.columns)) for k in "ab")
     pairs = one.join(two, F.col("token_a") == F.col("token_b")).where(
         (F.col("id_a") < F.col("id_b"))
@@ -69,36 +66,45 @@ def linked(
     shared = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.least(F.min("need_a"), F.min("need_b")).alias("need")
     )
-    rest = shared.where("shared >= need").select("a", "b").join(tested, ["a", "b"], "left_anti")
-    found = stored(verify(stored(rest, "pairs")), "found")
-    if found.isEmpty():
-        return labels if labels is not None else components(found)
-    return components(found if links is None else links.unionByName(found))
+    rest = stored(shared.where("shared >= need").select("a", "b"), "pairs")
+    return components(links.unionByName(stored(verify(rest), "found")))
 
 
 def _alike(one: str, two: str, least_percent: int):
     return F.least(one, two) * 100 >= F.greatest(one, two) * least_percent
 
 
-def _live(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The postings of buckets with more than one component, with their labels."""
-    plain = postings.select("token", "id", "size", "need")
+def _buckets(labelled: DataFrame, turn: int) -> DataFrame:
+    """``token, n, pairs, lead, lead_label, lead_size`` of buckets with several labels.
+
+    ``pairs`` counts those of different labels. The leader is the smallest id, in later rounds that of the least hash.
+    """
+    order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
+    lead = F.struct(
+        order.alias("order"), F.col("id").alias("lead"), F.col("label").alias("lead_label"), F.col("size").alias("lead_size")
+    )
+    parts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.min(lead).alias("lead"))
+    whole = parts.groupBy("token").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"), F.min("lead").alias("lead")
+    )
+    pairs = ((F.col("n") * F.col("n") - F.col("square")) / 2).cast("long")
+    return whole.select("token", "n", pairs.alias("pairs"), "lead.lead", "lead.lead_label", "lead.lead_size").where("pairs > 0")
+
+
+def _followed(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``id, label``: each linked id's least label among its own and its neighbours'."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if labels is None:
-        labelled = plain.withColumn("label", F.col("id"))
+        known = both.select(F.col("a").alias("id"), F.col("b").alias("label"))
     else:
-        labelled = plain.join(labels, "id", "left").select(
-            "token", "id", "size", "need", F.coalesce("component", "id").alias("label")
-        )
-    labelled = stored(labelled, "labelled") if labels is not None else labelled
-    many = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    many = stored(many.where("low <> high").select("token"), "tokens")
-    return labelled.join(many, "token", "left_semi")
-
-
-def _few_left(live: DataFrame) -> bool:
-    """Whether the pairs between components are no more than the postings."""
-    by_label = live.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-    by_token = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("square"))
-    pairs = (F.col("n") * F.col("n") - F.col("square")) / 2
-    row = by_token.agg(F.sum(pairs).alias("pairs"), F.sum("n").alias("n")).first()
-    return (row["pairs"] or 0) <= (row["n"] or 0)
+        reached = labels.select(F.col("id").alias("b"), F.col("label").alias("b_label"))
+        known = both.join(reached, "b", "left").select(F.col("a").alias("id"), F.coalesce("b_label", "b").alias("label"))
+        known = known.unionByName(labels)
+    least = known.groupBy("id").agg(F.min("label").alias("label"))
+    return least.select("id", F.least("id", "label").alias("label"))
+
+
+def _relabelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    return postings.select("token", "id", "size", "need").join(labels, "id", "left").select(
+        "token", "id", "size", "need", F.coalesce("label", "id").alias("label")
+    )

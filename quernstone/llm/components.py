@@ -33,6 +33,6 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def _is_done(links: DataFrame) -> bool:
     """Whether every id points at one other that points at none."""
-    if not links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return False
-    return links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+    several = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    chained = links.join(links.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return several.unionByName(chained).isEmpty()

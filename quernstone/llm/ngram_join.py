@@ -13,8 +13,8 @@ from .bucket_links import linked
 from .common import WordHashes, byte_texts, mixed, plain_text, shingles, signed, stored
 
 WIDTH, PERCENT = 3, 90
-#: Tokens whose document frequency is counted: one in so many, by hash. They stand first in the order of tokens.
-COUNTED = 6
+#: Of so many tokens, one (by hash) is looked at to tell which documents can have a partner at all.
+SAMPLED = 5
 #: Prefixes are lengthened by up to this, for as many shared tokens.
 MOST_SHARED = 4
 #: What verifying a candidate costs, in postings, besides its tokens.
@@ -26,38 +26,49 @@ def missed(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
-def shingle_sets(documents: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
-    """``id, n, s1, s2, counted, more``: size and hashes of each row's set, and the tokens its prefix can need.
-
-    ``counted`` are the set's tokens of the counted class, ``more`` as many of
-    the others, by hash, as a prefix of the greatest length can still lack.
-    """
+def shingle_sets(documents: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """``id, n, s1, s2, sampled``: size and hashes of each row's set, and its tokens of the sampled class."""
     kind = documents.schema[id_column].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, ones, twos, counted, more = [], [], [], [], []
+            sizes, ones, twos, sampled = [], [], [], []
             for text in byte_texts(batch.column(1)):
                 tokens = np.unique(shingles(hashes.of(text.lower().split()), width))
-                inside = tokens % np.uint64(COUNTED) == 0
-                own = tokens[inside]
-                lack = max(0, missed(len(tokens), percent) + MOST_SHARED - len(own))
                 sizes.append(len(tokens))
                 ones.append(int(signed(mixed(tokens ^ np.uint64(1)).sum(dtype=np.uint64).reshape(1))[0]))
                 twos.append(int(signed(mixed(tokens ^ np.uint64(2)).sum(dtype=np.uint64).reshape(1))[0]))
-                counted.append(signed(own))
-                more.append(signed(tokens[~inside][:lack]))
+                sampled.append(signed(tokens[tokens % np.uint64(SAMPLED) == 0]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()),
-                    pa.array(counted, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64())),
+                    pa.array(sampled, pa.list_(pa.int64())),
                 ],
-                ["id", "n", "s1", "s2", "counted", "more"],
+                ["id", "n", "s1", "s2", "sampled"],
             )
 
     chosen = documents.select(F.col(id_column).alias("id"), plain_text(text_column).alias("text"))
-    return chosen.mapInArrow(work, f"id {kind}, n long, s1 long, s2 long, counted array<long>, more array<long>")
+    return chosen.mapInArrow(work, f"id {kind}, n long, s1 long, s2 long, sampled array<long>")
+
+
+def possible(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of the different sets that can have a partner.
+
+    A partner lacks no more than ``missed(n)`` of a set's tokens, so of the
+    sampled ones all but so many stand in another document. In running text
+    most documents' shingles stand nowhere else and they are done here, at a
+    part of what counting all tokens would take.
+    """
+    tokens = rows.select("id", F.explode("sampled").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    common = stored(common, "common")
+    known = tokens.join(common, "token", "left_semi").groupBy("id").agg(F.count_distinct("token").alias("known"))
+    known = known.withColumnRenamed("id", "known_id")
+    lacking = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    own = rows.select("id", "n", F.size("sampled").alias("own")).join(sets.select("id"), "id", "left_semi")
+    own = own.join(known, F.col("id") == F.col("known_id"), "left")
+    return own.where(F.coalesce("known", F.lit(0)) >= F.col("own") - lacking).select("id").distinct()
 
 
 def shared_tokens(size: int, first: int, frequencies: np.ndarray, percent: int) -> int:
@@ -79,40 +90,31 @@ def shared_tokens(size: int, first: int, frequencies: np.ndarray, percent: int)
 
 
 def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, id, size, need``: each different set's prefix, rare tokens first.
+    """``token, id, size, need``: the prefix of each set (``id, tokens``), rare tokens first.
 
-    The order of tokens: the counted class by document frequency and hash, then
-    the others by hash. Two sets that are alike share, of prefixes made for l
-    shared tokens, at least l. Counted tokens of one set alone are left out;
-    their number is known, so that places are right.
+    Tokens are ordered by their frequency in the sets and by hash. Two sets that
+    are alike share, of prefixes made for l shared tokens, at least l. Tokens of
+    one set alone are left out; their number is known, so that places are right.
     """
-    tokens = sets.select("id", F.explode("counted").alias("token"))
+    tokens = sets.select("id", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = stored(common, "frequencies")
-    known = tokens.join(common, "token").groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("known"))
-    known = known.withColumnRenamed("id", "known_id")
-    rows = sets.select("id", "n", F.size("counted").alias("own"), "more").join(
-        known, F.col("id") == F.col("known_id"), "left"
+    known = tokens.join(stored(common, "frequencies"), "token").groupBy("id").agg(
+        F.collect_list(F.struct("df", "token")).alias("known")
     )
-    # Sets with neither have no token in common with any other.
-    rows = rows.where("known IS NOT NULL OR size(more) > 0").select("id", "n", "own", "more", "known.df", "known.token")
+    rows = sets.select("id", F.size("tokens").cast("long").alias("n")).join(known, "id")
+    rows = rows.select("id", "n", "known.df", "known.token")
     kind = sets.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, rows, sizes, needs = [], [], [], []
-            columns = (batch.column(c) for c in ("n", "own", "more", "df", "token"))
-            for k, (n, own, more, df, token) in enumerate(zip(*columns)):
-                n, own = n.as_py(), own.as_py()
-                more = more.values.to_numpy().view(np.uint64)
-                df = df.values.to_numpy() if df.is_valid else np.zeros(0, dtype=np.int64)
-                token = token.values.to_numpy().view(np.uint64) if token.is_valid else np.zeros(0, dtype=np.uint64)
+            columns = (batch.column(c) for c in ("n", "df", "token"))
+            for k, (n, df, token) in enumerate(zip(*columns)):
+                n, df, token = n.as_py(), df.values.to_numpy(), token.values.to_numpy().view(np.uint64)
                 order = np.lexsort((token, df))
-                # Frequencies of the others are not counted; they are taken for rare.
-                every = np.concatenate([df[order], np.ones(len(more), dtype=np.int64)])
-                shared = shared_tokens(n, own - len(token), every, percent)
-                reach = max(0, missed(n, percent) + shared - (own - len(token)))
-                chosen = np.concatenate([token[order], more])[:reach]
+                first = n - len(token)
+                shared = shared_tokens(n, first, df[order], percent)
+                chosen = token[order][: max(0, missed(n, percent) + shared - first)]
                 out.append(signed(chosen))
                 rows += [k] * len(chosen)
                 sizes += [n] * len(chosen)
@@ -162,15 +164,13 @@ def similar_documents(
     and are linked with nothing. Ids must name rows of one text; rows without id
     have no component. No rows give no rows; other columns are not read.
     """
-    rows = stored(shingle_sets(documents, id_column, text_column, width, percent), "sets")
-    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(
-        F.min("id").alias("id"), F.first("counted").alias("counted"), F.first("more").alias("more")
-    )
-    sets = stored(sets, "different-sets")
-    postings = stored(prefix_postings(sets, percent), "postings")
-    shared = postings.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    asked = stored(postings.join(shared.select("token"), "token", "left_semi").select("id").distinct(), "asked")
-    whole = stored(whole_sets(documents, asked, id_column, text_column, width).dropDuplicates(["id"]), "whole-sets")
+    rows = stored(shingle_sets(documents, id_column, text_column, width), "sets")
+    usable = rows.where("n > 0 AND id IS NOT NULL")
+    sets = stored(usable.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "different-sets")
+    asked = stored(possible(usable, sets, percent), "possible")
+    whole = whole_sets(documents, asked, id_column, text_column, width)
+    whole = stored(whole.groupBy("id").agg(F.first("tokens").alias("tokens")), "whole-sets")
+    postings = stored(prefix_postings(whole, percent), "postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
         first = whole.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
