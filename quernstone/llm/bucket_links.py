@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
+POSTING = ("token", "id", "size", "place", "need")
 #: After so many rounds of leaders, the pairs that are left are tried all.
 ROUNDS = 4
 
@@ -22,29 +23,33 @@ def linked(
 ) -> DataFrame:
     """``id, component`` of the ids that a verified link joins to another.
 
-    ``postings`` (``token, id, size, need``; stored) puts ids into buckets by
-    token. Two ids may only be linked if they share at least the smaller
-    ``need`` of buckets and if the smaller ``size`` is at least
-    ``least_percent`` of a hundred of the larger. ``verify`` takes pairs
-    ``a, b`` and returns those that are links.
+    ``postings`` (``token, id, size, place, need``; stored) puts ids into buckets
+    by token. ``size`` is that of a set of tokens in one order for all, and
+    ``place`` the token's in it; 0 where buckets are of another kind. Linked
+    sets have a Jaccard similarity of at least ``least_percent`` of a hundred,
+    so that sets of sizes m and n share at least o = (m + n) * p / (1 + p)
+    tokens, and of their first m - o + l and n - o + l at least l, for l the
+    smaller ``need``. ``verify`` takes pairs ``a, b`` and returns those that are links.
 
     A pair of which links are known to join both says nothing new. So each
     bucket first tries its members against one leader, a different one each
     round, which joins groups of copies in as many pairs as they have members.
-    Labels follow the links: ids of one label are joined. When there are fewer
-    pairs of different labels than postings (or after ``rounds``), all of these
-    are tried, so no component is missed.
+    Labels follow the links: ids of one label are joined. When a round leaves
+    fewer pairs of different labels than postings, or more than a quarter of
+    those before it, all that are left and meet the bounds above are tried, so
+    no component is missed.
     """
     spark = postings.sparkSession
-    labelled = postings.select("token", "id", "size", "need").withColumn("label", F.col("id"))
+    labelled = postings.select(*POSTING).withColumn("label", F.col("id"))
     kind = postings.schema["id"].dataType.simpleString()
     links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    labels = None
+    labels = before = None
     for turn in range(rounds):
         buckets = stored(_buckets(labelled, turn), "buckets")
         left = buckets.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if (left["pairs"] or 0) <= (left["n"] or 0) and turn:
+        if before is not None and ((left["pairs"] or 0) <= (left["n"] or 0) or 4 * left["pairs"] > before):
             break
+        before = left["pairs"] or 0
         pairs = labelled.join(buckets, "token").where(
             (F.col("label") != F.col("lead_label")) & _alike("size", "lead_size", least_percent)
         )
@@ -62,6 +67,8 @@ def linked(
         (F.col("id_a") < F.col("id_b"))
         & (F.col("label_a") != F.col("label_b"))
         & _alike("size_a", "size_b", least_percent)
+        & _early("a", least_percent)
+        & _early("b", least_percent)
     )
     shared = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.least(F.min("need_a"), F.min("need_b")).alias("need")
@@ -74,6 +81,13 @@ def _alike(one: str, two: str, least_percent: int):
     return F.least(one, two) * 100 >= F.greatest(one, two) * least_percent
 
 
+def _early(side: str, least_percent: int):
+    """Whether the token stands in the prefix that this pair's sizes leave to the set of one side."""
+    both = F.col("size_a") + F.col("size_b")
+    overlap = F.floor((both * least_percent + (99 + least_percent)) / (100 + least_percent))
+    return F.col(f"place_{side}") < F.col(f"size_{side}") - overlap + F.least("need_a", "need_b")
+
+
 def _buckets(labelled: DataFrame, turn: int) -> DataFrame:
     """``token, n, pairs, lead, lead_label, lead_size`` of buckets with several labels.
 
@@ -105,6 +119,4 @@ def _followed(links: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _relabelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    return postings.select("token", "id", "size", "need").join(labels, "id", "left").select(
-        "token", "id", "size", "need", F.coalesce("label", "id").alias("label")
-    )
+    return postings.select(*POSTING).join(labels, "id", "left").select(*POSTING, F.coalesce("label", "id").alias("label"))

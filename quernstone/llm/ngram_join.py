@@ -90,7 +90,7 @@ def shared_tokens(size: int, first: int, frequencies: np.ndarray, percent: int)
 
 
 def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, id, size, need``: the prefix of each set (``id, tokens``), rare tokens first.
+    """``token, id, size, place, need``: the prefix of each set (``id, tokens``), rare tokens first.
 
     Tokens are ordered by their frequency in the sets and by hash. Two sets that
     are alike share, of prefixes made for l shared tokens, at least l. Tokens of
@@ -107,7 +107,7 @@ def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, rows, sizes, needs = [], [], [], []
+            out, rows, sizes, places, needs = [], [], [], [], []
             columns = (batch.column(c) for c in ("n", "df", "token"))
             for k, (n, df, token) in enumerate(zip(*columns)):
                 n, df, token = n.as_py(), df.values.to_numpy(), token.values.to_numpy().view(np.uint64)
@@ -118,17 +118,18 @@ def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
                 out.append(signed(chosen))
                 rows += [k] * len(chosen)
                 sizes += [n] * len(chosen)
+                places += range(first, first + len(chosen))
                 needs += [shared] * len(chosen)
             found = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(found), batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()),
-                    pa.array(needs, pa.int32()),
+                    pa.array(places, pa.int64()), pa.array(needs, pa.int32()),
                 ],
-                ["token", "id", "size", "need"],
+                ["token", "id", "size", "place", "need"],
             )
 
-    return rows.mapInArrow(work, f"token long, id {kind}, size long, need int")
+    return rows.mapInArrow(work, f"token long, id {kind}, size long, place long, need int")
 
 
 def whole_sets(documents: DataFrame, ids: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
