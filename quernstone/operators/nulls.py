@@ -110,6 +110,18 @@ def detect_null_anomalies_daily(
     return _graded(facts, ["current_day"], columns, threshold_pct, critical_columns)
 
 
+def null_anomaly_summary(graded: DataFrame) -> DataFrame:
+    """``columns_checked, anomaly_count, overall_severity`` of ``detect_null_anomalies``, or of each of its days."""
+    keys = [c for c in graded.columns if c == "current_day"]
+    code = F.array_position(F.array(*map(F.lit, sev.LABELS)), F.col("severity")) - 1
+    summed = graded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("columns_checked"),
+        F.count_if(code > sev.OK).alias("anomaly_count"),
+        sev.worst(code).alias("code"),
+    )
+    return summed.withColumn("overall_severity", sev.severity_name(F.col("code"))).drop("code")
+
+
 def daily_null_counts(columns: list[str]) -> list[Column]:
     """Rows ``n`` and nulls per column of one day."""
     nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{i}") for i, c in enumerate(columns)]

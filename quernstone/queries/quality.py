@@ -89,6 +89,10 @@ QUERIES = {
     "null_anomalies_daily": lambda spark, d: nulls.detect_null_anomalies_daily(
         holed_events(spark, d), "ts", 5.0, ("event_type", "value")
     ),
+    "null_anomaly_summary": lambda spark, d: nulls.null_anomaly_summary(QUERIES["null_anomalies"](spark, d)),
+    "null_anomaly_summary_daily": lambda spark, d: nulls.null_anomaly_summary(
+        QUERIES["null_anomalies_daily"](spark, d)
+    ),
     "duplicate_summary": lambda spark, d: duplicates.duplicate_summary(holed_events(spark, d), KEYS, "ts", DAY),
     "duplicate_samples": lambda spark, d: duplicates.duplicate_samples(holed_events(spark, d), KEYS, "ts", DAY),
     "duplicates_daily": lambda spark, d: duplicates.duplicate_summary_daily(holed_events(spark, d), KEYS, "ts"),
@@ -309,6 +313,9 @@ findings AS (
 SELECT DATE '{DAY}' AS business_date, row_number() OVER (ORDER BY no)::INTEGER AS position, issue_type, severity,
        description FROM findings WHERE severity <> 'ok'"""
 
+WORST = """CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'warning') THEN 'warning'
+  WHEN bool_or(severity = 'info') THEN 'info' ELSE 'ok' END"""
+
 ORACLES = {
     "campaign_findings": CAMPAIGN_FINDINGS,
     "severity_pct": f"""WITH {_sums_daily('orders', 'o_orderdate', 'o_totalprice')},
@@ -339,6 +346,13 @@ FROM null_rows""",
     "null_anomalies_daily": f"""WITH {HOLED_EVENTS}, {_null_rates(ALL_DAYS)}
 SELECT day AS current_day, position, column_name, round(now_pct, 2) AS null_percentage,
        before_pct AS historical_average, severity FROM null_rows""",
+    "null_anomaly_summary": f"""WITH {HOLED_EVENTS}, {_null_rates(ONE_DAY)}
+SELECT count(*) AS columns_checked, count(*) FILTER (severity <> 'ok') AS anomaly_count, {WORST} AS overall_severity
+FROM null_rows""",
+    "null_anomaly_summary_daily": f"""WITH {HOLED_EVENTS}, {_null_rates(ALL_DAYS)}
+SELECT day AS current_day, count(*) AS columns_checked, count(*) FILTER (severity <> 'ok') AS anomaly_count,
+       {WORST} AS overall_severity
+FROM null_rows GROUP BY day""",
     "duplicate_summary": f"""WITH {HOLED_EVENTS}, {_duplicate_days(ONE_DAY)},
 one AS (SELECT coalesce(sum(duplicate_groups), 0)::BIGINT AS duplicate_groups,
                coalesce(sum(duplicate_records), 0)::BIGINT AS duplicate_records FROM dups)

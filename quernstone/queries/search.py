@@ -26,7 +26,7 @@ from ..functions.vector import SCORE_DIGITS, cosine_similarity, dot
 from ..operators import keyword, semantic
 from ..operators.chunks import chunk_documents
 from ..operators.clusters import PROBES, cluster_topk, write_clusters
-from ..operators.embed import TfidfEmbedder
+from ..operators.embed import TfidfEmbedder, embed_documents
 from ..operators.fuse import rrf_fuse
 from ..operators.semantic import rank_hits
 from ..plans.index import build_index, hybrid_search, search
@@ -143,6 +143,17 @@ def _embed(spark, sf_dir):
     return TfidfEmbedder.fit(words, dimensions=256).transform(words).select("doc_id", "embedding")
 
 
+def _letter_counts(texts):
+    """A model that SQL can state: how often four letters stand in a text."""
+    return [[text.count(letter) + 1.0 for letter in "aeio"] for text in texts]
+
+
+def _embed_with_model(spark, sf_dir):
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
+    made = embed_documents(docs, _letter_counts, "text")
+    return made.select("doc_id", *(F.get("embedding", F.lit(k)).alias(letter) for k, letter in enumerate("aeio")))
+
+
 def _embedding_norms(spark, sf_dir):
     made = _embed(spark, sf_dir)
     norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
@@ -269,6 +280,7 @@ QUERIES = {
     "semantic_clusters": _semantic_clusters,
     "cluster_recall": _cluster_recall,
     "embed_documents": _embed,
+    "embed_with_model": _embed_with_model,
     "embedding_norms": _embedding_norms,
     "rrf_fuse": _rrf_fuse,
     "hybrid_search": _hybrid,
@@ -489,6 +501,14 @@ SELECT query, id, score, rank FROM near WHERE rank <= 10""",
 SELECT * EXCLUDE (query) FROM (
 {_fuse_sql("SELECT 'two' AS query, * FROM near WHERE rank <= 60",
            'SELECT query, id, score, rank FROM ranked WHERE rank <= 60', 'query', 20)})""",
+    "embed_with_model": """WITH counts AS (
+  SELECT doc_id, 1.0::DOUBLE + length(text) - length(replace(text, 'a', '')) AS a,
+         1.0::DOUBLE + length(text) - length(replace(text, 'e', '')) AS e,
+         1.0::DOUBLE + length(text) - length(replace(text, 'i', '')) AS i,
+         1.0::DOUBLE + length(text) - length(replace(text, 'o', '')) AS o FROM documents),
+sized AS (SELECT *, sqrt(a * a + e * e + i * i + o * o) AS norm FROM counts)
+SELECT doc_id, (a / norm)::FLOAT AS a, (e / norm)::FLOAT AS e, (i / norm)::FLOAT AS i, (o / norm)::FLOAT AS o
+FROM sized""",
     "embedding_norms": f"""WITH indexed AS (
   SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '{TOKEN_PATTERN}'), lambda w: w NOT IN ({STOPS}))) AS n
   FROM documents)
