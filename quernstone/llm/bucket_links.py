@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-POSTING = ("token", "id", "size", "place", "need")
+POSTING = ("token", "id", "size", "place", "need", "bits")
+#: Longs of a set's bitmap.
+BITMAP = 8
 #: After so many rounds of leaders, the pairs that are left are tried all.
 ROUNDS = 4
 
@@ -23,13 +25,16 @@ def linked(
 ) -> DataFrame:
     """``id, component`` of the ids that a verified link joins to another.
 
-    ``postings`` (``token, id, size, place, need``; stored) puts ids into buckets
+    ``postings`` (``token, id, size, place, need, bits``; stored) puts ids into buckets
     by token. ``size`` is that of a set of tokens in one order for all, and
     ``place`` the token's in it; 0 where buckets are of another kind. Linked
     sets have a Jaccard similarity of at least ``least_percent`` of a hundred,
     so that sets of sizes m and n share at least o = (m + n) * p / (1 + p)
     tokens, and of their first m - o + l and n - o + l at least l, for l the
-    smaller ``need``. ``verify`` takes pairs ``a, b`` and returns those that are links.
+    smaller ``need``. ``bits`` is a bitmap of the set (``BITMAP`` longs, or none),
+    each token turning one bit over: the bits in which two differ are no more
+    than the tokens that one of them lacks, m + n - 2 o at most. ``verify``
+    takes pairs ``a, b`` and returns those that are links.
 
     A pair of which links are known to join both says nothing new. So each
     bucket first tries its members against one leader, a different one each
@@ -69,6 +74,7 @@ def linked(
         & _alike("size_a", "size_b", least_percent)
         & _early("a", least_percent)
         & _early("b", least_percent)
+        & _near(least_percent)
     )
     shared = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.least(F.min("need_a"), F.min("need_b")).alias("need")
@@ -81,11 +87,25 @@ def _alike(one: str, two: str, least_percent: int):
     return F.least(one, two) * 100 >= F.greatest(one, two) * least_percent
 
 
+def _overlap(least_percent: int):
+    """How many tokens sets of these sizes must share: the least whole number that will do."""
+    both = F.col("size_a") + F.col("size_b")
+    return F.floor((both * least_percent + (99 + least_percent)) / (100 + least_percent))
+
+
 def _early(side: str, least_percent: int):
     """Whether the token stands in the prefix that this pair's sizes leave to the set of one side."""
-    both = F.col("size_a") + F.col("size_b")
-    overlap = F.floor((both * least_percent + (99 + least_percent)) / (100 + least_percent))
-    return F.col(f"place_{side}") < F.col(f"size_{side}") - overlap + F.least("need_a", "need_b")
+    room = F.col(f"size_{side}") - _overlap(least_percent)
+    return F.col(f"place_{side}") < room + F.least("need_a", "need_b")
+
+
+def _near(least_percent: int):
+    """Whether the bitmaps differ in no more bits than linked sets do in tokens."""
+    differ = [
+        F.coalesce(F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))), F.lit(0))
+        for k in range(BITMAP)
+    ]
+    return sum(differ[1:], differ[0]) <= F.col("size_a") + F.col("size_b") - 2 * _overlap(least_percent)
 
 
 def _buckets(labelled: DataFrame, turn: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bucket_links import linked
+from .bucket_links import BITMAP, linked
 from .common import WordHashes, byte_texts, mixed, plain_text, shingles, signed, stored
 
 WIDTH, PERCENT = 3, 90
@@ -89,8 +89,14 @@ def shared_tokens(size: int, first: int, frequencies: np.ndarray, percent: int)
     return best
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """A set as ``BITMAP`` longs: each token turns one bit over."""
+    at = (mixed(tokens.view(np.uint64)) % np.uint64(64 * BITMAP)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * BITMAP).astype(np.uint8) & 1).view(np.int64)
+
+
 def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``token, id, size, place, need``: the prefix of each set (``id, tokens``), rare tokens first.
+    """``token, id, size, place, need, bits``: the prefix of each set (``id, tokens``), rare tokens first.
 
     Tokens are ordered by their frequency in the sets and by hash. Two sets that
     are alike share, of prefixes made for l shared tokens, at least l. Tokens of
@@ -101,16 +107,15 @@ def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
     known = tokens.join(stored(common, "frequencies"), "token").groupBy("id").agg(
         F.collect_list(F.struct("df", "token")).alias("known")
     )
-    rows = sets.select("id", F.size("tokens").cast("long").alias("n")).join(known, "id")
-    rows = rows.select("id", "n", "known.df", "known.token")
+    rows = sets.join(known, "id").select("id", F.col("tokens").alias("whole"), "known.df", "known.token")
     kind = sets.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, rows, sizes, places, needs = [], [], [], [], []
-            columns = (batch.column(c) for c in ("n", "df", "token"))
-            for k, (n, df, token) in enumerate(zip(*columns)):
-                n, df, token = n.as_py(), df.values.to_numpy(), token.values.to_numpy().view(np.uint64)
+            out, rows, sizes, places, needs, bits = [], [], [], [], [], []
+            columns = (batch.column(c) for c in ("whole", "df", "token"))
+            for k, (whole, df, token) in enumerate(zip(*columns)):
+                n, df, token = len(whole), df.values.to_numpy(), token.values.to_numpy().view(np.uint64)
                 order = np.lexsort((token, df))
                 first = n - len(token)
                 shared = shared_tokens(n, first, df[order], percent)
@@ -120,16 +125,17 @@ def prefix_postings(sets: DataFrame, percent: int) -> DataFrame:
                 sizes += [n] * len(chosen)
                 places += range(first, first + len(chosen))
                 needs += [shared] * len(chosen)
+                bits += [bitmap(whole.values.to_numpy())] * len(chosen)
             found = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(found), batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()),
-                    pa.array(places, pa.int64()), pa.array(needs, pa.int32()),
+                    pa.array(places, pa.int64()), pa.array(needs, pa.int32()), pa.array(bits, pa.list_(pa.int64())),
                 ],
-                ["token", "id", "size", "place", "need"],
+                ["token", "id", "size", "place", "need", "bits"],
             )
 
-    return rows.mapInArrow(work, f"token long, id {kind}, size long, place long, need int")
+    return rows.mapInArrow(work, f"token long, id {kind}, size long, place long, need int, bits array<long>")
 
 
 def whole_sets(documents: DataFrame, ids: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
