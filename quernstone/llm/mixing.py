@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import plain_text, stored, words_of
 
 #: Hex digits of a document's hash by which a source's documents are cut up for the running sum.
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def fill_targets(sources: DataFrame, max_epochs: int) -> DataFrame:
