@@ -289,7 +289,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 
 def _bucket_count(spark) -> int:
-    return max(_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
