@@ -78,9 +78,9 @@ def depleted_texts(
     min_texts: int = MIN_TEXTS,
     min_percent: int = MIN_PERCENT,
 ) -> DataFrame:
-    """Words that a host's boilerplate takes from its texts: ``host, k1, k2, n_removed``.
+    """What a host's boilerplate takes from its texts: ``host, k1, k2, n_removed, gone``.
 
-    A line is boilerplate where at least ``min_texts`` different texts of the
+    ``n_removed`` counts words, ``gone`` are the hashes of the lines. A line is boilerplate where at least ``min_texts`` different texts of the
     host hold it, and at least ``min_percent`` of a hundred. Texts without such
     lines are not listed. A null host is a host of its own.
     """
@@ -95,18 +95,24 @@ def depleted_texts(
     )
     same = F.col("host").eqNullSafe(F.col("common_host")) & (F.col("line") == F.col("common_line"))
     hits = lines.join(common, same, "left_semi")
-    return hits.groupBy("host", "k1", "k2").agg(F.sum("words").alias("n_removed"))
+    return hits.groupBy("host", "k1", "k2").agg(
+        F.sum("words").alias("n_removed"), F.collect_set("line").alias("gone")
+    )
+
+
+def _flat_line(line: Column) -> Column:
+    """A line as it is compared: single spaces, none at its ends, lower case."""
+    return F.lower(F.trim(F.regexp_replace(line, SPACES, " ")))
 
 
 def _distinct_lines(documents: DataFrame, text_column: str, host_column: str) -> DataFrame:
     text = plain_text(text_column)
-    flat = lambda line: F.lower(F.trim(F.regexp_replace(line, SPACES, " ")))
     lines = documents.select(
         F.col(host_column).cast("string").alias("host"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.lit(1), text).alias("k2"),
         F.posexplode(F.split(text, "\n")).alias("place", "raw"),
-    ).select("host", "k1", "k2", "place", flat(F.col("raw")).alias("flat"))
+    ).select("host", "k1", "k2", "place", _flat_line(F.col("raw")).alias("flat"))
     spaces = F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit("")))
     # Rows that hold the same text give the same (place, line) again, so each place is counted once.
     places = lines.select(
@@ -149,6 +155,25 @@ def quality_rules(
     own. No rows give no rows; other columns are not read. Only column
     expressions, joins and groupings are used.
     """
+    judged = _judged(
+        documents, id_column, text_column, host_column, min_words, max_repeated_percent, min_texts, min_percent,
+        max_removed_percent,
+    )
+    return judged.drop("gone")
+
+
+def _judged(
+    documents: DataFrame,
+    id_column: str,
+    text_column: str,
+    host_column: str,
+    min_words: int = MIN_WORDS,
+    max_repeated_percent: int = MAX_REPEATED_PERCENT,
+    min_texts: int = MIN_TEXTS,
+    min_percent: int = MIN_PERCENT,
+    max_removed_percent: int = MAX_REMOVED_PERCENT,
+) -> DataFrame:
+    """The rows of ``quality_rules`` and ``gone``, the hashes of their boilerplate lines (null where there are none)."""
     measures = text_measures(documents, id_column, text_column, host_column)
     removed = depleted_texts(documents, text_column, host_column, min_texts, min_percent)
     removed = removed.withColumnsRenamed({"host": "removed_host", "k1": "removed_k1", "k2": "removed_k2"})
@@ -168,16 +193,29 @@ def quality_rules(
 
 
 def kept_documents(documents: DataFrame, text_column: str = "text", host_column: str = "source", **options) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with their columns as given."""
-    judged = quality_rules(documents, documents.columns[0], text_column, host_column, **options)
-    # The verdict hangs on host and text alone; rejected ones are the fewer.
-    rejected = judged.where(~F.col("kept")).select(
-        F.col("host").alias("__q_host"), F.col("k1").alias("__q_k1"), F.col("k2").alias("__q_k2")
-    ).distinct()
+    """The documents that ``quality_rules`` keeps, without the lines that are boilerplate in their host.
+
+    Columns are as given; ``n_chars``, where there is one, is counted anew for
+    texts that lose lines. Other lines stay as they are, joined by line feeds.
+    """
+    judged = _judged(documents, documents.columns[0], text_column, host_column, **options)
+    # The verdict and the lines hang on host and text alone; most texts are kept whole and need no row.
+    touched = judged.where(~F.col("kept") | F.col("gone").isNotNull())
+    touched = touched.groupBy("host", "k1", "k2").agg(F.first("kept").alias("__q_kept"), F.first("gone").alias("__q_gone"))
+    touched = touched.withColumnsRenamed({"host": "__q_host", "k1": "__q_k1", "k2": "__q_k2"})
     text = plain_text(documents[text_column])
     same = (
         documents[host_column].cast("string").eqNullSafe(F.col("__q_host"))
         & (F.xxhash64(text) == F.col("__q_k1"))
         & (F.xxhash64(F.lit(1), text) == F.col("__q_k2"))
     )
-    return documents.join(rejected, same, "left_anti")
+    joined = documents.join(touched, same, "left").where(F.coalesce("__q_kept", F.lit(True)))
+    stays = lambda line: ~F.array_contains("__q_gone", F.xxhash64(_flat_line(line)))
+    left = F.array_join(F.filter(F.split(text, "\n"), stays), "\n")
+    changed = F.col("__q_gone").isNotNull()
+    joined = joined.withColumn("__q_text", F.when(changed, left))
+    columns = {text_column: F.coalesce(F.col("__q_text"), F.col(text_column))}
+    if "n_chars" in documents.columns:
+        counted = F.length("__q_text").cast(documents.schema["n_chars"].dataType)
+        columns["n_chars"] = F.coalesce(counted, F.col("n_chars"))
+    return joined.withColumns(columns).select(*documents.columns)

@@ -80,3 +80,20 @@ def test_odd_rows(odd, none):
     assert sorted(((r["id"], *(r[c] for c in COUNTS)) for r in found.collect()), key=repr) == plain
     assert quality_rules(none).count() == 0 and kept_documents(none).count() == 0
     assert kept_documents(odd).columns == odd.columns
+
+
+def test_boilerplate_lines_go(spark):
+    """Found lines go from the kept texts, in all their variants; other hosts and other lines are untouched."""
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(60))
+    variants = ("Über UNS  und\tImpressum", " über uns und impressum ", "ÜBER uns und   Impressum")
+    rows = [(k, f"{own(k)}\n{variants[k % 3]}\n\n tail  {k} ", "host", -1) for k in range(30)]
+    rows += [(100 + k, f"{own(100 + k)}\n{variants[0]}", None, -1) for k in range(10)]  # too few
+    rows += [(None, rows[0][1], "host", -1), rows[1]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    expected = [
+        (i, own(i or 0) + f"\n\n tail  {i or 0} ", h, len(own(i or 0) + f"\n\n tail  {i or 0} ")) if h else (i, text, h, n)
+        for i, text, h, n in rows
+    ]
+    kept = kept_documents(df)
+    assert kept.dtypes == df.dtypes
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(expected, key=repr)
