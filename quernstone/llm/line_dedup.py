@@ -236,19 +236,29 @@ class LineLedger:
         Null and empty texts are one empty line, which stays. Rows without id
         lose their blocked lines like others. No rows give no rows.
         """
-        held = stored(document_keys(documents, id_column, text_column), "line-keys")
+        rows = documents.select(F.col(id_column).alias("id"), plain_text(text_column).alias("text"))
+        return self._rewritten(rows, "id", "text").select("id", F.col("text").alias("kept_text"), "n_lines", "n_dropped")
+
+    def _rewritten(self, rows: DataFrame, key: str, text_column: str) -> DataFrame:
+        """The rows with all their columns, ``text_column`` without the blocked lines, ``n_lines`` and ``n_dropped``.
+
+        ``key`` names a column by which rows find their blocked lines. Rows may
+        share a key: blocked lines are the same for all rows, so those of another row take nothing more.
+        """
+        held = stored(document_keys(rows, key, text_column), "line-keys")
         blocked = self.blocked(held.select("hi", "lo").distinct())
         hits = held.join(blocked, ["hi", "lo"])
-        hits = hits.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("blocked"))
-        rows = documents.select(F.col(id_column).alias("id"), plain_text(text_column).alias("text"))
-        hits = hits.withColumnRenamed("id", "hit_id")
-        joined = rows.join(hits, rows["id"].eqNullSafe(hits["hit_id"]), "left").select("id", "text", "blocked")
-        kind = documents.schema[id_column].dataType.simpleString()
+        hits = hits.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("__l_blocked"))
+        hits = hits.withColumnRenamed("id", "__l_hit")
+        joined = rows.join(hits, rows[key].eqNullSafe(hits["__l_hit"]), "left").drop("__l_hit")
+        # One struct of all columns, so that whatever they are called, and how often, a row stays one row.
+        chosen = joined.select(plain_text(text_column).alias("text"), "__l_blocked", F.struct(*rows.columns).alias("row"))
+        kind = chosen.schema["row"].dataType.simpleString()
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, lines, dropped = [], [], []
-                for text, gone in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist()):
+                for text, gone in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()):
                     parts = text.split(b"\n")
                     lines.append(len(parts))
                     if gone:
@@ -258,15 +268,17 @@ class LineLedger:
                     texts.append(b"\n".join(parts) if dropped[-1] else text)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
+                        batch.column(2),
                         pa.array(texts, pa.binary()).cast(pa.string()),
                         pa.array(lines, pa.int64()),
                         pa.array(dropped, pa.int64()),
                     ],
-                    ["id", "kept_text", "n_lines", "n_dropped"],
+                    ["row", "kept_text", "n_lines", "n_dropped"],
                 )
 
-        return joined.mapInArrow(rewrite, f"id {kind}, kept_text string, n_lines long, n_dropped long")
+        made = chosen.mapInArrow(rewrite, f"row {kind}, kept_text string, n_lines long, n_dropped long")
+        columns = [F.col("kept_text" if c == text_column else f"row.`{c}`").alias(c) for c in rows.columns]
+        return made.select(*columns, "n_lines", "n_dropped")
 
 
 def dedup_lines(
@@ -278,17 +290,19 @@ def dedup_lines(
     return ledger.drop_lines(documents, id_column, text_column)
 
 
-def without_repeated_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options):
+def without_repeated_lines(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_documents: int = MIN_DOCUMENTS
+) -> DataFrame:
     """The documents with their columns as given and their texts after ``dedup_lines``.
 
-    ``id_column`` must name each row; ``n_chars``, where there is one, is counted anew.
+    A row per row given, also of rows without id and of repeated ids; ``n_chars``, where there is one, is counted anew.
     """
-    kept = dedup_lines(documents, id_column, text_column, **options)
-    kept = kept.select(F.col("id").alias("__l_id"), F.col("kept_text").alias("__l_text"))
-    joined = documents.drop(text_column).join(kept, F.col(id_column).eqNullSafe(F.col("__l_id")))
-    joined = joined.withColumn(text_column, F.col("__l_text"))
+    ledger = LineLedger(documents.sparkSession, min_documents)
+    ledger.insert(documents, id_column, text_column)
+    # Rows without id must not meet in one key.
+    rows = documents.withColumn(text_column, plain_text(text_column))
+    rows = rows.withColumn("__l_key", F.xxhash64(id_column, text_column))
+    kept = ledger._rewritten(rows, "__l_key", text_column)
     if "n_chars" in documents.columns:
-        joined = joined.withColumn("n_chars", F.length("__l_text").cast(documents.schema["n_chars"].dataType))
-    return joined.select(*documents.columns)
-
-
+        kept = kept.withColumn("n_chars", F.length(text_column).cast(documents.schema["n_chars"].dataType))
+    return kept.select(*documents.columns)

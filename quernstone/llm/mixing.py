@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import plain_text, stored, words_of
@@ -61,8 +61,26 @@ def mix_sources(
     floor(e) times, or once more, without words. Repeated rows are documents of
     their own with one place in the order. No rows give no rows; other columns are not read.
     """
+    return _repeated(documents, id_column, text_column, source_column, weights, max_epochs, seed).select(
+        "id", "source", "size", "source_size", "target", "repeats",
+        (F.col("repeats") * F.col("size")).alias("taken"),
+    )
+
+
+def _repeated(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: int = 7,
+    carried: Sequence[Column] = (),
+) -> DataFrame:
+    """The rows of ``mix_sources`` before they are cut to its columns, with the ``carried`` columns of their documents."""
     sized = stored(
         documents.select(
+            *carried,
             F.col(id_column).alias("id"),
             F.col(source_column).cast("string").alias("source"),
             F.size(words_of(plain_text(text_column))).cast("long").alias("size"),
@@ -91,19 +109,16 @@ def mix_sources(
     wanted = F.col("target") - F.col("whole") * F.col("source_size")
     more = 2 * (F.col("start") + F.col("running")) + F.col("size") <= 2 * wanted
     repeats = F.col("whole") + F.when(more & (wanted > 0), 1).otherwise(0)
-    return joined.withColumn("repeats", repeats.cast("long")).select(
-        "id", "source", "size", "source_size", "target", "repeats",
-        (F.col("repeats") * F.col("size")).alias("taken"),
-    )
+    return joined.withColumn("repeats", repeats.cast("long"))
 
 
 def mixed_documents(documents: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of the mix, with all their columns: each document as often as it is taken.
+    """The rows of the mix, with all their columns: each row as often as it is taken.
 
-    Expects ids that name one row each; rows without id are left out.
+    Rows carry their columns through the mix, so rows without id and repeated
+    ones are taken as ``mix_sources`` counts them.
     """
-    taken = mix_sources(documents, id_column, **options)
-    taken = taken.where("repeats > 0").select(F.col("id").alias("__mix_id"), F.col("repeats").alias("__mix_repeats"))
-    once = documents.join(taken, documents[id_column] == taken["__mix_id"])
-    copies = once.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_repeats").cast("int"))))
-    return copies.select(*(copies[c] for c in documents.columns))
+    whole = F.struct(*(documents[c] for c in documents.columns)).alias("__mix_row")
+    taken = _repeated(documents, id_column, **options, carried=[whole]).where("repeats > 0")
+    copies = taken.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return copies.select(*(F.col(f"__mix_row.`{c}`").alias(c) for c in documents.columns))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quernstone.llm.line_dedup import CuckooFilter, LineLedger, dedup_lines, line_key, without_repeated_lines
 
@@ -87,3 +88,15 @@ def test_odd_rows(odd, none):
     assert dedup_lines(none).count() == 0
     changed = without_repeated_lines(odd.where("doc_id <> 6"))
     assert changed.columns == odd.columns and changed.count() == odd.where("doc_id <> 6").count()
+
+
+def test_whole_rows_of_odd_ids(odd):
+    """Rows without id, and repeated rows, come back once each, with their own text and columns."""
+    more = odd.where("doc_id IN (12, 20, 21)").withColumn("doc_id", F.lit(None).cast("long"))
+    rows = odd.unionByName(more).unionByName(odd.where("doc_id = 20"))
+    given = [tuple(r) for r in rows.collect()]
+    kept = drop([r[:2] for r in given], 10)
+    expected = [(i, text, r[2], r[3], len(text), *r[5:]) for (i, text, _, _), r in zip(kept, given)]
+    changed = without_repeated_lines(rows)
+    assert changed.columns == odd.columns and sum(k[3] > 0 for k in kept) == 13
+    assert sorted(map(tuple, changed.collect()), key=repr) == sorted(expected, key=repr)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from conftest import words_of
+from pyspark.sql import functions as F
 
 from quernstone.llm.mixing import fill_targets, mix_sources, mixed_documents
 
@@ -78,3 +79,17 @@ def test_odd_rows(odd, none):
 
 def mixedless(none):
     return mixed_documents(none).count() == 0
+
+
+def test_odd_rows_are_taken_as_counted(odd):
+    """Rows without id and repeated rows are in the mix as often as ``mix_sources`` says, each with its own columns."""
+    rows = odd.unionByName(odd.where("doc_id IN (5, 7, 10)").withColumn("doc_id", F.lit(None).cast("long")))
+    counted = Counter()
+    for r in mix_sources(rows).collect():
+        counted[r["id"], r["source"], r["size"]] += r["repeats"]
+    assert sum(n for (i, _, _), n in counted.items() if i is None) > 0
+    found, given = Counter(), {tuple(r) for r in rows.collect()}
+    for r in mixed_documents(rows).collect():
+        assert tuple(r) in given
+        found[r["doc_id"], r["source"], len(words_of(r["text"]))] += 1
+    assert found == +counted
