@@ -6,7 +6,7 @@ from conftest import SF_DIR
 from test_line_dedup import drop
 from test_ngram_join import brute
 from test_packing import check
-from test_quality import judged
+from test_quality_rules import judged
 
 from quernstone.llm.mixing import mix_sources
 
