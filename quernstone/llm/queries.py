@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import word_queries
 from .html_extract import extract_text, train_on
 from .imatch import edited_texts, lexicon
 from .languages import held_out, identify, train
@@ -94,10 +95,10 @@ QUERIES = {
     "op8_license_scan": _licenses,
     "op9_line_dedup": _lines,
     "op10_quality_rules": _quality,
+    **word_queries.QUERIES,
 }
 
 
-
 def _listed(rows) -> str:
     """Rows of numbers and texts as SQL VALUES."""
     text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
@@ -276,4 +277,5 @@ SELECT doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols, n_d
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
          AND NOT 100 * n_removed > {MAX_REMOVED_PERCENT} * n_words AS kept
 FROM measured""",
+    **word_queries.ORACLES,
 }
