@@ -18,8 +18,8 @@ from .common import plain_text
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that are resolved together, and words whose ids a worker holds.
-BLOCK_WORDS = 200_000
-HELD_WORDS = 400_000
+BLOCK_WORDS = 100_000
+HELD_WORDS = 150_000
 #: A long text is worked on in parts of about so many characters; words of more bytes are merged one by one.
 BLOCK_CHARS, TOGETHER_BYTES = 1_000_000, 64
 #: Fixed value: how byte-level vocabularies of this family cut a text into words.
@@ -89,10 +89,7 @@ class ByteBpe:
         names = sorted(self._added, key=len, reverse=True)
         self._between = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-        stands_for = byte_characters()
-        as_bytes = lambda token: bytes(map(stands_for.__getitem__, token))
-        self.bytes_of = {i: as_bytes(token) for token, i in model["vocab"].items()}
-        self.bytes_of |= {i: content.encode() for content, i in self._added.items()}
+        self.bytes_of = _token_bytes(spec)
         size = max(self.bytes_of) + 1
         self.order = np.zeros(size, np.int64)
         self.first, self.second = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -365,19 +362,42 @@ class ByteBpe:
                 started.clear()
 
     def decode(self, ids: bytes) -> str:
-        """The text of little-endian 32-bit ids. Unknown ids are left out; bytes that are no UTF-8 become U+FFFD."""
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        return b"".join(self.bytes_of.get(i, b"") for i in numbers).decode("utf-8", "replace")
+        return decoded(ids, self.bytes_of)
+
+
+def _token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of each token of a vocabulary file's content; added tokens stand for their names."""
+    stands_for = byte_characters()
+    tokens = {i: bytes(map(stands_for.__getitem__, token)) for token, i in spec["model"]["vocab"].items()}
+    return tokens | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
+def decoded(ids: bytes, tokens: dict[int, bytes]) -> str:
+    """The text of little-endian 32-bit ids. Unknown ids are left out; bytes that are no UTF-8 become U+FFFD."""
+    numbers = np.frombuffer(ids, "<u4").tolist()
+    return b"".join([tokens.get(i, b"") for i in numbers]).decode("utf-8", "replace")
+
+
+def _path_of(name: str) -> str:
+    """A file of the public tokenizers, or the path given."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 @lru_cache(maxsize=4)
 def vocabulary_of(name: str) -> ByteBpe:
     """The vocabulary in a file of the public tokenizers, or at a path, read once per worker."""
-    if "/" not in name:
-        import public_tokenizers
+    return ByteBpe(_path_of(name))
 
-        name = public_tokenizers.path(name)
-    return ByteBpe(name)
+
+@lru_cache(maxsize=4)
+def tokens_of(name: str) -> dict[int, bytes]:
+    """The bytes of a vocabulary's tokens alone, all that decoding needs."""
+    with open(_path_of(name), encoding="utf-8") as file:
+        return _token_bytes(json.load(file))
 
 
 def encode_documents(
@@ -413,9 +433,9 @@ def decode_documents(encoded: DataFrame, ids_column: str = "ids", vocabulary: st
     at = names.index(ids_column)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary_of(vocabulary)
+        tokens = tokens_of(vocabulary)
         for batch in batches:
-            texts = [bpe.decode(i.as_py() or b"") for i in batch.column(at)]
+            texts = [decoded(i.as_py() or b"", tokens) for i in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
