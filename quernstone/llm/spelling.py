@@ -21,7 +21,7 @@ LEAST_LETTERS, LEAST_COUNT = 6, 5
 #: A word's form occurs at least so many times as often.
 FORM_TIMES = 5
 #: Letter groups: code points by their remainder. Of each word, the counts of the first few say where in the trie it lies.
-GROUPS, TOP_GROUPS = 11, 4
+GROUPS, TOP_GROUPS = 11, 6
 #: Words of a part of the trie that is searched at once, and searching words at a time.
 PART_WORDS, SEARCH_WORDS = 20_000, 2_000
 _HELD_WORDS = 300_000
@@ -110,9 +110,11 @@ class CountTrie:
 
     An edit of one letter takes at most one from a group and adds at most one
     to another. A search goes down with a budget of one surplus and one
-    deficit, and what it reaches with either left or spent is verified. Many
-    words search together, a level at a time, so that each level is a few array
-    steps.
+    deficit, and what it reaches is verified. To meet each pair once, the
+    deficit may only follow the surplus: an insertion leads from the shorter
+    word to the longer, a replacement to the greater counts, and of words with
+    equal counts to the greater word. Many words search together, a level at a
+    time, so that each level is a few array steps.
     """
 
     def __init__(self, words: list[str], counts: np.ndarray):
@@ -120,54 +122,66 @@ class CountTrie:
         self.words = [words[k] for k in order.tolist()]
         self.order = order
         counts = counts[order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[np.ndarray] = []
         node = np.zeros(len(order), np.int64)
         for level in range(counts.shape[1]):
             keys, node = np.unique(node * _SPAN + counts[:, level], return_inverse=True)
-            self.levels.append((keys, np.arange(len(keys))))
+            self.levels.append(keys)
         # Words of a leaf stand together.
         self.leaf_starts = np.searchsorted(node, np.arange(node[-1] + 2 if len(node) else 1))
 
-    def reach(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a searching word (by row of ``counts``) and a leaf within its budget."""
+    def _child(self, level: int, node: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = self.levels[level]
+        at = np.minimum(np.searchsorted(keys, node * _SPAN + count), len(keys) - 1)
+        return at, keys[at] == node * _SPAN + count
+
+    def reach(
+        self, counts: np.ndarray, tops: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a searching word (by row of ``counts``) and a leaf within its budget, and what was spent.
+
+        With ``tops``, the first counts of the part of the trie that each word
+        searches, the search starts there, with what leads there spent.
+        """
         query, node = np.arange(len(counts)), np.zeros(len(counts), np.int64)
-        more, less = np.ones(len(counts), bool), np.ones(len(counts), bool)
-        for level, (keys, _) in enumerate(self.levels):
+        spent = np.zeros(len(counts), np.int64)
+        first = 0 if tops is None else tops.shape[1]
+        for level in range(first):
+            at, on = self._child(level, node, tops[query, level])
+            query, node = query[on], at[on]
+        if tops is not None:
+            spent = np.abs(tops - counts[:, :first]).sum(axis=1)[query]
+        for level in range(first, len(self.levels)):
             parts = []
-            for change in (0, 1, -1):
-                allowed = np.ones(len(query), bool) if change == 0 else more if change > 0 else less
-                count = counts[query, level] + change
-                allowed = allowed & (count >= 0)
-                key = node * _SPAN + count
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                on = allowed & (keys[at] == key)
-                parts.append((query[on], at[on], more[on] & (change <= 0), less[on] & (change >= 0)))
-            query, node, more, less = (np.concatenate(x) for x in zip(*parts))
-        return query, node
-
-    def near(self, words: list[str], counts: np.ndarray) -> Iterator[tuple[int, int]]:
+            # Nothing, a surplus if none is spent, a deficit if the surplus alone is spent.
+            for change, before in ((0, None), (1, 0), (-1, 1)):
+                may = slice(None) if before is None else spent == before
+                asked, from_node, so_far = query[may], node[may], spent[may]
+                at, on = self._child(level, from_node, counts[asked, level] + change)
+                parts.append((asked[on], at[on], so_far[on] + abs(change)))
+            query, node, spent = (np.concatenate(x) for x in zip(*parts))
+        return query, node, spent
+
+    def near(self, words: list[str], counts: np.ndarray, tops: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
         """Verified pairs: place of a searching word, and place of a word as it was given."""
         for start in range(0, len(words), SEARCH_WORDS):
-            query, leaf = self.reach(counts[start : start + SEARCH_WORDS])
-            for q, at in zip(query.tolist(), leaf.tolist()):
+            rows = slice(start, start + SEARCH_WORDS)
+            query, leaf, spent = self.reach(counts[rows], None if tops is None else tops[rows])
+            for q, at, used in zip(query.tolist(), leaf.tolist(), spent.tolist()):
                 word = words[start + q]
                 for k in range(self.leaf_starts[at], self.leaf_starts[at + 1]):
-                    if one_edit_apart(word, self.words[k]):
+                    other = self.words[k]
+                    if (used or word < other) and one_edit_apart(word, other):
                         yield start + q, int(self.order[k])
 
 
-
-
 def _reachable(top: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """The first counts of all words that may be one edit apart from a word with these."""
-    near = {top}
-    for a in range(len(top)):
-        up = top[:a] + (top[a] + 1,) + top[a + 1 :]
-        near.add(up)
-        if top[a]:
-            down = top[:a] + (top[a] - 1,) + top[a + 1 :]
-            near |= {down} | {down[:b] + (down[b] + 1,) + down[b + 1 :] for b in range(len(top)) if b != a}
-    return list(near)
+    """The first counts of all words that a search from a word with these can lead to."""
+    changed = lambda t, k, by: t[:k] + (t[k] + by,) + t[k + 1 :]
+    more = [(k, changed(top, k, 1)) for k in range(len(top))]
+    return [top, *(t for _, t in more)] + [
+        changed(t, later, -1) for k, t in more for later in range(k + 1, len(top)) if t[later]
+    ]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -178,12 +192,12 @@ def near_words(words: DataFrame) -> DataFrame:
     without a near word are left out.
 
     The upper levels of the trie are the places that words are sent to: a word
-    is kept at the counts of its first groups and searches all places that an
-    edit can lead to. Places are dealt to parts by hash; one with more words
+    is kept at the counts of its first groups and searches all places that its
+    budget leads to. Places are dealt to parts by hash; one with more words
     than a part holds is dealt out over several, all of which are searched. A
     task holds the words of one part at a time and lets the searching words
-    pass by, so that its memory has a bound; it answers with one row per part
-    and searching word, which are combined by word.
+    pass by, so that its memory has a bound. It answers with one row per word
+    met, which are combined by word; pairs are not passed on.
     """
     spark = words.sparkSession
 
@@ -198,22 +212,23 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def spread(tops: pa.Array) -> pa.Array:
         known = tops.dictionary_encode()
-        near = [[",".join(map(str, t)) for t in _reachable(tuple(map(int, top.split(","))))] for top in known.dictionary.to_pylist()]
-        return pa.array(near, pa.list_(pa.string())).take(known.indices)
+        near = [_reachable(tuple(map(int, top.split(",")))) for top in known.dictionary.to_pylist()]
+        named = [[",".join(map(str, t)) for t in reached] for reached in near]
+        return pa.array(named, pa.list_(pa.string())).take(known.indices)
 
     placed = stored(words.select("word", "n").mapInArrow(place, "word string, n long, top string"), "words")
     sizes = stored(placed.groupBy("top").agg(F.count(F.lit(1)).alias("held")), "places")
     total = sizes.agg(F.sum("held")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_WORDS))
     shares = sizes.select("top", F.ceil(F.col("held") / PART_WORDS).cast("int").alias("shares"))
-    part = lambda share: F.pmod(F.xxhash64("top", share), F.lit(parts)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("top", "share"), F.lit(parts)).cast("int").alias("part")
     kept = placed.join(shares, "top").withColumn("share", F.pmod(F.xxhash64("word"), F.col("shares")).cast("int"))
     reach = F.arrow_udf(spread, "array<string>")
     asking = placed.select("word", "n", F.explode_outer(reach("top")).alias("top")).join(shares, "top")
-    asking = asking.select("word", "n", "top", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    # A word asks a part once, however many of the places it can reach lie there.
-    asked = asking.select(part(F.col("share")), F.lit(True).alias("asks"), "word", "n").distinct()
-    rows = kept.select(part(F.col("share")), F.lit(False).alias("asks"), "word", "n").unionByName(asked)
+    asking = asking.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    rows = kept.select(part, F.lit(False).alias("asks"), "word", "n", "top").unionByName(
+        asking.select(part, F.lit(True).alias("asks"), "word", "n", "top")
+    )
     dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "asks")
     found = dealt.mapInArrow(_search, "word string, n_near long, form_n long, near_form string")
     # The order of strings is that of their code points.
@@ -223,36 +238,38 @@ def near_words(words: DataFrame) -> DataFrame:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of parts in order, each part's own words before those that search it, to what each search finds."""
-    part, trie, held, held_n, lists = None, None, [], [], []
-
-    def plant() -> CountTrie | None:
-        return CountTrie(held, group_counts(held)) if held else None
-
+    """Rows of parts in order, each part's own words before those that search it, to what is near each word met."""
+    part, trie, held, held_n = None, None, [], []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         parts, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero(np.r_[True, (np.diff(parts) != 0) | (asks[1:] != asks[:-1])]) if len(parts) else []
-        for start, end in zip(edges, [*edges[1:], len(parts)]):
-            words, counts = batch.column(2).slice(start, end - start).to_pylist(), batch.column(3).slice(start, end - start).to_pylist()
+        edges = np.flatnonzero(np.r_[True, (np.diff(parts) != 0) | (asks[1:] != asks[:-1])]).tolist()
+        for start, end in zip(edges, [*edges[1:], batch.num_rows]):
+            rows = batch.slice(start, end - start)
+            words, n = rows.column(2).to_pylist(), rows.column(3).to_pylist()
             if parts[start] != part:
                 part, trie, held, held_n = parts[start], None, [], []
             if not asks[start]:
                 held += words
-                held_n += counts
+                held_n += n
                 continue
-            if trie is None:
-                trie = plant()
-            if trie is None:
+            if not held:
                 continue
-            best: dict[int, tuple[int, int, str]] = {}
-            for q, k in trie.near(words, group_counts(words)):
-                n_near, n, form = best.get(q, (0, 0, ""))
-                better = held_n[k] > n or (held_n[k] == n and held[k] < form)
-                best[q] = (n_near + 1, *((held_n[k], held[k]) if better else (n, form)))
-            if best:
-                n_near, n, form = zip(*best.values())
+            if trie is None:
+                trie = CountTrie(held, group_counts(held))
+            known = rows.column(4).dictionary_encode()
+            tops = np.array([top.split(",") for top in known.dictionary.to_pylist()], np.int64)
+            met: dict[str, tuple[int, int, str]] = {}
+            for q, k in trie.near(words, group_counts(words), tops[known.indices.to_numpy()]):
+                for word, other, other_n in ((words[q], held[k], held_n[k]), (held[k], words[q], n[q])):
+                    n_near, best_n, best = met.get(word, (0, 0, ""))
+                    better = other_n > best_n or (other_n == best_n and other < best)
+                    met[word] = (n_near + 1, *((other_n, other) if better else (best_n, best)))
+            if met:
+                n_near, best_n, best = zip(*met.values())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([words[q] for q in best]), pa.array(n_near, pa.int64()), pa.array(n, pa.int64()), pa.array(form)],
+                    [pa.array(met.keys(), pa.string()), pa.array(n_near, pa.int64()), pa.array(best_n, pa.int64()), pa.array(best)],
                     ["word", "n_near", "form_n", "near_form"],
                 )
 
