@@ -49,11 +49,17 @@ def cluster_topk(
     Reads the folders of the ``probes`` clusters nearest to each query; with as
     many probes as there are clusters, or with None, the answer is exact.
     """
+    return semantic_topk(probed_vectors(spark, path, queries, probes), queries, k)
+
+
+def probed_vectors(
+    spark: SparkSession, path: str, queries: Mapping[str, Sequence[float]], probes: int | None = PROBES
+) -> DataFrame:
+    """The stored vectors of the clusters nearest to some queries; their folders are all that is read."""
     centres = np.array(PipelineModel.load(f"{path}/model").stages[-1].clusterCenters())
     near: set[int] = set()
     for vector in queries.values():
         query = np.asarray(vector, dtype="f8")
         unit = query / (np.linalg.norm(query) or 1.0)
         near |= set(np.argsort(((centres - unit) ** 2).sum(axis=1), kind="stable")[:probes].tolist())
-    stored = spark.read.parquet(f"{path}/vectors").where(F.col("cluster").isin(sorted(near)))
-    return semantic_topk(stored, queries, k)
+    return spark.read.parquet(f"{path}/vectors").where(F.col("cluster").isin(sorted(near)))

@@ -95,11 +95,19 @@ def cover_density(postings: DataFrame, queries: Mapping[str, Sequence[str]]) ->
         counted = hits.groupBy("query", "id", "n_terms").agg(F.count_distinct("number").alias("found"))
         whole = counted.where("found = n_terms").select("query", "id")
         hits = hits.join(whole, ["query", "id"], "left_semi")
+    return score_covers(hits, max((a[3] for a in asked), default=0))
 
+
+def score_covers(hits: DataFrame, most: int) -> DataFrame:
+    """Sum over the covers of each query and text: query, id, score.
+
+    ``hits`` has the positions at which a query's terms stand: query, id,
+    number (of the term within the query), n_terms, pos. ``most`` is the
+    greatest ``n_terms``.
+    """
     in_text = Window.partitionBy("query", "id").orderBy("pos")
     so_far = in_text.rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("at", F.row_number().over(in_text))
-    most = max((a[3] for a in asked), default=0)
     spot = F.struct(F.col("at"), F.col("pos"))
     latest = [F.max(F.when(F.col("number") == t, spot)).over(so_far) for t in range(most)]
     hits = hits.select("query", "id", "n_terms", "at", "pos", *[c.alias(f"latest_{t}") for t, c in enumerate(latest)])
