@@ -2,12 +2,13 @@
 
 An index is a folder: a status log, and one folder per build with three tables
 
-* ``chunks``: id, content, metadata, source_path, chunk_index, words, created_at, updated_at
+* ``chunks``: id, text_hash, content, metadata, source_path, chunk_index, words, created_at, updated_at
 * ``vectors``: id, embedding
 * ``postings``: id, term, pos, in folders by term and sorted by it, so that a search reads little
 
 A build writes a folder of its own and becomes visible through its ``ready``
-entry, so searches never meet a half-built index.
+entry, so searches never meet a half-built index. ``refresh`` adds folders of
+changes, which ``layers`` puts together on reading.
 """
 
 from __future__ import annotations
@@ -15,17 +16,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import english_index, explode_index
 from ..operators.chunks import chunk_documents
-from ..operators.clusters import cluster_topk, write_clusters
+from ..operators.clusters import write_clusters
 from ..operators.embed import TfidfEmbedder, embed_documents
 from ..operators.fuse import rrf_fuse
-from ..operators.keyword import keyword_topk, query_terms, read_postings, write_postings
+from ..operators.keyword import keyword_topk, query_terms, write_postings
+from ..operators.keyword_blocks import write_posting_blocks
 from ..operators.semantic import semantic_topk
 from ..sources.build_log import append_status, index_status
+from .layers import Layer, layers_of, live_postings, live_table, probed_table, write_layers
 
 Model = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -39,7 +42,11 @@ class IndexNotReady(RuntimeError):
 
 
 def build_index(
-    documents: DataFrame, root: str, model: Model | None = None, cluster_vectors: bool = False
+    documents: DataFrame,
+    root: str,
+    model: Model | None = None,
+    cluster_vectors: bool = False,
+    query_tables: bool = False,
 ) -> DataFrame:
     """Index documents (source_path, text) under ``root`` and return the new status row.
 
@@ -47,7 +54,8 @@ def build_index(
     from the stored chunks, so nothing is computed twice and ids stay what they are.
     Without a model, chunks get hashed TF-IDF vectors whose weights are stored
     with the index. ``cluster_vectors`` adds a copy of the vectors laid out for
-    approximate search. An empty source leaves the tables of the last build in
+    approximate search, and ``query_tables`` one of the postings in blocks for
+    searches of a table of queries (``batch``). An empty source leaves the tables of the last build in
     place, and its status keeps the count of what is served (0 if nothing is).
     """
     spark = documents.sparkSession
@@ -59,7 +67,8 @@ def build_index(
             return index_status(spark, root)
         version = uuid.uuid4().hex
         folder = f"{root}/builds/{version}"
-        write_chunks(chunk_documents(documents), f"{folder}/chunks")
+        hashed = documents.withColumn("text_hash", text_hash(F.col("text")))
+        write_chunks(chunk_documents(hashed, keep=("text_hash",)), f"{folder}/chunks")
         chunks = spark.read.parquet(f"{folder}/chunks")
         n_chunks = chunks.count()
         if model is None:
@@ -71,7 +80,8 @@ def build_index(
         vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
         if cluster_vectors:
             write_clusters(spark.read.parquet(f"{folder}/vectors"), f"{folder}/clusters")
-        write_postings(explode_index(chunks, ["id"], "words"), f"{folder}/postings", n_chunks)
+        found = write_words(explode_index(chunks, ["id"], "words"), folder, n_chunks, query_tables)
+        write_layers(spark, root, version, [Layer(folder, version, cluster_vectors, False, query_tables, found)])
         append_status(spark, root, "ready", document_count=n_chunks, version=version)
     except Exception as problem:
         append_status(spark, root, "failed", last_error=str(problem))
@@ -79,14 +89,19 @@ def build_index(
     return index_status(spark, root)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Store chunks with an id, their index words and the time of writing.
+def text_hash(text: Column) -> Column:
+    """What tells two texts of one path apart."""
+    return F.sha2(text, 256)
+
+
+def write_chunks(chunks: DataFrame, path: str, above: int = 0) -> None:
+    """Store chunks with an id, their index words and the time of writing. Ids are greater than ``above``.
 
     Ids grow with source path and chunk index, so that hits of equal score come
     in the same order from every build. They are not consecutive.
     """
     chunks.orderBy("source_path", "chunk_index").select(
-        (F.monotonically_increasing_id() + 1).alias("id"),
+        (F.monotonically_increasing_id() + above + 1).alias("id"),
         *chunks.columns,
         english_index(F.col("content")).alias("words"),
         F.current_timestamp().alias("created_at"),
@@ -94,6 +109,17 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     ).write.parquet(path)
 
 
+def write_words(words: DataFrame, folder: str, n_chunks: int, blocks: bool) -> bool:
+    """Store the postings of a layer, and in blocks too where wanted; whether there are any."""
+    if words.isEmpty():
+        return False
+    write_postings(words, f"{folder}/postings", n_chunks)
+    if blocks:
+        stored = words.sparkSession.read.parquet(f"{folder}/postings").select("id", "term", "pos")
+        write_posting_blocks(stored, f"{folder}/blocks", n_chunks)
+    return True
+
+
 def search(
     spark: SparkSession,
     root: str,
@@ -116,17 +142,17 @@ def search(
         raise IndexNotReady(f"the index is not ready, its status is {status['status']}")
     if status["version"] is None:
         return spark.createDataFrame([], NO_HITS)
-    folder = f"{root}/builds/{status['version']}"
+    layers = layers_of(spark, root, status["version"])
 
     def by_meaning(n: int) -> DataFrame:
-        asked = {"q": embed_query(spark, folder, query, model)}
+        asked = {"q": embed_query(spark, layers[0].folder, query, model)}
         if probes is not None:
-            return cluster_topk(spark, f"{folder}/clusters", asked, n, probes)
-        return semantic_topk(spark.read.parquet(f"{folder}/vectors"), asked, n)
+            return semantic_topk(probed_table(spark, layers, asked, probes), asked, n)
+        return semantic_topk(live_table(spark, layers, "vectors"), asked, n)
 
     def by_words(n: int) -> DataFrame:
         terms = query_terms(spark, {"q": query})
-        return keyword_topk(read_postings(spark, f"{folder}/postings", terms["q"]), terms, n)
+        return keyword_topk(live_postings(spark, layers, terms["q"]), terms, n)
 
     if mode == "semantic":
         found = by_meaning(k)
@@ -135,7 +161,7 @@ def search(
     else:
         fetch = FETCH_FACTOR * k
         found = rrf_fuse(by_meaning(fetch), by_words(fetch), k)
-    return with_content(found.drop("query"), spark.read.parquet(f"{folder}/chunks"), mode)
+    return with_content(found.drop("query"), live_table(spark, layers, "chunks"), mode)
 
 
 def hybrid_search(
