@@ -23,6 +23,7 @@ from ..functions.text import english_index, explode_index
 from ..operators.chunks import chunk_documents
 from ..operators.clusters import write_clusters
 from ..operators.embed import TfidfEmbedder, embed_documents
+from ..operators.embedding_store import embed_once
 from ..operators.fuse import rrf_fuse
 from ..operators.keyword import keyword_topk, query_terms, write_postings
 from ..operators.keyword_blocks import write_posting_blocks
@@ -47,6 +48,7 @@ def build_index(
     model: Model | None = None,
     cluster_vectors: bool = False,
     query_tables: bool = False,
+    store: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Index documents (source_path, text) under ``root`` and return the new status row.
 
@@ -55,7 +57,9 @@ def build_index(
     Without a model, chunks get hashed TF-IDF vectors whose weights are stored
     with the index. ``cluster_vectors`` adds a copy of the vectors laid out for
     approximate search, and ``query_tables`` one of the postings in blocks for
-    searches of a table of queries (``batch``). An empty source leaves the tables of the last build in
+    searches of a table of queries (``batch``). With ``store``, the folder of an
+    embedding store and the model's name, the model gets only texts that the
+    store does not have. An empty source leaves the tables of the last build in
     place, and its status keeps the count of what is served (0 if nothing is).
     """
     spark = documents.sparkSession
@@ -76,7 +80,7 @@ def build_index(
             embedder.save(f"{folder}/embedder")
             vectors = embedder.transform(chunks.select("id", "words"))
         else:
-            vectors = embed_documents(chunks.select("id", "content"), model)
+            vectors = embedded(chunks.select("id", "content"), model, store)
         vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
         if cluster_vectors:
             write_clusters(spark.read.parquet(f"{folder}/vectors"), f"{folder}/clusters")
@@ -89,6 +93,11 @@ def build_index(
     return index_status(spark, root)
 
 
+def embedded(chunks: DataFrame, model: Model, store: tuple[str, str] | None) -> DataFrame:
+    """Chunks with a model's vectors, by way of an embedding store where one is given."""
+    return embed_documents(chunks, model) if store is None else embed_once(chunks, model, *store)
+
+
 def text_hash(text: Column) -> Column:
     """What tells two texts of one path apart."""
     return F.sha2(text, 256)

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import explode_index
 from ..operators.chunks import chunk_documents
-from ..operators.embed import TfidfEmbedder, embed_documents
+from ..operators.embed import TfidfEmbedder
 from ..sources.build_log import append_status, index_status
 from ..sources.scratch import kept
-from .index import Model, build_index, text_hash, write_chunks, write_words
+from .index import Model, build_index, embedded, text_hash, write_chunks, write_words
 from .layers import Layer, layers_of, live_postings, live_table, write_layers
 
 #: A refresh of an index with so many layers merges them into one.
@@ -47,12 +47,14 @@ def document_changes(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return changes.where("copies > 0")
 
 
-def refresh_index(documents: DataFrame, root: str, model: Model | None = None) -> DataFrame:
+def refresh_index(
+    documents: DataFrame, root: str, model: Model | None = None, store: tuple[str, str] | None = None
+) -> DataFrame:
     """Index what is new in documents (source_path, text), drop what is gone, and return the new status row.
 
     Unchanged documents are neither cut nor embedded again: the changes go to a
     layer of their own, which readers put on top of the ones before. A model
-    must be the one the index was built with; without one, new chunks are
+    must be the one the index was built with (``store`` as in ``build_index``); without one, new chunks are
     weighted as when the base was built, until the next ``build_index``. After
     ``MOST_LAYERS`` layers they are merged. Without an index, one is built.
     Documents without changes leave the version as it is. One refresh at a time
@@ -62,7 +64,7 @@ def refresh_index(documents: DataFrame, root: str, model: Model | None = None) -
     spark = documents.sparkSession
     before = index_status(spark, root).first()
     if before["version"] is None:
-        return build_index(documents, root, model)
+        return build_index(documents, root, model, store=store)
     append_status(spark, root, "building")
     try:
         layers = layers_of(spark, root, before["version"])
@@ -73,7 +75,7 @@ def refresh_index(documents: DataFrame, root: str, model: Model | None = None) -
             return index_status(spark, root)
         version = uuid.uuid4().hex
         layer = Layer(f"{root}/builds/{version}", version, False, True, layers[0].blocks)
-        words = _write_layer(documents, chunks, changes, layers, layer, model)
+        words = _write_layer(documents, chunks, changes, layers, layer, model, store)
         layers = [*layers, replace(layer, words=words)]
         write_layers(spark, root, version, layers)
         if len(layers) >= MOST_LAYERS:
@@ -103,8 +105,9 @@ def compact_index(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _write_layer(
-    documents: DataFrame, chunks: DataFrame, changes: DataFrame, layers: list[Layer], layer: Layer, model: Model | None
-) -> bool:
+    documents: DataFrame, chunks: DataFrame, changes: DataFrame, layers: list[Layer], layer: Layer, model: Model | None,
+    store: tuple[str, str] | None,
+) -> bool:
     """Write the tables of a layer; whether its chunks have any words."""
     spark = documents.sparkSession
     key = ["source_path", "text_hash"]
@@ -126,7 +129,7 @@ def _write_layer(
     if model is None:
         vectors = TfidfEmbedder.load(f"{layers[0].folder}/embedder").transform(made.select("id", "words"))
     else:
-        vectors = embed_documents(made.select("id", "content"), model)
+        vectors = embedded(made.select("id", "content"), model, store)
     vectors.select("id", "embedding").write.parquet(f"{layer.folder}/vectors")
     return write_words(explode_index(made, ["id"], "words"), layer.folder, made.count(), layer.blocks)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import SCORE_DIGITS
+from ..operators.embedding_store import embed_once, store_log
 from ..operators.keyword_blocks import blocks_read, keyword_topk_of, write_posting_blocks
 from ..operators.vector_join import clustered_topk, recall, vector_topk, write_search_clusters
 from ..plans.batch import search_table
@@ -14,8 +15,9 @@ from ..plans.layers import layers_of, live_table
 from ..plans.refresh import document_changes, refresh_index
 from ..sources.build_log import index_status
 from ..sources.scratch import scratch_path
-from .search import ARTICLES, CHUNK_ROWS, CHUNKS, COSINE, _fuse_sql, _letter_counts, _postings, _postings_sql, _rounded, articles
-from .tables import read
+from .search import ORACLES as SEARCH_ORACLES
+from .search import CHUNK_ROWS, CHUNKS, COSINE, _fuse_sql, _letter_counts, _postings, _postings_sql, _rounded, articles
+from .tables import read, read_spread
 
 #: Every row whose id this divides is a query.
 ONE_IN = 100
@@ -119,6 +121,26 @@ def _search_table(mode):
     return found
 
 
+def _stored_embeddings(spark, sf_dir):
+    """A store after two calls: for the English documents, then for all of them."""
+    documents = read_spread(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    store = scratch_path(spark, "embeddings")
+    embed_once(documents.where("lang = 'en'"), _letter_counts, store, "letters", "text")
+    return embed_once(documents, _letter_counts, store, "letters", "text"), store
+
+
+def _embed_once(spark, sf_dir):
+    made, _ = _stored_embeddings(spark, sf_dir)
+    return made.select("doc_id", *(F.get("embedding", F.lit(k)).alias(letter) for k, letter in enumerate("aeio")))
+
+
+def _embedding_calls(spark, sf_dir):
+    """How many texts each call had to give to the model."""
+    _, store = _stored_embeddings(spark, sf_dir)
+    place = F.row_number().over(Window.orderBy("at"))
+    return store_log(spark, store).select(place.alias("call"), "n_texts")
+
+
 QUERIES = {
     "vector_table_topk": _exact,
     "vector_table_clusters": _clustered,
@@ -128,6 +150,8 @@ QUERIES = {
     "refresh_index": _refreshed,
     "refresh_changes": _changes,
     "search_table_semantic": _search_table("semantic"),
+    "embed_once": _embed_once,
+    "embedding_calls": _embedding_calls,
 }
 
 _ASKED = f"""counts AS MATERIALIZED (SELECT id, term, count(*) AS n FROM postings GROUP BY id, term),
@@ -162,7 +186,10 @@ SELECT t.query, sum(c.n)::BIGINT AS postings, TRUE AS within FROM terms t JOIN c
     "refresh_index": CHUNK_ROWS,
     "refresh_changes": """SELECT 'new' AS change, count(*) AS documents, count(*) AS copies FROM documents WHERE lang IN ('en', 'fr', 'es')
 UNION ALL SELECT 'gone', count(*), count(*) FROM documents WHERE lang IN ('en', 'es')""",
-    "search_table_semantic": "",
+    "embed_once": SEARCH_ORACLES["embed_with_model"],
+    "embedding_calls": """WITH firsts AS (SELECT text, bool_or(lang = 'en') AS early FROM documents GROUP BY text)
+SELECT 1::INTEGER AS call, count(*) FILTER (early) AS n_texts FROM firsts
+UNION ALL SELECT 2, count(*) FILTER (NOT early) FROM firsts""",
 }
 _COUNTED = ", ".join(f"1.0::DOUBLE + length({{0}}) - length(replace({{0}}, '{c}', ''))" for c in "aeio")
 _UNIT = "list_transform({0}, lambda x: (x / sqrt(list_dot_product({0}, {0})))::FLOAT)"
