@@ -100,9 +100,12 @@ def metric_contributors(
 
 def metric_totals_daily(df: DataFrame, metric: str, date_column: str) -> DataFrame:
     """``compare_metric_totals`` of every day with the day before it."""
-    pairs = _daily_pairs(df, metric, date_column, []).withColumnsRenamed(
-        {"m": "current_total", "m_before": "previous_total"}
-    )
+    return metric_totals_of_days(_daily_sums(df, metric, date_column, []))
+
+
+def metric_totals_of_days(daily: DataFrame) -> DataFrame:
+    """``metric_totals_daily`` from one row per day: day, m."""
+    pairs = day_pairs(daily, ["m"]).withColumnsRenamed({"m": "current_total", "m_before": "previous_total"})
     return _named(pairs.select("current_day", "previous_day", *total_columns()))
 
 
@@ -115,7 +118,12 @@ def metric_contributors_daily(
     a day before the ranks meet, so neither a hot day nor a hot group piles up.
     """
     named = df.withColumn("group_value", F.col(f"`{group_by}`"))
-    pairs = _daily_pairs(named, metric, date_column, ["group_value"]).withColumnsRenamed(
+    return metric_contributors_of_days(_daily_sums(named, metric, date_column, ["group_value"]), limit)
+
+
+def metric_contributors_of_days(daily: DataFrame, limit: int = CONTRIBUTORS) -> DataFrame:
+    """``metric_contributors_daily`` from one row per day and group: day, group_value, m."""
+    pairs = day_pairs(daily, ["m"], ["group_value"]).withColumnsRenamed(
         {"m": "current_value", "m_before": "previous_value"}
     )
     by_day = Window.partitionBy("current_day").orderBy(*largest_move())
@@ -123,10 +131,10 @@ def metric_contributors_daily(
     return ranked.select("current_day", "rank", "group_value", *change_columns("previous_value", "current_value"))
 
 
-def _daily_pairs(df: DataFrame, metric: str, date_column: str, keys: list[str]) -> DataFrame:
+def _daily_sums(df: DataFrame, metric: str, date_column: str, keys: list[str]) -> DataFrame:
     require_numeric(df, metric)
     daily = df.groupBy(business_day(df, date_column).alias("day"), *keys).agg(daily_metric_sum(df, metric).alias("m"))
-    return day_pairs(daily.where("day is not null"), ["m"], keys)
+    return daily.where("day is not null")
 
 
 def daily_metric_sum(df: DataFrame, metric: str) -> Column:

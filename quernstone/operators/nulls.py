@@ -105,7 +105,18 @@ def detect_null_anomalies_daily(
     """``detect_null_anomalies`` for every day that has rows, in one pass over the table."""
     columns = checked_columns(df, date_column)
     daily = df.groupBy(business_day(df, date_column).alias("day")).agg(*daily_null_counts(columns))
-    sent = look_back(daily.where("day is not null"), lookback_days)
+    return null_anomalies_of_days(daily.where("day is not null"), columns, threshold_pct, critical_columns, lookback_days)
+
+
+def null_anomalies_of_days(
+    daily: DataFrame,
+    columns: list[str],
+    threshold_pct: float = 5.0,
+    critical_columns: Collection[str] = (),
+    lookback_days: int = LOOKBACK_DAYS,
+) -> DataFrame:
+    """``detect_null_anomalies_daily`` from one row per day: day and the ``daily_null_counts`` of the columns."""
+    sent = look_back(daily, lookback_days)
     facts = sent.groupBy("current_day").agg(*daily_null_aggregates(columns)).where("rows_now > 0")
     return _graded(facts, ["current_day"], columns, threshold_pct, critical_columns)
 

@@ -58,8 +58,13 @@ def compare_row_counts_daily(
     are summed before they are shuffled, so a day may hold any share of them.
     """
     counts = df.groupBy(business_day(df, date_column).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return row_counts_of_days(counts.where("day is not null"), warning_pct, critical_pct)
+
+
+def row_counts_of_days(counts: DataFrame, warning_pct: float = 10.0, critical_pct: float = 30.0) -> DataFrame:
+    """``compare_row_counts_daily`` from one row per day: day, n."""
     return _named(
-        day_pairs(counts.where("day is not null"), ["n"])
+        day_pairs(counts, ["n"])
         .select("current_day", "previous_day", F.col("n").alias("current_count"), F.col("n_before").alias("previous_count"))
         .select("current_day", "previous_day", *count_columns(warning_pct, critical_pct))
     )
