@@ -30,35 +30,30 @@ from .rules import TableRules
 
 EVIDENCE_SAMPLES, FAILED_SAMPLES = 5, 20
 
-# Advice per set of issue types, in the order it is given.
+# What to do next, by issue types. The types and their order are fixed values; the sentences are this library's own.
 ADVICE = (
     (
         ("row_count_drop",),
-        "Investigate upstream ingestion/pipeline job status for the affected business date "
-        "(late-arriving data, failed job run, or upstream source outage).",
+        "Rows are missing: see whether every load of the day ran to its end, and whether part of the day's data is still to come.",
     ),
     (
         ("null_anomaly", "critical_column_nulls"),
-        "Look at the rows with unexpected NULLs (failed_records) and trace them back to the source "
-        "system or upstream transformation that fills those columns.",
+        "Values are missing: take the rows of failed_records and follow the empty columns back to the step that should fill them.",
     ),
     (
         ("duplicate_records",),
-        "Look at the duplicated keys (duplicate_samples) and check the ingestion job for retries or "
-        "reprocessing that may write records twice.",
+        "Keys repeat: compare the rows of duplicate_samples; a load that was started twice is the usual reason.",
     ),
     (
         ("freshness_issue",),
-        "Check the scheduling/orchestration system for the job that loads this table -- it may be "
-        "delayed, stuck, or failing silently.",
+        "The newest record is old: see when the table's load last ran, and whether it still waits or failed.",
     ),
     (
         ("metric_trend_deviation",),
-        "Look at the groups that move the metric most (metric_contributors), then at their records "
-        "(failed_records).",
+        "The metric moved: metric_contributors names the groups behind it; read their rows with failed_records.",
     ),
 )
-NO_ADVICE = "No anomalies detected; no further investigation required at this time."
+NO_ADVICE = "Every check is within its limits."
 
 FINDING = "struct<issue_type:string,severity:string,severity_code:int,description:string,evidence:string>"
 

@@ -10,13 +10,25 @@ from ..operators.embedding_store import embed_once, store_log
 from ..operators.keyword_blocks import blocks_read, keyword_topk_of, write_posting_blocks
 from ..operators.vector_join import clustered_topk, recall, vector_topk, write_search_clusters
 from ..plans.batch import search_table
-from ..plans.index import build_index
+from ..plans.index import build_index, search
 from ..plans.layers import layers_of, live_table
 from ..plans.refresh import document_changes, refresh_index
 from ..sources.build_log import index_status
 from ..sources.scratch import scratch_path
+from .search import (
+    CHUNK_ROWS,
+    CHUNKS,
+    COSINE,
+    QUERY_WORDS,
+    _fuse_sql,
+    _letter_counts,
+    _postings,
+    _postings_sql,
+    _rounded,
+    _scores_sql,
+    articles,
+)
 from .search import ORACLES as SEARCH_ORACLES
-from .search import CHUNK_ROWS, CHUNKS, COSINE, _fuse_sql, _letter_counts, _postings, _postings_sql, _rounded, articles
 from .tables import read, read_spread
 
 #: Every row whose id this divides is a query.
@@ -141,6 +153,19 @@ def _embedding_calls(spark, sf_dir):
     return store_log(spark, store).select(place.alias("call"), "n_texts")
 
 
+def _search_with_model(mode):
+    """One search of an index whose vectors SQL can state."""
+
+    def found(spark, sf_dir):
+        root = scratch_path(spark, "index")
+        build_index(articles(spark, sf_dir), root, _letter_counts)
+        hits = search(spark, root, QUERY_WORDS["two"], BEST, mode, _letter_counts)
+        others = [c for c in hits.columns if c not in ("id", "metadata", "content", "search_type")]
+        return _rounded(hits.select(*others, "metadata.source_file", "metadata.chunk_index"))
+
+    return found
+
+
 QUERIES = {
     "vector_table_topk": _exact,
     "vector_table_clusters": _clustered,
@@ -150,6 +175,8 @@ QUERIES = {
     "refresh_index": _refreshed,
     "refresh_changes": _changes,
     "search_table_semantic": _search_table("semantic"),
+    "search_model_semantic": _search_with_model("semantic"),
+    "search_model_hybrid": _search_with_model("hybrid"),
     "embed_once": _embed_once,
     "embedding_calls": _embedding_calls,
 }
@@ -208,3 +235,24 @@ scored AS (
          {COSINE.format('s.v', _UNIT.format('q.v') + '::DOUBLE[]')} AS score FROM vectors q, stored s)
 SELECT query, rank, score, source_file, chunk_index FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM scored) WHERE rank <= {BEST}"""
+_NUMBERED = f"""{CHUNKS},
+numbered AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY source_path, chunk_index) AS id, source_path, chunk_index, content,
+         [{_COUNTED.format('content')}] AS v FROM chunks),
+asked_vector AS (SELECT [{_COUNTED.format('text')}] AS v FROM (SELECT '{QUERY_WORDS["two"]}' AS text)),
+near AS (
+  SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank
+  FROM (SELECT n.id, {COSINE.format(_UNIT.format('n.v'), _UNIT.format('q.v') + '::DOUBLE[]')} AS score
+        FROM numbered n, asked_vector q))"""
+ORACLES["search_model_semantic"] = f"""WITH RECURSIVE {_NUMBERED}
+SELECT r.rank, r.score, n.source_path AS source_file, n.chunk_index FROM near r JOIN numbered n USING (id)
+WHERE r.rank <= {BEST}"""
+_FUSED = _fuse_sql(
+    f"SELECT 'two' AS query, * FROM near WHERE rank <= {3 * BEST}",
+    f"SELECT query, id, score, rank FROM ranked WHERE rank <= {3 * BEST}", "query", BEST,
+)
+ORACLES["search_model_hybrid"] = f"""WITH RECURSIVE {_NUMBERED},
+{_scores_sql(['two'], 'numbered', 'id', 'content')}
+SELECT f.rank, f.score, f.semantic_rank, f.semantic_score, f.keyword_rank, f.keyword_score,
+       n.source_path AS source_file, n.chunk_index
+FROM ({_FUSED}) f JOIN numbered n USING (id)"""
