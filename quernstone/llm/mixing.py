@@ -52,73 +52,114 @@ def mix_sources(
     is as large as all sources together, in words. A source whose target is
     e times its size gives each document floor(e) times, and once more the
     documents that come first in a seeded order, up to the words still wanted
-    (a document goes in while at least half of it fits). The running sum over
-    that order is taken in two steps, by hash bucket and within it, so that no
-    source meets in one task.
+    (a document goes in while at least half of it fits).
 
     Returns ``id, source, size, source_size, target, repeats, taken``, a row per
     row given. Null texts and texts without words have size 0 and are taken
-    floor(e) times, or once more, without words. Repeated rows are documents of
-    their own with one place in the order. No rows give no rows; other columns are not read.
+    floor(e) times, or once more, without words. Rows of one id and one text
+    have one place in the order and go in together, while half of them fits;
+    rows without id are placed by their text. No rows give no rows; other
+    columns are not read.
     """
-    return _repeated(documents, id_column, text_column, source_column, weights, max_epochs, seed).select(
+    sized, cuts = _cuts(documents, id_column, text_column, source_column, weights, max_epochs, seed)
+    return _decided(sized, cuts).select(
         "id", "source", "size", "source_size", "target", "repeats",
         (F.col("repeats") * F.col("size")).alias("taken"),
     )
 
 
-def _repeated(
-    documents: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    source_column: str = "source",
-    weights: Sequence[int] = (5, 2, 1),
-    max_epochs: int = 3,
-    seed: int = 7,
-    carried: Sequence[Column] = (),
-) -> DataFrame:
-    """The rows of ``mix_sources`` before they are cut to its columns, with the ``carried`` columns of their documents."""
+def _place(id_column: str, text_column: str, seed: int) -> Column:
+    """A row's place in the seeded order: a hash of its id (of its text where it has none), then one of its text."""
+    text = F.hex(F.xxhash64(plain_text(text_column)))
+    name = F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit(":"), text))
+    return F.concat(F.md5(F.concat_ws(":", F.lit(str(seed)), name).cast("binary")), F.lit(":"), text)
+
+
+def _cuts(
+    documents: DataFrame, id_column: str, text_column: str, source_column: str, weights: Sequence[int], max_epochs: int,
+    seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """The documents as stored narrow rows (id, source, size, place), and one row per source.
+
+    The row of a source says how often it is taken whole and up to which place
+    once more. Sums by hash bucket find the bucket in which the words wanted
+    run out; only rows of that bucket are put in order, a 4096th of the source.
+    """
     sized = stored(
         documents.select(
-            *carried,
             F.col(id_column).alias("id"),
             F.col(source_column).cast("string").alias("source"),
             F.size(words_of(plain_text(text_column))).cast("long").alias("size"),
-            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")).cast("binary")).alias("h"),
+            _place(id_column, text_column, seed).alias("place"),
         ),
         "sizes",
-    ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((place - 1) % len(weights) + 1).cast("int")).cast("long")
+    )
+    bucket = F.substring("place", 1, BUCKET_DIGITS)
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")).cast("long")
     # The buckets' sums are all that the sources' sizes are made of, so documents are summed once.
-    buckets = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    buckets = stored(sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "buckets")
     sources = buckets.groupBy("source").agg(F.sum("words").alias("source_size")).withColumn("weight", weight)
-    targets = fill_targets(sources, max_epochs).withColumn(
-        "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    )
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    targets = fill_targets(sources, max_epochs).withColumn("whole", whole)
+    targets = targets.withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = stored(targets.select("source", "source_size", "target", "whole", "wanted"), "targets")
+
     order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("start", F.coalesce(F.sum("words").over(order), F.lit(0))).drop("words")
-    starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    within = Window.partitionBy("source", "bucket").orderBy("h", "id", "size")
-    running = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sized.withColumn("running", running)
-    # Null sources are a source of their own.
-    joined = ranked.join(
-        starts, ranked["source"].eqNullSafe(starts["source"]) & (ranked["bucket"] == starts["bucket"])
-    ).drop(starts["source"], starts["bucket"])
-    wanted = F.col("target") - F.col("whole") * F.col("source_size")
-    more = 2 * (F.col("start") + F.col("running")) + F.col("size") <= 2 * wanted
-    repeats = F.col("whole") + F.when(more & (wanted > 0), 1).otherwise(0)
-    return joined.withColumn("repeats", repeats.cast("long"))
-
-
-def mixed_documents(documents: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of the mix, with all their columns: each row as often as it is taken.
-
-    Rows carry their columns through the mix, so rows without id and repeated
-    ones are taken as ``mix_sources`` counts them.
+    starts = buckets.withColumn("start", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    # Buckets that end before the words run out go in whole, those that start behind do not.
+    reached = _by_source(starts, targets.where("wanted > 0")).where("start <= wanted")
+    last = reached.groupBy("source").agg(
+        F.max(F.struct("bucket", "start")).alias("last"), F.first("wanted").alias("wanted")
+    )
+    last = last.select("source", "last.bucket", "last.start", "wanted")
+    inside = _by_source(sized.select("source", "place", "size"), last).where(bucket == F.col("bucket"))
+    places = inside.groupBy("source", "place").agg(
+        F.sum("size").alias("size"), F.first("start").alias("start"), F.first("wanted").alias("wanted")
+    )
+    before = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    running = F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0))
+    fits = places.select("source", "place", (2 * running + F.col("size") <= 2 * F.col("wanted")).alias("fits"))
+    ends = fits.groupBy("source").agg(F.max(F.when(F.col("fits"), F.col("place"))).alias("end"))
+    # Without a place in its last bucket a source ends before the bucket.
+    ends = _by_source(last.select("source", "bucket"), ends).select("source", F.coalesce("end", "bucket").alias("end"))
+    cuts = targets.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
+    return sized, stored(cuts.select("t.source", "source_size", "target", "whole", "end"), "cuts")
+
+
+def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with the columns of their source. Null sources are a source of their own."""
+    named = sources.withColumnRenamed("source", "__source")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+
+
+def _decided(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add how often rows (source, place) are taken; where the cuts are few, no row moves for it."""
+    once_more = F.when(F.col("place") <= F.col("end"), 1).otherwise(0)
+    return _by_source(rows, cuts).withColumn("repeats", (F.col("whole") + once_more).cast("long"))
+
+
+def mixed_documents(
+    documents: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    weights: Sequence[int] = (5, 2, 1),
+    max_epochs: int = 3,
+    seed: int = 7,
+) -> DataFrame:
+    """The rows of the mix, with all their columns: each row as often as ``mix_sources`` takes it.
+
+    A row's place follows from the row alone, so that texts are read where they
+    lie once the cuts are known. See ``mix_sources`` for null and repeated rows.
     """
-    whole = F.struct(*(documents[c] for c in documents.columns)).alias("__mix_row")
-    taken = _repeated(documents, id_column, **options, carried=[whole]).where("repeats > 0")
-    copies = taken.select("__mix_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    _, cuts = _cuts(documents, id_column, text_column, source_column, weights, max_epochs, seed)
+    rows = documents.select(
+        F.struct(*(documents[c] for c in documents.columns)).alias("__mix_row"),
+        F.col(source_column).cast("string").alias("source"),
+        _place(id_column, text_column, seed).alias("place"),
+    )
+    copies = _decided(rows, cuts).where("repeats > 0").select(
+        "__mix_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
+    )
     return copies.select(*(F.col(f"__mix_row.`{c}`").alias(c) for c in documents.columns))

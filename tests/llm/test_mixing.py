@@ -1,8 +1,10 @@
 """Mixing: water-filling against a loop, and what is taken against the targets."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from conftest import words_of
 from pyspark.sql import functions as F
 
@@ -22,6 +24,36 @@ def fill(sizes, weights, epochs):
         capped |= over
 
 
+def plain_repeats(rows, weights=(5, 2, 1), epochs=3, seed=7):
+    """Counter of ``(id, text, source)``: how often each different row (id, text, source) is taken."""
+    by_source = defaultdict(list)
+    for row in rows:
+        by_source[row[2]].append(row)
+    order = sorted((s for s in by_source if s is not None)) + [None] * (None in by_source)
+    size = lambda row: len(words_of(row[1]))
+    sizes = {s: sum(map(size, by_source[s])) for s in order}
+    targets = fill(sizes, {s: weights[k % len(weights)] for k, s in enumerate(order)}, epochs)
+
+    def place(row):
+        text = f"{xxhash.xxh64_intdigest((row[1] or '').encode(), seed=42):X}"
+        name = str(row[0]) if row[0] is not None else f":{text}"
+        return hashlib.md5(f"{seed}:{name}".encode()).hexdigest() + ":" + text
+
+    out = Counter()
+    for source in order:
+        whole = int(targets[source] // sizes[source]) if sizes[source] else 0
+        wanted, before, groups = targets[source] - whole * sizes[source], 0, defaultdict(list)
+        for row in by_source[source]:
+            groups[place(row)].append(row)
+        for key in sorted(groups):
+            n = sum(map(size, groups[key]))
+            more = wanted > 0 and 2 * before + n <= 2 * wanted
+            before += n
+            for row in groups[key]:
+                out[row] = max(out[row], whole + more)
+    return out
+
+
 CASES = [
     {"a": 100, "b": 100, "c": 100},
     {"a": 1, "b": 1000, "c": 5, "d": 30, None: 4},
@@ -65,6 +97,13 @@ def test_documents(documents):
     assert copies == Counter({r["id"]: r["repeats"] for r in rows if r["repeats"]})
 
 
+def test_taken_rows_are_those_of_the_loop(documents, odd):
+    for df in (documents, odd):
+        found = {(r["id"], r["source"], r["size"]): r["repeats"] for r in mix_sources(df).collect()}
+        plain = plain_repeats([(r["doc_id"], r["text"], r["source"]) for r in df.select("doc_id", "text", "source").collect()])
+        assert found == {(i, s, len(words_of(t))): n for (i, t, s), n in plain.items()}
+
+
 def test_odd_rows(odd, none):
     rows = mix_sources(odd).collect()
     assert len(rows) == odd.count()
