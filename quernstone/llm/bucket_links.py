@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-POSTING = ("token", "id", "size", "place", "need", "bits")
+POSTING = ("token", "id", "size", "place", "need")
 #: Longs of a set's bitmap.
 BITMAP = 8
 #: After so many rounds of leaders, the pairs that are left are tried all.
@@ -66,7 +66,9 @@ def linked(
         labels = stored(_followed(links, labels), "labels")
         labelled = stored(_relabelled(postings, labels), "labelled")
     buckets = stored(_buckets(labelled, 0).select("token"), "buckets")
-    live = stored(labelled.join(buckets, "token", "left_semi"), "live")
+    live = labelled.join(buckets, "token", "left_semi")
+    # Bitmaps are carried by what is paired alone, not from round to round.
+    live = stored(live.join(postings.groupBy("id").agg(F.first("bits").alias("bits")), "id"), "live")
     one, two = (live.select(*(F.col(c).alias(f"{c}_{k}") for c in live.columns)) for k in "ab")
     pairs = one.join(two, F.col("token_a") == F.col("token_b")).where(
         (F.col("id_a") < F.col("id_b"))

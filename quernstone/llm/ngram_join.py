@@ -13,8 +13,9 @@ from .bucket_links import BITMAP, linked
 from .common import WordHashes, byte_texts, mixed, plain_text, shingles, signed, stored
 
 WIDTH, PERCENT = 3, 90
-#: Of so many tokens, one (by hash) is looked at to tell which documents can have a partner at all.
-SAMPLED = 5
+#: Tokens are looked at, by hash, to tell which documents can have a partner at all: of each ten,
+#: this many more than a partner may lack.
+SAMPLED_MORE = 1
 #: Prefixes are lengthened by up to this, for as many shared tokens.
 MOST_SHARED = 4
 #: What verifying a candidate costs, in postings, besides its tokens.
@@ -26,8 +27,9 @@ def missed(n: int, percent: int) -> int:
     return n - -(-n * percent // 100)
 
 
-def shingle_sets(documents: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """``id, n, s1, s2, sampled``: size and hashes of each row's set, and its tokens of the sampled class."""
+def shingle_sets(documents: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
+    """``id, n, s1, s2, sampled``: size and hashes of each row's set, and its tokens of the sampled classes."""
+    classes = np.uint64(SAMPLED_MORE + -(-(100 - percent) // 10))
     kind = documents.schema[id_column].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +41,7 @@ def shingle_sets(documents: DataFrame, id_column: str, text_column: str, width:
                 sizes.append(len(tokens))
                 ones.append(int(signed(mixed(tokens ^ np.uint64(1)).sum(dtype=np.uint64).reshape(1))[0]))
                 twos.append(int(signed(mixed(tokens ^ np.uint64(2)).sum(dtype=np.uint64).reshape(1))[0]))
-                sampled.append(signed(tokens[tokens % np.uint64(SAMPLED) == 0]))
+                sampled.append(signed(tokens[tokens % np.uint64(10) < classes]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()),
@@ -171,7 +173,7 @@ def similar_documents(
     and are linked with nothing. Ids must name rows of one text; rows without id
     have no component. No rows give no rows; other columns are not read.
     """
-    rows = stored(shingle_sets(documents, id_column, text_column, width), "sets")
+    rows = stored(shingle_sets(documents, id_column, text_column, width, percent), "sets")
     usable = rows.where("n > 0 AND id IS NOT NULL")
     sets = stored(usable.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "different-sets")
     asked = stored(possible(usable, sets, percent), "possible")
