@@ -16,6 +16,8 @@ MIN_DOCUMENTS = 10
 #: Keys that a shard holds on average; the number of shards follows from it.
 SHARD_KEYS = 50_000
 SLOTS = 4
+#: Texts that are rewritten at a time.
+SLICE_ROWS = 500
 _BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -251,12 +253,14 @@ class LineLedger:
         hits = hits.groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("__l_blocked"))
         hits = hits.withColumnRenamed("id", "__l_hit")
         joined = rows.join(hits, rows[key].eqNullSafe(hits["__l_hit"]), "left").drop("__l_hit")
-        # One struct of all columns, so that whatever they are called, and how often, a row stays one row.
-        chosen = joined.select(plain_text(text_column).alias("text"), "__l_blocked", F.struct(*rows.columns).alias("row"))
+        # One struct of the other columns, so that whatever they are called, a row stays one row.
+        others = [c for c in rows.columns if c != text_column]
+        chosen = joined.select(plain_text(text_column).alias("text"), "__l_blocked", F.struct(*others).alias("row"))
         kind = chosen.schema["row"].dataType.simpleString()
 
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            parts_of = (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS))
+            for batch in parts_of:
                 texts, lines, dropped = [], [], []
                 for text, gone in zip(byte_texts(batch.column(0)), batch.column(1).to_pylist()):
                     parts = text.split(b"\n")
