@@ -183,9 +183,7 @@ def train(documents: DataFrame, text_column: str = "text", lang_column: str = "l
             classifiers[:, b] = np.log(on.mean(axis=0) + floor) - np.log(off.mean(axis=0) + floor)
     model = LanguageModel(names, code, classifiers, np.ones(bits), np.full(code.shape, 1 / bits))
     if len(names) > 1:
-        n = labelled.count()
-        share = min(1.0, calibration_rows / max(1, n))
-        chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+        chosen = labelled.where(_sampled(labelled.count(), calibration_rows))
         right, size, seen = np.zeros(code.shape), np.zeros(bits), np.zeros(bits)
         for r in _calibrated(chosen, model).collect():
             right[r["language"], r["bit"]] = r["right"] / r["n"]
@@ -197,6 +195,12 @@ def train(documents: DataFrame, text_column: str = "text", lang_column: str = "l
     return model
 
 
+def _sampled(n: int, wanted: int) -> Column:
+    """Whether a row is among about ``wanted`` of ``n``, by 62 bits of its text's hash, so that the share may be ever so small."""
+    limit = 2**62 if n <= wanted else max(1, 2**62 * wanted // n)
+    return F.pmod(F.xxhash64("text"), F.lit(2**62)) < F.lit(limit)
+
+
 def identify(documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id, lang_pred, score, ambiguous`` of each row, from its whole text alone.
 

@@ -63,3 +63,14 @@ def test_odd_rows(odd, none):
     single = train(odd.where("lang = 'es'"))
     assert identify(odd.where("doc_id = 5"), single).first()["lang_pred"] == "es"
     assert not odd.where("doc_id IS NULL").select(held_out()).first()[0]
+
+
+def test_calibration_sample_does_not_run_dry(spark):
+    """About as many rows as are wanted, for pretended row counts of any size."""
+    from quernstone.llm.languages import _sampled
+
+    texts = spark.range(200_000).select(F.concat(F.lit("text "), "id").alias("text"))
+    assert texts.where(_sampled(10, 20)).count() == 200_000
+    assert 1_500 < texts.where(_sampled(2_000_000, 20_000)).count() < 2_500
+    # Of 10**14 rows 20,000 are wanted: a share far below a millionth still lets rows in.
+    assert str(2**62 * 20_000 // 10**14) in str(_sampled(10**14, 20_000))
