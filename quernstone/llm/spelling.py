@@ -221,13 +221,14 @@ def near_words(words: DataFrame) -> DataFrame:
     total = sizes.agg(F.sum("held")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_WORDS))
     shares = sizes.select("top", F.ceil(F.col("held") / PART_WORDS).cast("int").alias("shares"))
-    part = F.pmod(F.xxhash64("top", "share"), F.lit(parts)).cast("int").alias("part")
+    part_of = lambda share: F.pmod(F.xxhash64(F.col("top"), share), F.lit(parts)).cast("int")
     kept = placed.join(shares, "top").withColumn("share", F.pmod(F.xxhash64("word"), F.col("shares")).cast("int"))
     reach = F.arrow_udf(spread, "array<string>")
     asking = placed.select("word", "n", F.explode_outer(reach("top")).alias("top")).join(shares, "top")
-    asking = asking.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    rows = kept.select(part, F.lit(False).alias("asks"), "word", "n", "top").unionByName(
-        asking.select(part, F.lit(True).alias("asks"), "word", "n", "top")
+    # Shares of one place that lie in one part are searched at once.
+    shares_in = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("shares") - 1), part_of))
+    rows = kept.select(part_of(F.col("share")).alias("part"), F.lit(False).alias("asks"), "word", "n", "top").unionByName(
+        asking.select(F.explode(shares_in).alias("part"), F.lit(True).alias("asks"), "word", "n", "top")
     )
     dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "asks")
     found = dealt.mapInArrow(_search, "word string, n_near long, form_n long, near_form string")
