@@ -17,13 +17,16 @@ occurrences of its rarest term thus scores at most m * r * ``WORD_WEIGHT``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import english_index
 from ..functions.vector import SCORE_DIGITS
 from ..sources.scratch import kept
-from .keyword import BUCKET_TEXTS, WORD_WEIGHT, score_covers
+from .keyword import BUCKET_TEXTS, WORD_WEIGHT
 from .semantic import rank_hits
 
 BLOCK_TEXTS = 32
@@ -34,33 +37,58 @@ FIRST_BLOCKS = 8
 def write_posting_blocks(words: DataFrame, path: str, n_texts: int) -> None:
     """Store postings (id, term, pos) by term and block: term, block, most, n_texts, n_postings, texts.
 
-    The rows of a frequent term are spread by block from the start. Folders
-    follow the term's hash, rows are sorted by term, and the rebalancing
-    shuffle splits a folder that one term fills. ``n_texts`` need only be about
-    the number of texts.
+    Texts are shuffled whole to their blocks and taken apart by term there, so
+    that a frequent term spreads over all blocks. Folders follow the term's
+    hash, rows are sorted by term, and the rebalancing shuffle splits a folder
+    that one term fills. ``n_texts`` need only be about the number of texts.
     """
     folders = max(1, n_texts // BUCKET_TEXTS)
+    # A text is one row from the first shuffle on: its words meet in the task that made them.
+    texts = words.where("id is not null").groupBy("id").agg(
+        F.max("pos").alias("last"), F.collect_list(F.struct("term", F.col("pos").cast("int").alias("pos"))).alias("words")
+    )
     # A text is as long as its last indexed word is far; lengths are told apart by half powers of two.
-    lengths = words.groupBy("id").agg(F.floor(2 * F.log2(F.max("pos"))).cast("int").alias("length"))
-    lengths = kept(lengths, "lengths")
+    texts = kept(texts.withColumn("length", F.floor(2 * F.log2("last")).cast("int")).drop("last"), "texts")
     # One row per length: there are fewer than 64 half powers of two among 32-bit positions.
-    blocks = lengths.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks"))
-    texts = lengths.join(F.broadcast(blocks), "length").select(
-        "id", (F.col("length") * F.lit(2**40) + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")
+    blocks = texts.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks"))
+    dealt = texts.join(F.broadcast(blocks), "length").select(
+        (F.col("length") * F.lit(2**40) + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"), "id", "words"
     )
-    # Grouping by term, block and id needs no other partitioning than this one.
-    dealt = words.join(texts, "id").repartition("term", "block")
-    texts = dealt.groupBy("term", "block", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    rows = texts.groupBy("term", "block").agg(
-        F.max(F.size("positions")).alias("most"),
-        F.count(F.lit(1)).cast("int").alias("n_texts"),
-        F.sum(F.size("positions")).cast("int").alias("n_postings"),
-        F.collect_list(F.struct("id", "positions")).alias("texts"),
+    id_type = words.schema["id"].dataType.simpleString()
+    rows = dealt.groupBy("block").applyInArrow(
+        _by_term,
+        "term string, block long, most int, n_texts int, n_postings int, "
+        f"texts array<struct<id:{id_type},positions:array<int>>>",
     )
     rows = rows.withColumn("folder", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
     rows.hint("rebalance", "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(path)
 
 
+def _by_term(texts: pa.Table) -> pa.Table:
+    """The texts (block, id, words) of one block to one row per term."""
+    words, ids = texts["words"].combine_chunks(), texts["id"].combine_chunks()
+    flat = words.flatten()
+    terms = flat.field("term").dictionary_encode()
+    code, pos = terms.indices.to_numpy(), flat.field("pos").to_numpy()
+    text = np.repeat(np.arange(len(ids)), pc.list_value_length(words).to_numpy())
+    order = np.lexsort((pos, text, code))
+    code, text, pos = code[order], text[order], pos[order]
+    # Places at which another text's positions begin, and among these places those of another term.
+    at = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])])
+    first = np.flatnonzero(np.r_[True, code[at][1:] != code[at][:-1]])
+    of_text, of_term = np.r_[at, len(pos)].astype("i4"), np.r_[first, len(at)].astype("i4")
+    positions = pa.ListArray.from_arrays(of_text, pa.array(pos, pa.int32()))
+    held = pa.StructArray.from_arrays([ids.take(pa.array(text[at])), positions], names=["id", "positions"])
+    return pa.table({
+        "term": terms.dictionary.take(pa.array(code[at][first])),
+        "block": pa.array(np.full(len(first), texts["block"][0].as_py()), pa.int64()),
+        "most": pa.array(np.maximum.reduceat(np.diff(of_text), first), pa.int32()),
+        "n_texts": pa.array(np.diff(of_term), pa.int32()),
+        "n_postings": pa.array(np.diff(of_text[of_term]), pa.int32()),
+        "texts": pa.ListArray.from_arrays(of_term, held),
+    })
+
+
 def terms_of(queries: DataFrame, query_column: str = "query", text_column: str = "text") -> DataFrame:
     """query, term: the distinct index words of query texts, each query once by its name."""
     words = queries.select(F.col(query_column).alias("query"), english_index(F.col(text_column)).alias("words"))
@@ -87,53 +115,139 @@ def blocks_read(stored: DataFrame, terms: DataFrame, k: int, first_blocks: int =
     all of its terms, and ``read`` those in blocks that are scored.
     """
     search = _Search(stored, terms, k, None, first_blocks)
-    read = search.blocks.where(search.early).unionByName(search.open_blocks())
-    whole = stored.select("term", "n_postings").join(search.asked, "term")
-    found = whole.groupBy("query").agg(F.sum("n_postings").alias("postings"))
+    read = search.early_blocks().unionByName(search.open_blocks())
+    whole = stored.select("term", "n_postings").groupBy("term").agg(F.sum("n_postings").alias("n_postings"))
+    found = whole.join(search.asked, "term").groupBy("query").agg(F.sum("n_postings").alias("postings"))
     for blocks, name in ((search.blocks, "in_blocks"), (read, "read")):
         found = found.join(blocks.groupBy("query").agg(F.sum("n_postings").alias(name)), "query", "left")
-    return found.select("query", "postings", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("in_blocks", "read")))
+    counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("in_blocks", "read"))
+    return search.for_all(found.select("query", "postings", *counts))
 
 
 class _Search:
-    """The steps of one search; those that are read twice are stored."""
+    """The steps of one search; those that are read twice are stored.
+
+    Queries of the same terms are searched once, as the first of them: there
+    are far fewer sets of terms than queries, and every other step grows with
+    the sets times the blocks.
+    """
 
     def __init__(self, stored: DataFrame, terms: DataFrame, k: int, gone: DataFrame | None, first_blocks: int):
         self.stored, self.k, self.gone = stored, k, gone
-        self.asked = _numbered(terms)
-        self.early = F.col("place") <= first_blocks
-        self.blocks = _candidates(stored, self.asked, first_blocks)
-        self.first = kept(self.scored(self.blocks.where(self.early)), "first")
-
-        reached = rank_hits(self.first, k, 0).where(F.col("rank") == k)
-        self.reached = kept(reached.select("query", F.col("score").alias("reached")), "reached")
+        self.members = _members(terms)
+        sets = self.members.where("query = first").select("query", "terms")
+        self.asked = sets.select("query", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+        self.sets = sets
+        self.blocks = kept(_candidates(stored, self.asked), "blocks")
+        order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+        early = self.blocks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first_blocks)
+        self.early = kept(early.drop("place"), "early")
+        self.first = kept(self.scored(self.early_blocks()), "first")
+
+        reached = rank_hits(self.first, k, 0).where(F.col("rank") == k).select("query", F.col("score").alias("reached"))
+        # The last block scored so far comes before all others of its query: one row per query tells them apart.
+        last = F.max(F.struct(-F.col("bound"), "block")).alias("last")
+        self.reached = kept(self.early.groupBy("query").agg(last).join(reached, "query", "left"), "reached")
 
     def hits(self) -> DataFrame:
-        return rank_hits(self.first.unionByName(self.scored(self.open_blocks(), self.reached)), self.k, 0)
+        best = rank_hits(self.first.unionByName(self.scored(self.open_blocks())), self.k, 0)
+        return self.for_all(best).select("query", "id", "score", "rank")
+
+    def for_all(self, rows: DataFrame) -> DataFrame:
+        """Rows of the queries that were searched, for every query of the same terms."""
+        whole = self.members.select("query", "first").join(rows.withColumnRenamed("query", "first"), "first")
+        return whole.drop("first")
+
+    def early_blocks(self) -> DataFrame:
+        return self.early.withColumn("reached", F.lit(None).cast("double"))
 
     def open_blocks(self) -> DataFrame:
         """The blocks not scored yet that can hold one of a query's ``k`` best."""
-        rest = self.blocks.where(~self.early).join(self.reached, "query", "left")
-        return rest.where(_can_reach(F.col("bound"))).drop("reached")
-
-    def scored(self, blocks: DataFrame, reached: DataFrame | None = None) -> DataFrame:
-        """query, id, score of the texts with all terms in some (query, block) pairs, and that can reach a score."""
-        wanted = blocks.select("query", "block").join(self.asked, "query")
-        rows = self.stored.select("term", "block", "texts").join(wanted, ["term", "block"])
-        texts = rows.select("query", "number", "n_terms", F.explode("texts").alias("text"))
-        texts = texts.select("query", "number", "n_terms", "text.id", "text.positions")
+        rest = self.blocks.join(self.reached, "query").where(F.struct(-F.col("bound"), "block") > F.col("last"))
+        return rest.where(_can_reach(F.col("bound"))).drop("last")
+
+    def scored(self, blocks: DataFrame) -> DataFrame:
+        """query, id, score of the texts with all terms in some (query, block) pairs, and that can reach a score.
+
+        A block's postings and the queries that ask for it meet in one group of
+        bounded size, so that positions are not handed on per query.
+        """
+        wanted = blocks.select("query", "block", "reached").join(self.sets, "query")
+        rows = self.stored.join(self.asked.select("term").distinct(), "term", "left_semi")
+        rows = rows.select("block", "term", "texts")
+        kinds = [x.dataType.simpleString() for x in (self.sets.schema["query"], rows.schema["texts"].dataType.elementType["id"])]
+        found = wanted.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(
+            _score_block, f"query {kinds[0]}, id {kinds[1]}, reached double, score double"
+        )
         if self.gone is not None:
-            texts = texts.join(self.gone.select("id"), "id", "left_anti")
-        # A text is one group of at most n_terms rows before its positions are spread out.
-        whole = texts.groupBy("query", "id").agg(
-            F.max("n_terms").alias("n_terms"), F.min(F.size("positions")).alias("rarest"),
-            F.collect_list(F.struct("number", "positions")).alias("found"),
-        ).where(F.size("found") == F.col("n_terms"))
+            found = found.join(self.gone.select("id"), "id", "left_anti")
+        found = found.withColumn("score", F.round("score", SCORE_DIGITS))
+        return found.where("reached is null or score >= reached").select("query", "id", "score")
+
+
+def _score_block(wanted: pa.Table, rows: pa.Table) -> pa.Table:
+    """The covers of every text of a block (block, term, texts) that has all terms of a query (query, block, reached, terms)."""
+    none = {"query": wanted["query"].slice(0, 0), "reached": wanted["reached"].slice(0, 0)}
+    if not wanted.num_rows or not rows.num_rows:
+        texts = rows.schema.field("texts").type.value_type
+        return pa.table({"query": none["query"], "id": pa.array([], texts.field("id").type), "reached": none["reached"],
+                         "score": pa.array([], pa.float64())})
+    place = {term: n for n, term in enumerate(rows["term"].to_pylist())}
+    lists = rows["texts"].combine_chunks()
+    flat = lists.flatten()
+    ids = flat.field("id").dictionary_encode()
+    text, n_texts = ids.indices.to_numpy(), len(ids.dictionary)
+    positions = flat.field("positions")
+    pos, sizes = positions.flatten().to_numpy(), pc.list_value_length(positions).to_numpy()
+    term = np.repeat(np.arange(len(place)), pc.list_value_length(lists).to_numpy())
+    counts = np.zeros((len(place), n_texts), dtype="i8")
+    counts[term, text] = sizes
+    ends = np.cumsum(counts.sum(axis=1))
+    owner = np.repeat(text, sizes)
+    found = []
+    for number, (terms, reached) in enumerate(zip(wanted["terms"].to_pylist(), wanted["reached"].to_pylist())):
+        at = [place[t] for t in terms if t in place]
+        if len(at) < len(terms):
+            continue
+        rarest = counts[at].min(axis=0)
+        whole = rarest > 0
         if reached is not None:
-            whole = whole.join(reached, "query", "left").where(_can_reach(_bound()))
-        by_term = whole.select("query", "id", "n_terms", F.explode("found").alias("one"))
-        hits = by_term.select("query", "id", "n_terms", "one.number", F.explode("one.positions").alias("pos"))
-        return score_covers(hits, self.asked.agg(F.max("n_terms")).first()[0] or 0)
+            whole &= WORD_WEIGHT * len(terms) * rarest + 10.0**-SCORE_DIGITS >= reached
+        if not whole.any():
+            continue
+        spans = [slice(ends[t - 1] if t else 0, ends[t]) for t in at]
+        kept_ones = [whole[owner[s]] for s in spans]
+        of = np.concatenate([owner[s][m] for s, m in zip(spans, kept_ones)])
+        spots = np.concatenate([pos[s][m] for s, m in zip(spans, kept_ones)])
+        kind = np.repeat(np.arange(len(at)), [m.sum() for m in kept_ones])
+        scores = _cover_scores(of, spots, kind, len(at), n_texts)
+        held = np.flatnonzero(whole)
+        found.append((np.full(len(held), number), held, scores[held]))
+    if not found:
+        found = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
+    asked, held, scores = (np.concatenate(x) for x in zip(*found))
+    asked = pa.array(asked)
+    return pa.table({
+        "query": wanted["query"].take(asked), "id": ids.dictionary.take(pa.array(held)),
+        "reached": wanted["reached"].take(asked), "score": pa.array(scores, pa.float64()),
+    })
+
+
+def _cover_scores(text: np.ndarray, pos: np.ndarray, term: np.ndarray, n_terms: int, n_texts: int) -> np.ndarray:
+    """``keyword.score_covers`` for the positions of one query's terms in some texts, before rounding."""
+    order = np.lexsort((term, pos, text))
+    text, pos, term = text[order], pos[order], term[order]
+    at = np.arange(len(text))
+    begins = np.maximum.accumulate(np.where(np.r_[True, text[1:] != text[:-1]], at, 0))
+    start = at
+    for t in range(n_terms):
+        start = np.minimum(start, np.maximum.accumulate(np.where(term == t, at, -1)))
+    complete = start >= begins
+    # A span is a shortest one unless the span before it had the same start.
+    cover = complete & np.r_[True, (start[1:] > start[:-1]) | ~complete[:-1]]
+    stop, start = at[cover], start[cover]
+    others = (pos[stop] - pos[start]) - (stop - start)
+    return np.bincount(text[stop], WORD_WEIGHT / (1 + others), minlength=n_texts)
 
 
 def _bound() -> Column:
@@ -146,32 +260,21 @@ def _can_reach(bound: Column) -> Column:
     return F.col("reached").isNull() | (bound + 10.0**-SCORE_DIGITS >= F.col("reached"))
 
 
-def _numbered(terms: DataFrame) -> DataFrame:
-    """query, term, number within the query, n_terms."""
-    query = Window.partitionBy("query")
-    distinct = terms.select("query", "term").where("query is not null and term is not null").distinct()
-    return kept(
-        distinct.select(
-            "query", "term", (F.row_number().over(query.orderBy("term")) - 1).alias("number"),
-            F.count(F.lit(1)).over(query).cast("int").alias("n_terms"),
-        ),
-        "terms",
+def _members(terms: DataFrame) -> DataFrame:
+    """query, terms, first: each query with its terms in order and the first query that has the same."""
+    whole = terms.select("query", "term").where("query is not null and term is not null").groupBy("query").agg(
+        F.sort_array(F.collect_set("term")).alias("terms")
     )
+    whole = kept(whole, "terms")
+    sets = whole.groupBy("terms").agg(F.min("query").alias("first"))
+    return kept(whole.join(sets, "terms"), "members")
 
 
-def _candidates(stored: DataFrame, asked: DataFrame, first_blocks: int) -> DataFrame:
-    """query, block, bound, n_postings, place: the blocks that hold all terms of a query.
-
-    Those that can score most are numbered up to ``first_blocks``; the others
-    all have the next place.
-    """
+def _candidates(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, block, n_postings, bound: the blocks that hold all terms of a query."""
     bounds = stored.select("term", "block", "most", "n_postings")
     whole = bounds.join(asked, "term").groupBy("query", "block").agg(
         F.max("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("found"), F.min("most").alias("rarest"),
         F.sum("n_postings").alias("n_postings"),
     ).where("found = n_terms")
-    blocks = kept(whole.select("query", "block", "n_postings", _bound().alias("bound")), "blocks")
-    order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
-    first = blocks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= first_blocks)
-    others = blocks.join(first.select("query", "block", "place"), ["query", "block"], "left")
-    return kept(others.withColumn("place", F.coalesce("place", F.lit(first_blocks + 1))), "placed")
+    return whole.select("query", "block", "n_postings", _bound().alias("bound"))

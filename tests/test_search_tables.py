@@ -161,6 +161,19 @@ def test_blocks_that_cannot_reach_the_best_are_not_scored(spark, blocks):
     assert (read["unknown"]["in_blocks"], read["unknown"]["read"]) == (0, 0) and "none" not in read
 
 
+def test_queries_of_the_same_terms_are_searched_once(spark, blocks):
+    _, _, stored = blocks
+    asked = [("a", "alpha beta"), ("b", "beta of alpha"), ("c", "gamma"), ("d", "alpha beta beta")]
+    terms = terms_of(spark.createDataFrame(asked, "query string, text string"))
+    search = keyword_blocks._Search(stored, terms, 5, None, 2)
+    assert {r["query"] for r in search.blocks.select("query").distinct().collect()} == {"a", "c"}
+    found = by_query(search.hits())
+    assert set(found) == {"a", "b", "c", "d"} and found["a"] == found["b"] == found["d"] != found["c"]
+    # Positions are scored where their block lies: none is spread out or handed on per query.
+    plan = search.scored(search.open_blocks())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "positions#" not in plan.replace("texts", "")
+
+
 def test_ids_taken_away_are_passed_over(spark, blocks):
     _, words, stored = blocks
     terms = terms_of(spark.createDataFrame([("q", "alpha beta")], "query string, text string"))
