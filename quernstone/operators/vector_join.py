@@ -197,13 +197,13 @@ def _topk_of_cells(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
         *cell, F.lit(None).cast(query_type).alias("query"), "id", vectors,
         F.lit(True).alias("stored"),
     )
-    met = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "stored")
+    met = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell, "stored", F.col("id").asc_nulls_last())
     scored = met.mapInArrow(_best_of_cells(k), f"query {query_type}, id {id_type}, score double")
     return rank_hits(scored, k, 0)
 
 
 def _best_of_cells(k: int):
-    """Rows of cells, each cell's queries before its vectors, to the best ``k`` ids of each query and cell."""
+    """Rows of cells, queries before vectors and these by id, to the best ``k`` ids of each query and cell."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, asked, best = None, [], None
@@ -231,35 +231,75 @@ def _best_of_cells(k: int):
 
 
 class _Best:
-    """The best ids of a cell's queries so far."""
+    """The best ids of a cell's queries so far. Vectors come by id, so that of equal scores the first ones stay."""
 
     def __init__(self, asked: list[pa.RecordBatch], k: int):
-        self.k = k
         self.names = pa.concat_arrays([b.column(3) for b in asked])
         rows = np.concatenate([_matrix(b.column(5)) for b in asked])
-        self.rows, self.norms = rows, np.linalg.norm(rows, axis=1)
-        self.least = np.full(len(rows), -np.inf)
-        self.kept: pa.Table | None = None
+        self.parts = [_BestOfFew(at, rows[at : at + QUERY_ROWS], k) for at in range(0, len(rows), QUERY_ROWS)]
+        self.width = rows.shape[1]
 
     def meet(self, ids: pa.Array, lists: pa.Array) -> None:
         for start in range(0, len(ids), BLOCK_ROWS):
-            part = ids.slice(start, BLOCK_ROWS)
-            rows = _matrix(lists.slice(start, BLOCK_ROWS), self.rows.shape[1])
+            rows = _matrix(lists.slice(start, BLOCK_ROWS), self.width)
             norms = np.linalg.norm(rows, axis=1)
-            for at in range(0, len(self.rows), QUERY_ROWS):
-                asked = slice(at, at + QUERY_ROWS)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = self.rows[asked] @ rows.T / norms[None, :] / self.norms[asked, None]
-                scores = np.round(scores, SCORE_DIGITS)
-                scores[np.isnan(scores)] = -np.inf
-                # Ties with a query's last hit stay in, so that ids can decide.
-                query, place = np.nonzero(scores >= self.least[asked, None])
-                if len(query):
-                    self.keep(query + at, part.take(pa.array(place)), scores[query, place])
+            units = _units(rows, norms)
+            for part in self.parts:
+                part.meet(ids.slice(start, BLOCK_ROWS), rows, norms, units)
+
+    def hits(self) -> pa.RecordBatch:
+        kept = pa.concat_tables([part.kept for part in self.parts])
+        scores = kept["score"].to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [
+                self.names.take(kept["query"].combine_chunks()),
+                kept["id"].combine_chunks(),
+                pa.array(scores, mask=np.isneginf(scores)),
+            ],
+            ["query", "id", "score"],
+        )
+
+
+class _BestOfFew:
+    """The best ids of the queries of one matrix product, which start at the cell's query ``first``."""
+
+    def __init__(self, first: int, rows: np.ndarray, k: int):
+        self.first, self.rows, self.k = first, rows, k
+        self.norms = np.linalg.norm(rows, axis=1)
+        self.units = _units(rows, self.norms)
+        self.full = np.zeros(len(rows), dtype=bool)
+        self.least = np.full(len(rows), -np.inf)
+        self.kept: pa.Table | None = None
+
+    def meet(self, ids: pa.Array, rows: np.ndarray, norms: np.ndarray, units: np.ndarray) -> None:
+        # A query whose k scores are all as high as any can be, or that has no length, needs no more than k ids.
+        asked = np.flatnonzero(~self.full | ((self.least < 1.0) & (self.norms > 0)))
+        if not len(asked):
+            return
+        about = self.units[asked] @ units.T
+        about[:, ~(norms > 0)] = -np.inf
+        about[~(self.norms[asked] > 0)] = -np.inf
+        # Only what can round to more than a query's last hit has, and to the block's k best, is scored to the last bit.
+        least = np.where(self.full[asked], self.least[asked] + 0.4 * 10.0**-SCORE_DIGITS, -np.inf)
+        open_ones = np.flatnonzero(~self.full[asked])
+        if len(ids) > self.k and len(open_ones):
+            least[open_ones] = np.partition(about[open_ones], -self.k, axis=1)[:, -self.k] - 1.1 * 10.0**-SCORE_DIGITS
+        query, place = np.nonzero(about >= least[:, None])
+        query = asked[query]
+        scores = np.empty(len(query))
+        for at in range(0, len(query), BLOCK_ROWS):
+            q, p = query[at : at + BLOCK_ROWS], place[at : at + BLOCK_ROWS]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores[at : at + BLOCK_ROWS] = np.einsum("ij,ij->i", self.rows[q], rows[p]) / norms[p] / self.norms[q]
+        scores = np.round(scores, SCORE_DIGITS)
+        scores[np.isnan(scores)] = -np.inf
+        better = ~self.full[query] | (scores > self.least[query])
+        if self.kept is None or better.any():
+            self.keep(query[better], ids.take(pa.array(place[better])), scores[better])
 
     def keep(self, query: np.ndarray, ids: pa.Array, scores: np.ndarray) -> None:
         """Merge hits of some queries into what is kept, and raise the scores they have to reach."""
-        new = pa.table({"query": query, "id": ids, "score": scores})
+        new = pa.table({"query": query + self.first, "id": ids, "score": scores})
         table = new if self.kept is None else pa.concat_tables([self.kept, new])
         table = table.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
         order = table["query"].to_numpy()
@@ -269,15 +309,11 @@ class _Best:
         self.kept = table.take(pa.array(np.flatnonzero(rank < self.k)))
         full = sizes >= self.k
         last = starts[full] + self.k - 1
-        self.least[order[last]] = table["score"].to_numpy()[last]
+        self.least[order[last] - self.first] = table["score"].to_numpy()[last]
+        self.full[order[last] - self.first] = True
 
-    def hits(self) -> pa.RecordBatch:
-        scores = self.kept["score"].to_numpy()
-        return pa.RecordBatch.from_arrays(
-            [
-                self.names.take(self.kept["query"].combine_chunks()),
-                self.kept["id"].combine_chunks(),
-                pa.array(scores, mask=np.isneginf(scores)),
-            ],
-            ["query", "id", "score"],
-        )
+
+def _units(rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Rows of length one; those without a length are all zero."""
+    long = norms > 0
+    return np.where(long[:, None], rows, 0.0) / np.where(long, norms, 1.0)[:, None]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_search import covers
@@ -55,12 +56,34 @@ def test_exact_search_equals_brute_force_in_small_cells(spark, monkeypatch):
     assert found == {f"q{k}": nearest(rows, rows[k][1], 12) for k in range(120)}
 
 
+def test_equal_scores_are_merged_no_more_once_no_better_can_come(monkeypatch):
+    draw = np.random.default_rng(5)
+    # Short vectors so close together that many cosines round to one, as counts of letters are.
+    queries, rows = draw.integers(1, 9, (700, 4)).astype("f8"), draw.integers(1, 9, (20_000, 4)).astype("f8")
+    asked = pa.RecordBatch.from_arrays(
+        [pa.array([0] * 700)] * 3 + [pa.array(range(700)), pa.array([0] * 700), pa.array(queries.tolist())], names=list("abcdef")
+    )
+    merges = []
+    keep = vector_join._BestOfFew.keep
+    monkeypatch.setattr(vector_join._BestOfFew, "keep", lambda self, q, *more: (merges.append(len(q)), keep(self, q, *more)))
+    best = vector_join._Best([asked], 20)
+    best.meet(pa.array(range(20_000)), pa.array(rows.tolist()))
+    hits = best.hits().to_pylist()
+    for q in (0, 511, 512, 699):
+        found = [(r["id"], r["score"]) for r in hits if r["query"] == q]
+        assert found == nearest(list(enumerate(rows)), queries[q], 20)
+    # Every tie in every block would be more than ten times as many.
+    assert sum(merges) < 700 * 20 * 20
+
+
 def test_vectors_without_length_come_last(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0])]
     corpus = spark.createDataFrame(rows, VECTORS)
     found = by_query(vector_topk(corpus.withColumnRenamed("id", "query"), corpus, 5))
     assert found[1] == [(1, 1.0), (3, -1.0), (2, None)]
     assert found[2] == [(1, None), (2, None), (3, None)]
+    found = by_query(vector_topk(corpus.withColumnRenamed("id", "query"), corpus, 2))
+    assert found == {1: [(1, 1.0), (3, -1.0)], 2: [(1, None), (2, None)], 3: [(3, 1.0), (1, -1.0)]}
 
 
 def test_no_queries_and_no_vectors(spark):
