@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import by_slices
+
 DIMENSIONS = 1024
 
 
@@ -21,14 +23,19 @@ def embed_documents(
     text_column: str = "content",
     vector_column: str = "embedding",
 ) -> DataFrame:
-    """Add ``array<float>`` vectors of unit length from a model called once per Arrow batch."""
+    """Add ``array<float>`` vectors of unit length from a model called for up to ``SLICE_ROWS`` texts at a time."""
 
-    def embed_batch(texts: pa.Array) -> pa.Array:
+    def embed_rows(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], type=pa.list_(pa.float32()))
         rows = np.asarray(model([t or "" for t in texts.to_pylist()]), dtype="f8")
         lengths = np.linalg.norm(rows, axis=1, keepdims=True)
         unit = np.divide(rows, lengths, out=np.zeros_like(rows), where=lengths > 0)
         return pa.array([r.astype("f4") for r in unit], type=pa.list_(pa.float32()))
 
+    def embed_batch(texts: pa.Array) -> pa.Array:
+        return by_slices(texts, embed_rows)
+
     return df.withColumn(vector_column, F.arrow_udf(embed_batch, "array<float>")(text_column))
 
 

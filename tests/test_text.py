@@ -1,6 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import text
 from quernstone.functions.text import chunk_text, document_title, english_stem, index_words, split_text, word_tokens
 from quernstone.operators.chunks import chunk_documents
 
@@ -89,3 +91,31 @@ def test_words_keep_their_places(spark):
     rows = df.select("i", index_words(word_tokens(F.col("t"))).alias("w")).orderBy("i").collect()
     assert rows[0]["w"] == [None, "runner", None, "3", "5", None, None, "run", "fast"]
     assert (rows[1]["w"], rows[2]["w"]) == ([], None)
+
+
+def test_python_objects_of_a_batch_are_made_by_slices(spark, monkeypatch):
+    sizes, udfs = [], []
+    monkeypatch.setattr(text.F, "arrow_udf", lambda f, kind: udfs.append(f) or (lambda *columns: None))
+    monkeypatch.setattr(text, "split_text", lambda t, size, overlap: [t])
+    text.chunk_text("text")
+    plain = text.by_slices
+    monkeypatch.setattr(text, "by_slices", lambda column, work: plain(column, lambda rows: sizes.append(len(rows)) or work(rows)))
+    rows = [None if k % 7 == 0 else str(k) for k in range(1000)]
+    assert udfs[0](pa.array(rows, pa.string())).to_pylist() == [None if t is None else [t] for t in rows]
+    assert max(sizes) <= text.SLICE_ROWS and sum(sizes) == 1000
+    assert udfs[0](pa.array([], pa.string())).to_pylist() == []
+
+
+def test_a_model_gets_a_batch_by_slices(spark):
+    from quernstone.operators.embed import embed_documents
+
+    def model(texts):
+        assert 0 < len(texts) <= 256
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(k, "x" * (k % 5) if k % 3 else None) for k in range(1000)], "id long, content string").coalesce(1)
+    made = embed_documents(rows, model).collect()
+    assert len(made) == 1000
+    for r in made:
+        n = len(r["content"] or "")
+        assert abs(r["embedding"][0] - n / (n * n + 1) ** 0.5) < 1e-6
