@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import english_index, explode_index
+from ..functions.text import SLICE_ROWS, english_index, explode_index
 from ..functions.vector import SCORE_DIGITS
 from .semantic import rank_hits
 
@@ -16,35 +19,97 @@ from .semantic import rank_hits
 WORD_WEIGHT = 0.1
 # A stored postings table has one folder per this many texts.
 BUCKET_TEXTS = 50_000
+#: So many words of a task meet by term before they are shuffled.
+GROUP_POSTINGS = 2**21
 
 
 def postings(df: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
     """id, term, pos of every indexed word of a text column. Stop words keep their positions."""
-    words = english_index(F.col(text_column))
-    return explode_index(df.select(F.col(id_column).alias("id"), words.alias("words")), ["id"], "words")
+    return explode_index(text_words(df, id_column, text_column), ["id"], "words")
+
+
+def text_words(df: DataFrame, id_column: str = "id", text_column: str = "content") -> DataFrame:
+    """id, words of every text: its index words by position, null where a stop word stood."""
+    return df.select(F.col(id_column).alias("id"), english_index(F.col(text_column)).alias("words"))
 
 
 def write_postings(words: DataFrame, path: str, n_texts: int) -> None:
     """Store postings in folders by hash of the term, sorted by term, so that a search opens few row groups.
 
-    The rebalancing shuffle lets Spark split a folder that one frequent term
-    fills over several tasks, by size, without looking at the data beforehand.
+    ``words`` are postings (id, term, pos) or, which is faster, texts (id, words).
+    The words of a task first meet by term: a stored row (term, ids, positions)
+    is a term with its places in many texts, so that far fewer rows are shuffled
+    and sorted than there are words. The rebalancing shuffle lets Spark split a
+    folder that one frequent term fills over several tasks, by size, without
+    looking at the data beforehand.
     """
     buckets = max(1, n_texts // BUCKET_TEXTS)
-    placed = words.withColumn("n_buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("term"), buckets))
-    clustered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id", "pos")
+    whole = "words" in words.columns
+    kinds = [words.schema["id"].dataType.simpleString(), "int" if whole else words.schema["pos"].dataType.simpleString()]
+    grouped = words.select("id", *(["words"] if whole else ["term", "pos"])).mapInArrow(
+        _by_term, f"term string, ids array<{kinds[0]}>, positions array<{kinds[1]}>"
+    )
+    placed = grouped.withColumn("n_buckets", F.lit(buckets)).withColumn("bucket", _bucket(F.col("term"), buckets))
+    clustered = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
     clustered.write.partitionBy("n_buckets", "bucket").parquet(path)
 
 
-def read_postings(spark: SparkSession, path: str, terms: Iterable[str]) -> DataFrame:
-    """The stored postings of some terms; only their folders and row groups are read."""
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings or texts to a row per term for about ``GROUP_POSTINGS`` words at a time."""
+    held, n = [], 0
+    for batch in batches:
+        for rows in _spread(batch) if "words" in batch.schema.names else [batch]:
+            held.append(rows)
+            n += rows.num_rows
+            if n >= GROUP_POSTINGS:
+                yield _grouped(held)
+                held, n = [], 0
+    if n:
+        yield _grouped(held)
+
+
+def _spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Texts (id, words) to postings (id, term, pos), ``SLICE_ROWS`` texts at a time."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        texts = batch.slice(at, SLICE_ROWS)
+        sizes = pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy(zero_copy_only=False)
+        pos = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = texts["id"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        rows = pa.RecordBatch.from_arrays([ids, texts["words"].flatten(), pa.array(pos, pa.int32())], ["id", "term", "pos"])
+        yield rows.filter(pc.is_valid(rows["term"]))
+
+
+def _grouped(batches: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    ids, words, pos = (rows[c].combine_chunks() for c in ("id", "term", "pos"))
+    terms = words.dictionary_encode()
+    code = terms.indices.to_numpy()
+    order = pa.array(np.argsort(code, kind="stable"))
+    ends = np.cumsum(np.bincount(code, minlength=len(terms.dictionary)))
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, column.take(order)) for column in (ids, pos)]
+    return pa.RecordBatch.from_arrays([terms.dictionary, *lists], ["term", "ids", "positions"])
+
+
+def read_postings(spark: SparkSession, path: str, terms: Iterable[str] | None = None) -> DataFrame:
+    """The stored postings (id, term, pos), all or those of some terms; of these only the folders and row groups are read."""
     stored = spark.read.parquet(path)
+    if terms is None:
+        return _places(stored)
     buckets = stored.select("n_buckets").first()
     if buckets is None:
-        return stored.select("id", "term", "pos")
+        return _places(stored)
     terms = list(terms)
     folders = [_bucket(F.lit(t), buckets["n_buckets"]) for t in terms]
-    return stored.where(F.col("bucket").isin(folders) & F.col("term").isin(terms)).select("id", "term", "pos")
+    return _places(stored.where(F.col("bucket").isin(folders) & F.col("term").isin(terms)))
+
+
+def _places(stored: DataFrame) -> DataFrame:
+    """A row per word of stored postings."""
+    if "pos" in stored.columns:  # an older index has them as such
+        return stored.select("id", "term", "pos")
+    places = stored.select("term", F.explode(F.arrays_zip("ids", "positions")).alias("at"))
+    return places.select(F.col("at.ids").alias("id"), "term", F.col("at.positions").alias("pos"))
 
 
 def _bucket(term: Column, buckets: int) -> Column:

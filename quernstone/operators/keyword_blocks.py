@@ -35,18 +35,16 @@ FIRST_BLOCKS = 8
 
 
 def write_posting_blocks(words: DataFrame, path: str, n_texts: int) -> None:
-    """Store postings (id, term, pos) by term and block: term, block, most, n_texts, n_postings, texts.
+    """Store postings by term and block: term, block, most, n_texts, n_postings, texts.
 
-    Texts are shuffled whole to their blocks and taken apart by term there, so
-    that a frequent term spreads over all blocks. Folders follow the term's
-    hash, rows are sorted by term, and the rebalancing shuffle splits a folder
-    that one term fills. ``n_texts`` need only be about the number of texts.
+    ``words`` are postings (id, term, pos) or, which is faster, texts (id,
+    words). Texts are shuffled whole to their blocks and taken apart by term
+    there, so that a frequent term spreads over all blocks. Folders follow the
+    term's hash, rows are sorted by term, and the rebalancing shuffle splits a
+    folder that one term fills. ``n_texts`` need only be about the number of texts.
     """
     folders = max(1, n_texts // BUCKET_TEXTS)
-    # A text is one row from the first shuffle on: its words meet in the task that made them.
-    texts = words.where("id is not null").groupBy("id").agg(
-        F.max("pos").alias("last"), F.collect_list(F.struct("term", F.col("pos").cast("int").alias("pos"))).alias("words")
-    )
+    texts = _listed(words.where("id is not null"))
     # A text is as long as its last indexed word is far; lengths are told apart by half powers of two.
     texts = kept(texts.withColumn("length", F.floor(2 * F.log2("last")).cast("int")).drop("last"), "texts")
     # One row per length: there are fewer than 64 half powers of two among 32-bit positions.
@@ -64,6 +62,21 @@ def write_posting_blocks(words: DataFrame, path: str, n_texts: int) -> None:
     rows.hint("rebalance", "folder").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(path)
 
 
+def _listed(words: DataFrame) -> DataFrame:
+    """id, last, words: each text with its last indexed position and its words as (term, pos)."""
+    if "words" not in words.columns:
+        # A text is one row from the first shuffle on: its words meet in the task that made them.
+        return words.groupBy("id").agg(
+            F.max("pos").alias("last"), F.collect_list(F.struct("term", F.col("pos").cast("int").alias("pos"))).alias("words")
+        )
+    placed = F.transform("words", lambda word, at: F.struct(word.alias("term"), (at + 1).alias("pos")))
+    texts = words.select("id", F.filter(placed, lambda word: word["term"].isNotNull()).alias("words")).where("size(words) > 0")
+    # Repeated ids are one text.
+    return texts.groupBy("id").agg(
+        F.max(F.element_at("words", -1)["pos"]).alias("last"), F.flatten(F.collect_list("words")).alias("words")
+    )
+
+
 def _by_term(texts: pa.Table) -> pa.Table:
     """The texts (block, id, words) of one block to one row per term."""
     words, ids = texts["words"].combine_chunks(), texts["id"].combine_chunks()

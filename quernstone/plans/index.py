@@ -4,7 +4,7 @@ An index is a folder: a status log, and one folder per build with three tables
 
 * ``chunks``: id, text_hash, content, metadata, source_path, chunk_index, words, created_at, updated_at
 * ``vectors``: id, embedding
-* ``postings``: id, term, pos, in folders by term and sorted by it, so that a search reads little
+* ``postings``: term, ids, positions, in folders by term and sorted by it, so that a search reads little
 
 A build writes a folder of its own and becomes visible through its ``ready``
 entry, so searches never meet a half-built index. ``refresh`` adds folders of
@@ -19,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import english_index, explode_index
+from ..functions.text import english_index
 from ..operators.chunks import chunk_documents
 from ..operators.clusters import write_clusters
 from ..operators.embed import TfidfEmbedder, embed_documents
@@ -84,7 +84,7 @@ def build_index(
         vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
         if cluster_vectors:
             write_clusters(spark.read.parquet(f"{folder}/vectors"), f"{folder}/clusters")
-        found = write_words(explode_index(chunks, ["id"], "words"), folder, n_chunks, query_tables)
+        found = write_words(chunks, folder, n_chunks, query_tables)
         write_layers(spark, root, version, [Layer(folder, version, cluster_vectors, False, query_tables, found)])
         append_status(spark, root, "ready", document_count=n_chunks, version=version)
     except Exception as problem:
@@ -118,14 +118,14 @@ def write_chunks(chunks: DataFrame, path: str, above: int = 0) -> None:
     ).write.parquet(path)
 
 
-def write_words(words: DataFrame, folder: str, n_chunks: int, blocks: bool) -> bool:
-    """Store the postings of a layer, and in blocks too where wanted; whether there are any."""
-    if words.isEmpty():
+def write_words(chunks: DataFrame, folder: str, n_chunks: int, blocks: bool) -> bool:
+    """Store the postings of a layer's stored chunks, and in blocks too where wanted; whether there are any."""
+    words = chunks.select("id", "words")
+    if words.where(F.exists("words", lambda word: word.isNotNull())).isEmpty():
         return False
     write_postings(words, f"{folder}/postings", n_chunks)
     if blocks:
-        stored = words.sparkSession.read.parquet(f"{folder}/postings").select("id", "term", "pos")
-        write_posting_blocks(stored, f"{folder}/blocks", n_chunks)
+        write_posting_blocks(words, f"{folder}/blocks", n_chunks)
     return True
 
 

@@ -8,13 +8,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_index
 from ..operators.chunks import chunk_documents
 from ..operators.embed import TfidfEmbedder
 from ..sources.build_log import append_status, index_status
 from ..sources.scratch import kept
 from .index import Model, build_index, embedded, text_hash, write_chunks, write_words
-from .layers import Layer, layers_of, live_postings, live_table, write_layers
+from .layers import Layer, layers_of, live_table, write_layers
 
 #: A refresh of an index with so many layers merges them into one.
 MOST_LAYERS = 8
@@ -131,7 +130,7 @@ def _write_layer(
     else:
         vectors = embedded(made.select("id", "content"), model, store)
     vectors.select("id", "embedding").write.parquet(f"{layer.folder}/vectors")
-    return write_words(explode_index(made, ["id"], "words"), layer.folder, made.count(), layer.blocks)
+    return write_words(made, layer.folder, made.count(), layer.blocks)
 
 
 def _merge(spark: SparkSession, root: str, layers: list[Layer]) -> str:
@@ -141,7 +140,7 @@ def _merge(spark: SparkSession, root: str, layers: list[Layer]) -> str:
     live_table(spark, layers, "chunks").write.parquet(f"{folder}/chunks")
     live_table(spark, layers, "vectors").write.parquet(f"{folder}/vectors")
     chunks = spark.read.parquet(f"{folder}/chunks")
-    words = write_words(live_postings(spark, layers), folder, chunks.count(), layers[0].blocks)
+    words = write_words(chunks, folder, chunks.count(), layers[0].blocks)
     try:
         embedder = TfidfEmbedder.load(f"{layers[0].folder}/embedder")
     except Exception:  # noqa: BLE001 - an index built with a model has none

@@ -81,6 +81,10 @@ def _postings(spark, sf_dir):
     return keyword.postings(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def _text_words(spark, sf_dir):
+    return keyword.text_words(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def _query_terms(spark):
     return keyword.query_terms(spark, QUERY_WORDS)
 
@@ -205,7 +209,7 @@ def _index(spark, sf_dir):
 def _written(spark, sf_dir, state):
     folder = scratch_path(spark, "postings")
     documents = read(spark, sf_dir, "documents")
-    keyword.write_postings(_postings(spark, sf_dir), folder, documents.count())
+    keyword.write_postings(_text_words(spark, sf_dir), folder, documents.count())
     return folder
 
 

@@ -218,3 +218,20 @@ def test_embeddings(spark):
     assert len(tfidf[1]) == 64 and math.isclose(np.linalg.norm(tfidf[1]), 1.0, abs_tol=1e-6)
     assert np.linalg.norm(tfidf[3]) == np.linalg.norm(tfidf[4]) == 0.0
     assert np.dot(tfidf[1], tfidf[2]) > 0
+
+
+def test_words_meet_by_term_before_they_are_shuffled(spark, tmp_path):
+    """A term of many texts is a row per task, from texts as from postings; repeated and missing ids and empty texts included."""
+    rows = [(k % 900, "hot the hot word" + str(k % 7)) for k in range(1000)] + [(None, "hot ice"), (5000, None), (5001, "of the")]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    want = sorted(map(str, keyword.postings(df).collect()))
+    for name, words in (("rows", keyword.postings(df)), ("texts", keyword.text_words(df))):
+        path = str(tmp_path / name)
+        keyword.write_postings(words, path, 1000)
+        assert sorted(map(str, keyword.read_postings(spark, path).collect())) == want
+        assert 1 <= spark.read.parquet(path).where("term = 'hot'").count() <= 3
+        assert keyword.read_postings(spark, path, ["hot"]).count() == 2001
+    # Postings of an older index, a row per word.
+    old = str(tmp_path / "old")
+    keyword.postings(df).selectExpr("*", "1 AS n_buckets", "0 AS bucket").write.partitionBy("n_buckets", "bucket").parquet(old)
+    assert sorted(map(str, keyword.read_postings(spark, old).collect())) == want
