@@ -71,8 +71,7 @@ def build_index(
             return index_status(spark, root)
         version = uuid.uuid4().hex
         folder = f"{root}/builds/{version}"
-        hashed = documents.withColumn("text_hash", text_hash(F.col("text")))
-        write_chunks(chunk_documents(hashed, keep=("text_hash",)), f"{folder}/chunks")
+        write_chunks(documents, f"{folder}/chunks")
         chunks = spark.read.parquet(f"{folder}/chunks")
         n_chunks = chunks.count()
         if model is None:
@@ -103,13 +102,17 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def write_chunks(chunks: DataFrame, path: str, above: int = 0) -> None:
-    """Store chunks with an id, their index words and the time of writing. Ids are greater than ``above``.
+def write_chunks(documents: DataFrame, path: str, above: int = 0) -> None:
+    """Store the chunks of documents with an id, their index words and the time of writing. Ids are greater than ``above``.
 
     Ids grow with source path and chunk index, so that hits of equal score come
-    in the same order from every build. They are not consecutive.
+    in the same order from every build. They are not consecutive. Documents are
+    put in order of their paths before they are cut: to find the ranges, Spark
+    reads them once more, and would otherwise cut them twice.
     """
-    chunks.orderBy("source_path", "chunk_index").select(
+    ranged = documents.select(F.col("source_path").cast("string").alias("source_path"), "text").repartitionByRange("source_path")
+    chunks = chunk_documents(ranged.withColumn("text_hash", text_hash(F.col("text"))), keep=("text_hash",))
+    chunks.sortWithinPartitions("source_path", "chunk_index").select(
         (F.monotonically_increasing_id() + above + 1).alias("id"),
         *chunks.columns,
         english_index(F.col("content")).alias("words"),

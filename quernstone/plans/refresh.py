@@ -8,7 +8,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunks import chunk_documents
 from ..operators.embed import TfidfEmbedder
 from ..sources.build_log import append_status, index_status
 from ..sources.scratch import kept
@@ -123,7 +122,7 @@ def _write_layer(
     )
     # Ids go on above all that were ever given out.
     ids = [spark.read.parquet(f"{one.folder}/chunks").agg(F.max("id")).first()[0] or 0 for one in layers]
-    write_chunks(chunk_documents(of(keyed, "new"), keep=("text_hash",)), f"{layer.folder}/chunks", max(ids))
+    write_chunks(of(keyed, "new"), f"{layer.folder}/chunks", max(ids))
     made = spark.read.parquet(f"{layer.folder}/chunks")
     if model is None:
         vectors = TfidfEmbedder.load(f"{layers[0].folder}/embedder").transform(made.select("id", "words"))
