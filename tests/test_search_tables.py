@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_search import covers
 
 from quernstone.operators import keyword_blocks, vector_join
-from quernstone.operators.keyword import keyword_topk, postings
+from quernstone.operators.keyword import keyword_topk, postings, text_words
 from quernstone.operators.keyword_blocks import blocks_read, keyword_topk_of, terms_of, write_posting_blocks
 from quernstone.operators.vector_join import clustered_topk, recall, vector_topk, write_search_clusters
 
@@ -212,3 +212,18 @@ def test_no_texts_and_no_queries(spark, blocks, tmp_path):
     terms = terms_of(spark.createDataFrame(ASKED, "query string, text string"))
     assert keyword_topk_of(spark.read.schema(stored.schema).parquet(str(tmp_path / "b")), terms, 3).count() == 0
     assert keyword_topk_of(stored, terms.where("query = 'no such'"), 3).count() == 0
+
+
+def test_blocks_of_texts_are_those_of_postings(spark, tmp_path):
+    rows = texts_of(3, 200) + [(7, "alpha thing alpha"), (7, "the of"), (None, "alpha"), (900, None), (901, ""), (902, "of the")]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    made = []
+    for name, words in (("rows", postings(df)), ("texts", text_words(df))):
+        write_posting_blocks(words, str(tmp_path / name), len(rows))
+        stored = spark.read.parquet(str(tmp_path / name))
+        held = stored.select("term", "block", "most", "n_texts", "n_postings", F.explode("texts").alias("text"))
+        made.append(sorted(map(str, held.select("*", "text.id", "text.positions").drop("text").collect())))
+    assert made[0] == made[1] and made[0]
+    # Words are not spread to rows and gathered again.
+    plan = keyword_blocks._listed(text_words(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
