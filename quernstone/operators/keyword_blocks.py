@@ -37,11 +37,11 @@ FIRST_BLOCKS = 8
 def write_posting_blocks(words: DataFrame, path: str, n_texts: int) -> None:
     """Store postings by term and block: term, block, most, n_texts, n_postings, texts.
 
-    ``words`` are postings (id, term, pos) or, which is faster, texts (id,
-    words). Texts are shuffled whole to their blocks and taken apart by term
-    there, so that a frequent term spreads over all blocks. Folders follow the
-    term's hash, rows are sorted by term, and the rebalancing shuffle splits a
-    folder that one term fills. ``n_texts`` need only be about the number of texts.
+    ``words`` are postings (id, term, pos) or texts (id, words). Texts are
+    shuffled whole to their blocks and taken apart by term there, so that a
+    frequent term spreads over all blocks. Folders follow the term's hash, rows
+    are sorted by term, and the rebalancing shuffle splits a folder that one term
+    fills. ``n_texts`` need only be about the number of texts.
     """
     folders = max(1, n_texts // BUCKET_TEXTS)
     texts = _listed(words.where("id is not null"))

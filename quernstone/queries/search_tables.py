@@ -22,10 +22,10 @@ from .search import (
     QUERY_WORDS,
     _fuse_sql,
     _letter_counts,
+    _postings,
     _postings_sql,
     _rounded,
     _scores_sql,
-    _text_words,
     articles,
 )
 from .search import ORACLES as SEARCH_ORACLES
@@ -67,7 +67,7 @@ def _recall(spark, sf_dir):
 def _blocks(spark, sf_dir):
     """The postings of all documents in blocks, and the terms of the queries."""
     folder = scratch_path(spark, "blocks")
-    words = _text_words(spark, sf_dir)
+    words = _postings(spark, sf_dir)
     write_posting_blocks(words, folder, read(spark, sf_dir, "documents").count())
     stored = spark.read.parquet(folder)
     texts = stored.select("term", F.explode("texts").alias("text"))
