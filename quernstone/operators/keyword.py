@@ -69,13 +69,14 @@ def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Texts (id, words) to postings (id, term, pos), ``SLICE_ROWS`` texts at a time."""
+    """Texts (id, words, and what else) to postings (id, term, pos), ``SLICE_ROWS`` texts at a time."""
     for at in range(0, batch.num_rows, SLICE_ROWS):
         texts = batch.slice(at, SLICE_ROWS)
         sizes = pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy(zero_copy_only=False)
         pos = np.arange(1, sizes.sum() + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        ids = texts["id"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        rows = pa.RecordBatch.from_arrays([ids, texts["words"].flatten(), pa.array(pos, pa.int32())], ["id", "term", "pos"])
+        others = texts.drop_columns(["words"]).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        words = [texts["words"].flatten(), pa.array(pos, pa.int32())]
+        rows = pa.RecordBatch.from_arrays([*others.columns, *words], [*others.schema.names, "term", "pos"])
         yield rows.filter(pc.is_valid(rows["term"]))
 
 

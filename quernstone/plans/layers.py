@@ -23,7 +23,7 @@ LAYERS = "place int, layer string, clustered boolean, changes boolean, blocks bo
 POSTINGS = "id long, term string, pos int"
 BLOCKS = (
     "term string, block long, most int, n_texts int, n_postings int, "
-    "texts array<struct<id:long,positions:array<int>>>, folder int"
+    "texts array<struct<id:long,positions:array<int>>>"
 )
 
 
@@ -78,8 +78,9 @@ def posting_blocks(spark: SparkSession, layers: Sequence[Layer]) -> DataFrame:
     """The posting blocks of all layers, each layer's with numbers of their own; texts taken away are still in them."""
     if not all(layer.blocks for layer in layers):
         raise ValueError("build the index with query_tables to search it for a table of queries")
+    # Older layers have their rows in folders, which readers see as a column.
     parts = [
-        spark.read.schema(BLOCKS).parquet(f"{layer.folder}/blocks").withColumn("block", F.col("block") + place * 2**50)
+        spark.read.schema(BLOCKS).parquet(f"{layer.folder}/blocks").drop("folder").withColumn("block", F.col("block") + place * 2**50)
         for place, layer in enumerate(layers)
         if layer.words
     ]

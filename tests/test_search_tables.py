@@ -1,6 +1,9 @@
 """Searches for a table of queries against brute force, and how much of the stored tables they look at."""
 
 import random
+import time
+from contextlib import nullcontext
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,7 @@ from quernstone.operators import keyword_blocks, vector_join
 from quernstone.operators.keyword import keyword_topk, postings, text_words
 from quernstone.operators.keyword_blocks import blocks_read, keyword_topk_of, terms_of, write_posting_blocks
 from quernstone.operators.vector_join import clustered_topk, recall, vector_topk, write_search_clusters
+from quernstone.sources.scratch import CLEANUP
 
 VECTORS = "id long, embedding array<float>"
 
@@ -227,3 +231,88 @@ def test_blocks_of_texts_are_those_of_postings(spark, tmp_path):
     # Words are not spread to rows and gathered again.
     plan = keyword_blocks._listed(text_words(df))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def shuffled(spark):
+    """The shuffle files that lie in the session's own folders, with their sizes."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f.name: f.stat().st_size for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*.data")}
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark, tmp_path):
+    df = spark.createDataFrame(texts_of(1, 50), "id long, content string").repartition(3)
+    before, setting = shuffled(spark), spark.conf.get(CLEANUP)
+    write_posting_blocks(text_words(df), str(tmp_path / "b"), 50)
+    until = time.time() + 20
+    while (left := set(shuffled(spark)) - set(before)) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(CLEANUP) == setting
+
+
+def test_words_are_shuffled_once_and_packed(spark, tmp_path, monkeypatch):
+    draw = random.Random(7)
+    words = [f"{draw.randrange(10**6):06x}q" for _ in range(5000)]
+    rows = [(k, " ".join(words[int(draw.random() ** 3 * 5000)] for _ in range(400))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, content string").repartition(3).localCheckpoint()
+    for name, texts in (("rows", postings(df)), ("texts", text_words(df))):
+        before = shuffled(spark)
+        monkeypatch.setattr(keyword_blocks, "released", lambda spark: nullcontext())
+        write_posting_blocks(texts, str(tmp_path / name), len(rows))
+        # Rows of Spark's, moved three times, took several times as much as the texts have characters.
+        new = sum(size for file, size in shuffled(spark).items() if file not in before)
+        assert 0 < new < sum(len(text) for _, text in rows) / 2
+
+
+def test_shares_and_blocks_hold_every_word_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword_blocks, "BLOCK_TEXTS", 4)
+    monkeypatch.setattr(keyword_blocks, "SHARE_TEXTS", 16)
+    rows = texts_of(5, 100)
+    words = postings(spark.createDataFrame(rows, "id long, content string").withColumn("id", F.concat(F.lit("t"), "id")).repartition(3))
+    # Of a text that comes in pieces, positions come in any order.
+    words = words.orderBy(F.xxhash64("id", "pos"))
+    write_posting_blocks(words, str(tmp_path / "b"), len(rows))
+    stored = spark.read.parquet(str(tmp_path / "b"))
+    held = stored.select("term", "block", "most", "n_texts", "n_postings", F.posexplode("texts").alias("n", "text")).collect()
+    places = [(r["text"]["id"], r["term"], pos) for r in held for pos in r["text"]["positions"]]
+    assert sorted(places) == sorted(map(tuple, words.select("id", "term", "pos").collect()))
+    assert len({(r["term"], r["block"], r["n"]) for r in held}) == len(held) and len({r["block"] >> 20 for r in held}) == 7
+    of_block, of_row = {}, {}
+    for r in held:
+        assert r["text"]["positions"] == sorted(r["text"]["positions"])
+        of_block.setdefault(r["block"], set()).add(r["text"]["id"])
+        of_row.setdefault((r["term"], r["block"], r["most"], r["n_texts"], r["n_postings"]), []).append(len(r["text"]["positions"]))
+    assert max(map(len, of_block.values())) == 4 and sum(map(len, of_block.values())) == len({i for i, _, _ in places})
+    assert all((max(n), len(n), sum(n)) == (most, texts, all_) for (_, _, most, texts, all_), n in of_row.items())
+
+
+def test_places_that_do_not_fit_one_number_are_put_in_the_same_order(monkeypatch):
+    draw = np.random.default_rng(3)
+    text, pos, term = draw.integers(0, 50, 4000), draw.permutation(4000), draw.integers(0, 3, 4000)
+    fits = keyword_blocks._cover_scores(text, pos, term, 3, 50)
+    monkeypatch.setattr(keyword_blocks, "LARGEST", 1)
+    assert np.array_equal(fits, keyword_blocks._cover_scores(text, pos, term, 3, 50)) and fits.all()
+    packed = keyword_blocks._packed([pa.RecordBatch.from_arrays(
+        [pa.array([5] * 4000, pa.int32()), pa.array(text), pa.array(term.astype(str)), pa.array(pos, pa.int32())], ["share", "id", "term", "pos"]
+    )])
+    small = keyword_blocks._by_block(7)(pa.Table.from_batches([packed]))
+    monkeypatch.undo()
+    assert small.equals(keyword_blocks._by_block(7)(pa.Table.from_batches([packed]))) and small.num_rows > 20
+
+
+@pytest.mark.parametrize("positions", [1, 2**20])
+def test_of_a_block_the_best_and_what_draws_level_are_kept(blocks, monkeypatch, positions):
+    _, _, stored = blocks
+    long_ones = stored.where("block >= 60").groupBy("term").agg(F.flatten(F.collect_list("texts")).alias("texts")).collect()
+    rows = pa.Table.from_pylist([{"term": r["term"], "texts": [t.asDict() for t in r["texts"]]} for r in long_ones])
+    monkeypatch.setattr(keyword_blocks, "HELD_POSITIONS", positions)
+    block = keyword_blocks._Block(rows)
+    place = {t: n for n, t in enumerate(rows["term"].to_pylist())}
+    asked = np.array([[place["alpha"], place["beta"]], [place["gamma"], place["delta"]]])
+    number, text, scores = block.best(asked, np.zeros(2), None)
+    for n in (0, 1):
+        every = sorted(scores[number == n], reverse=True)
+        assert len(every) > 50 and len(set(text[number == n])) == len(every)
+        some, _, best = block.best(asked, np.zeros(2), 3)
+        assert sorted(best[some == n], reverse=True) == [s for s in every if s >= every[2] - 1e-6]
+        some, _, best = block.best(asked, np.array([every[9]] * 2), None)
+        assert sorted(best[some == n], reverse=True) == [s for s in every if s >= every[9] - 1e-6]
