@@ -10,7 +10,7 @@ and of the rest only those that can still reach the k-th score. Within these,
 texts that cannot reach it are left out before their positions are looked at.
 
 Words are shuffled once on writing, and positions once on scoring, both times
-compressed (``_bytes_of``): a row of Spark's takes many times as much.
+compressed (``bytes_of``): a row of Spark's takes many times as much.
 
 Bound: a cover (a shortest span with all m terms) of the text holds an
 occurrence of the term that is rarest there, and one occurrence lies in m covers
@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.text import english_index
 from ..functions.vector import SCORE_DIGITS
 from ..sources.scratch import kept, released
-from .keyword import WORD_WEIGHT, _spread
+from .keyword import WORD_WEIGHT, _spread, bytes_of, coded, in_order, tables_of, used_of
 from .semantic import rank_hits
 
 #: Texts of a block, and of a share, whose words one task holds at a time.
@@ -52,18 +52,20 @@ LARGEST = 2**32
 SENT_TERMS = 500_000
 
 
-def write_posting_blocks(words: DataFrame, path: str, n_texts: int) -> None:
+def write_posting_blocks(words: DataFrame, path: str, n_texts: int, share_texts: int | None = None) -> None:
     """Store postings by term and block: term, block, most, n_texts, n_postings, texts.
 
     ``words`` are postings (id, term, pos) or texts (id, words). The words of a
     task are packed by share before their shuffle, and taken apart by block and
     term where a share meets, which writes its rows, by term and block, as they
     are. A frequent term thus spreads over all files. ``n_texts`` need only be
-    about the number of texts.
+    about the number of texts. Of short texts, a share may hold more
+    (``share_texts``), and a block as many times more, so that rows are fewer.
     """
+    share_texts = share_texts or SHARE_TEXTS
     id_type = words.schema["id"].dataType.simpleString()
-    rows = _listed(words, max(1, math.ceil(n_texts / SHARE_TEXTS))).groupBy("share").applyInArrow(
-        _by_block(BLOCK_TEXTS),
+    rows = _listed(words, max(1, math.ceil(n_texts / share_texts))).groupBy("share").applyInArrow(
+        _by_block(max(1, BLOCK_TEXTS * share_texts // SHARE_TEXTS)),
         "term string, block long, most int, n_texts int, n_postings int, "
         f"texts array<struct<id:{id_type},positions:array<int>>>",
     )
@@ -103,41 +105,21 @@ def _packed(batches: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
     """Words (share, id, term, pos) to the bytes of each share: positions as steps, which are small."""
     rows = pa.Table.from_batches(batches).unify_dictionaries()
     share, pos = rows["share"].to_numpy(), rows["pos"].to_numpy()
-    (ids, text), (terms, code) = (_coded(rows[c].combine_chunks()) for c in ("id", "term"))
-    order = np.argsort(share, kind="stable").astype("i4")
+    (ids, text), (terms, code) = (coded(rows[c].combine_chunks()) for c in ("id", "term"))
+    order = in_order(share)
     starts = np.flatnonzero(np.r_[True, np.diff(share[order]) != 0])
     packed = []
     for at in np.split(order, starts[1:]):
         batch = pa.RecordBatch.from_arrays(
             [_named(ids, text[at]), _named(terms, code[at]), pa.array(np.diff(pos[at], prepend=np.int32(0)))], ["id", "term", "step"]
         )
-        packed.append(_bytes_of(batch))
+        packed.append(bytes_of(batch))
     return pa.RecordBatch.from_arrays([pa.array(share[order[starts]]), pa.array(packed, pa.binary())], ["share", "packed"])
 
 
-def _coded(column: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray]:
-    """The different values in order, and the place of each row's value among them."""
-    order = pc.sort_indices(column.dictionary).to_numpy()
-    place = np.empty(len(order), "i4")
-    place[order] = np.arange(len(order))
-    return column.dictionary.take(pa.array(order)), place[column.indices.to_numpy()]
-
-
 def _named(values: pa.Array, codes: np.ndarray) -> pa.DictionaryArray:
-    used, codes = np.unique(codes, return_inverse=True)
-    return pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), values.take(pa.array(used)))
-
-
-def _bytes_of(batch: pa.RecordBatch) -> bytes:
-    """Some rows as compressed bytes."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-        stream.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _tables_of(packed: pa.ChunkedArray) -> list[pa.Table]:
-    return [pa.ipc.open_stream(each.as_buffer()).read_all() for each in packed]
+    used, codes = used_of(codes, len(values))
+    return pa.DictionaryArray.from_arrays(pa.array(codes), values.take(pa.array(used)))
 
 
 def _by_block(block_texts: int) -> Callable[[pa.Table], pa.Table]:
@@ -145,10 +127,11 @@ def _by_block(block_texts: int) -> Callable[[pa.Table], pa.Table]:
 
     def cut(share: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
-        parts = _tables_of(share["packed"])
+        parts = list(tables_of(share["packed"]))
         pos = np.concatenate([np.cumsum(part["step"].to_numpy(), dtype="i4") for part in parts])
         words = pa.concat_tables([part.select(["id", "term"]) for part in parts]).unify_dictionaries()
-        (ids, text), (terms, code) = (_coded(words[c].combine_chunks()) for c in ("id", "term"))
+        (ids, text), (terms, code) = (coded(words[c].combine_chunks()) for c in ("id", "term"))
+        del parts, words
         # A text is as long as its last indexed word is far.
         last = np.zeros(len(ids), "i4")
         np.maximum.at(last, text, pos)
@@ -157,6 +140,7 @@ def _by_block(block_texts: int) -> Callable[[pa.Table], pa.Table]:
         place[by_length] = np.arange(len(ids))
         # In order of term, text and position; these mostly fit one number.
         word = code * np.int64(len(ids)) + place[text]
+        del code, text
         if len(terms) * len(ids) <= LARGEST:
             word = np.sort(word << 31 | pos)
             word, pos = word >> 31, (word & (2**31 - 1)).astype("i4")
@@ -169,6 +153,7 @@ def _by_block(block_texts: int) -> Callable[[pa.Table], pa.Table]:
         block = text // block_texts
         first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
         of_text, of_row = np.r_[at, len(pos)].astype("i4"), np.r_[first, len(at)].astype("i4")
+        del word
         positions = pa.ListArray.from_arrays(of_text, pa.array(pos, pa.int32()))
         held = pa.StructArray.from_arrays([ids.take(pa.array(by_length[text])), positions], names=["id", "positions"])
         return pa.table({
@@ -316,7 +301,7 @@ def _packed_rows(batches: Sequence[pa.RecordBatch]) -> pa.RecordBatch:
     starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
     packed = []
     for at in np.split(order, starts[1:]):
-        packed.append(_bytes_of(rows.select(["term", "texts"]).take(pa.array(at)).combine_chunks().to_batches()[0]))
+        packed.append(bytes_of(rows.select(["term", "texts"]).take(pa.array(at)).combine_chunks().to_batches()[0]))
     return pa.RecordBatch.from_arrays([pa.array(block[order[starts]]), pa.array(packed, pa.binary())], ["block", "packed"])
 
 
@@ -327,7 +312,7 @@ def _scoring(k: int | None, id_type: pa.DataType) -> Callable[[pa.Table, pa.Tabl
         pa.default_memory_pool().release_unused()
         found = []
         if wanted.num_rows and packed.num_rows:
-            block = _Block(pa.concat_tables(_tables_of(packed["packed"])).combine_chunks())
+            block = _Block(pa.concat_tables(tables_of(packed["packed"])).combine_chunks())
             terms = wanted["terms"].combine_chunks()
             sizes = pc.list_value_length(terms).to_numpy()
             begins = np.cumsum(sizes) - sizes

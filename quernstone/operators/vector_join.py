@@ -25,6 +25,8 @@ from .semantic import rank_hits
 CELL_VALUES = 2_000_000
 #: Rows of one matrix product, on both sides.
 QUERY_ROWS, BLOCK_ROWS = 512, 2048
+#: So many shares of all vectors for each core, unless they have to be smaller.
+TASKS_PER_CORE = 4
 #: Probes are chosen so that of this many stored vectors, asked as queries, this share of the nearest is found.
 SAMPLE, SAMPLE_NEAREST, WANTED_RECALL = 256, 10, 0.95
 #: Numbers of all centres together, which go to every task (32 MB).
@@ -172,7 +174,8 @@ def _topk_of_cells(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
     first = stored.select(F.size("embedding")).first()
     width = first[0] if first else 1
     most = max(1, CELL_VALUES // max(1, width))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Every share hands on the k best of every query, so there are no more than keep all cores at work.
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     held = stored.groupBy("cluster").agg(F.count(F.lit(1)).alias("held"))
     asking = asked.groupBy("cluster").agg(F.count(F.lit(1)).alias("asking"))
     # Few clusters are cut finer, so that all tasks have work; a share is no smaller than a block.

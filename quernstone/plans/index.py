@@ -29,12 +29,15 @@ from ..operators.keyword import keyword_topk, query_terms, write_postings
 from ..operators.keyword_blocks import write_posting_blocks
 from ..operators.semantic import semantic_topk
 from ..sources.build_log import append_status, index_status
+from ..sources.scratch import released
 from .layers import Layer, layers_of, live_postings, live_table, probed_table, write_layers
 
 Model = Callable[[list[str]], Sequence[Sequence[float]]]
 
 # Hybrid search takes three times the wanted results from each list.
 FETCH_FACTOR = 3
+# Chunks are short: so many of them have about half as many words as a share of documents.
+SHARE_CHUNKS = 8192
 NO_HITS = "rank int, id long, content string, score double, search_type string"
 
 
@@ -80,7 +83,7 @@ def build_index(
             vectors = embedder.transform(chunks.select("id", "words"))
         else:
             vectors = embedded(chunks.select("id", "content"), model, store)
-        vectors.select("id", "embedding").write.parquet(f"{folder}/vectors")
+        vectors.select("id", "embedding").write.option("compression", "zstd").parquet(f"{folder}/vectors")
         if cluster_vectors:
             write_clusters(spark.read.parquet(f"{folder}/vectors"), f"{folder}/clusters")
         found = write_words(chunks, folder, n_chunks, query_tables)
@@ -112,13 +115,15 @@ def write_chunks(documents: DataFrame, path: str, above: int = 0) -> None:
     """
     ranged = documents.select(F.col("source_path").cast("string").alias("source_path"), "text").repartitionByRange("source_path")
     chunks = chunk_documents(ranged.withColumn("text_hash", text_hash(F.col("text"))), keep=("text_hash",))
-    chunks.sortWithinPartitions("source_path", "chunk_index").select(
+    stored = chunks.sortWithinPartitions("source_path", "chunk_index").select(
         (F.monotonically_increasing_id() + above + 1).alias("id"),
         *chunks.columns,
         english_index(F.col("content")).alias("words"),
         F.current_timestamp().alias("created_at"),
         F.current_timestamp().alias("updated_at"),
-    ).write.parquet(path)
+    )
+    with released(documents.sparkSession):
+        stored.write.option("compression", "zstd").parquet(path)
 
 
 def write_words(chunks: DataFrame, folder: str, n_chunks: int, blocks: bool) -> bool:
@@ -126,9 +131,10 @@ def write_words(chunks: DataFrame, folder: str, n_chunks: int, blocks: bool) ->
     words = chunks.select("id", "words")
     if words.where(F.exists("words", lambda word: word.isNotNull())).isEmpty():
         return False
-    write_postings(words, f"{folder}/postings", n_chunks)
+    # What shuffles more comes first, while less is stored.
     if blocks:
-        write_posting_blocks(words, f"{folder}/blocks", n_chunks)
+        write_posting_blocks(words, f"{folder}/blocks", n_chunks, SHARE_CHUNKS)
+    write_postings(words, f"{folder}/postings", n_chunks)
     return True
 
 

@@ -11,11 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_search import covers
 
-from quernstone.operators import keyword_blocks, vector_join
+from quernstone.operators import keyword, keyword_blocks, vector_join
 from quernstone.operators.keyword import keyword_topk, postings, text_words
 from quernstone.operators.keyword_blocks import blocks_read, keyword_topk_of, terms_of, write_posting_blocks
 from quernstone.operators.vector_join import clustered_topk, recall, vector_topk, write_search_clusters
-from quernstone.sources.scratch import CLEANUP
+from quernstone.sources.scratch import CLEANUP, size_of
 
 VECTORS = "id long, embedding array<float>"
 
@@ -291,9 +291,10 @@ def test_places_that_do_not_fit_one_number_are_put_in_the_same_order(monkeypatch
     fits = keyword_blocks._cover_scores(text, pos, term, 3, 50)
     monkeypatch.setattr(keyword_blocks, "LARGEST", 1)
     assert np.array_equal(fits, keyword_blocks._cover_scores(text, pos, term, 3, 50)) and fits.all()
-    packed = keyword_blocks._packed([pa.RecordBatch.from_arrays(
+    batch = pa.RecordBatch.from_arrays(
         [pa.array([5] * 4000, pa.int32()), pa.array(text), pa.array(term.astype(str)), pa.array(pos, pa.int32())], ["share", "id", "term", "pos"]
-    )])
+    )
+    packed = next(keyword_blocks._by_share(iter([batch])))
     small = keyword_blocks._by_block(7)(pa.Table.from_batches([packed]))
     monkeypatch.undo()
     assert small.equals(keyword_blocks._by_block(7)(pa.Table.from_batches([packed]))) and small.num_rows > 20
@@ -316,3 +317,39 @@ def test_of_a_block_the_best_and_what_draws_level_are_kept(blocks, monkeypatch,
         assert sorted(best[some == n], reverse=True) == [s for s in every if s >= every[2] - 1e-6]
         some, _, best = block.best(asked, np.array([every[9]] * 2), None)
         assert sorted(best[some == n], reverse=True) == [s for s in every if s >= every[9] - 1e-6]
+
+
+def test_codes_in_use_and_in_order():
+    draw = np.random.default_rng(2)
+    for n in (3, 50, 10_000):
+        codes = draw.integers(0, n, 400).astype("i4")
+        used, place = keyword.used_of(codes, n)
+        assert used.tolist() == sorted(set(codes.tolist())) and np.array_equal(used[place], codes)
+        assert np.array_equal(keyword.in_order(codes), np.argsort(codes, kind="stable"))
+
+
+def test_an_index_is_little_more_than_its_words(spark, tmp_path, monkeypatch):
+    """Postings are shuffled packed, missing ids and repeated texts included, and an older index is still found by its folders."""
+    draw = random.Random(9)
+    words = [f"{draw.randrange(10**6):06x}q" for _ in range(4000)]
+    rows = [(k, " ".join(words[int(draw.random() ** 3 * 4000)] for _ in range(300))) for k in range(1500)]
+    df = spark.createDataFrame([*rows, (None, "hot ice"), (3, "hot")], "id long, content string").repartition(3).localCheckpoint()
+    monkeypatch.setattr(keyword, "released", lambda spark, settings: nullcontext())
+    monkeypatch.setattr(keyword, "BUCKET_TEXTS", 300)
+    before, path = shuffled(spark), str(tmp_path / "p")
+    keyword.write_postings(text_words(df), path, len(rows))
+    new = sum(size for file, size in shuffled(spark).items() if file not in before)
+    # As rows of terms they took as much as the texts have characters.
+    assert 0 < new < sum(len(text) for _, text in rows) / 2
+    want = postings(df)
+    assert sorted(map(str, keyword.read_postings(spark, path).collect())) == sorted(map(str, want.collect()))
+    some = ["hot", words[0], words[7], "no such"]
+    by_term = sorted(map(str, want.where(F.col("term").isin(some)).collect()))
+    assert sorted(map(str, keyword.read_postings(spark, path, some).collect())) == by_term
+    old = spark.read.parquet(path).drop("n_parts", "bucket").withColumn("n_buckets", F.lit(5)).withColumn("bucket", keyword._bucket(F.col("term"), 5))
+    old.write.partitionBy("n_buckets", "bucket").parquet(str(tmp_path / "old"))
+    assert sorted(map(str, keyword.read_postings(spark, str(tmp_path / "old"), some).collect())) == by_term
+
+
+def test_sizes_of_settings():
+    assert [size_of(s) for s in ("200k", "8m", "67108864b", "64MB", "1g", "77")] == [204800, 8 << 20, 64 << 20, 64 << 20, 1 << 30, 77]
